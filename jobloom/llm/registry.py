@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, mixing, token_files
+from . import bpe, langid, line_dedup, minhash, mixing, token_files
 
 
 def queries() -> dict:
     return {
         "op2_mix_to_weights": mixing.op2_mix_to_weights,
         "op5_token_files": token_files.op5_token_files,
+        "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_line_dedup": line_dedup.op7_line_dedup,
         "op9_language_id": langid.op9_language_id,
         "op10_bpe": bpe.op10_bpe,
