@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, langid, line_dedup, minhash, mixing, token_files
+from . import ann, bpe, langid, line_dedup, minhash, mixing, token_files, vector_dedup
 
 
 def queries() -> dict:
     return {
+        "op1_nearest": ann.op1_nearest,
         "op2_mix_to_weights": mixing.op2_mix_to_weights,
+        "op3_near_vectors": vector_dedup.op3_near_vectors,
         "op5_token_files": token_files.op5_token_files,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_line_dedup": line_dedup.op7_line_dedup,
