@@ -124,9 +124,9 @@ _CUES = (("phone", re.compile(r"(?i)(phone|tel|call|mobile|fax|whatsapp)\W*$")),
 
 
 def features(kind: str, s: str, before: str, after: str) -> list[str]:
-    """Of a whole segment; before is up to 24 characters, after one."""
+    """Of a whole segment; before is up to 24 characters, after two."""
     d = digits(s)
-    out = [f"{kind}|left{side(before[-1:] or ' ')}", f"{kind}|right{side(after or ' ')}", kind]
+    out = [f"{kind}|left{side(before[-1:] or ' ')}", f"{kind}|right{' ' if after[:1] in (*'.,',) and not after[1:].isalnum() else side(after[:1] or ' ')}", kind]
     out += [f"{kind}|cue {k}" for k, p in _CUES if p.search(before)]
     if kind == "email":
         local, _, domain = s.partition("@")
@@ -177,7 +177,7 @@ class Region:
                     else:
                         whole = s[-1].isdigit() and len(digits(s)) >= (12 if k == "card" else 7) and (k == "phone" or "  " not in s and s.find("--") < 0)
                     if whole:
-                        before, after = text[max(0, self.at[a] - 24) : self.at[a]], text[self.at[b] : self.at[b] + 1]
+                        before, after = text[max(0, self.at[a] - 24) : self.at[a]], text[self.at[b] : self.at[b] + 2]
                         self.ending[b].append((a, k, features(k, s, before, after)))
 
 
@@ -328,7 +328,10 @@ def find(text: str | None, w: dict[str, float]) -> tuple[list[Span], list[Span]]
     for lo, hi in regions(text):
         while k < len(by_end) and by_end[k][2] <= lo:
             k += 1
-        here = [s for s in by_end[k:] if s[1] < hi] if k < len(by_end) and len(by_end) - k < 64 else [s for s in by_end[k:] if s[1] < hi]
+        here, j = [], k
+        while j < len(by_end) and by_end[j][1] < hi:
+            here.append(by_end[j])
+            j += 1
         for s in viterbi(Region(text, lo, hi), w):
             if not any(s[1] < e and b < s[2] for _, b, e in here):
                 added.append(s)

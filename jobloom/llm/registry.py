@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, mixing, token_files, vector_dedup
+from . import ann, bpe, langid, line_dedup, minhash, mixing, pii, token_files, vector_dedup
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_nearest": ann.op1_nearest,
         "op2_mix_to_weights": mixing.op2_mix_to_weights,
         "op3_near_vectors": vector_dedup.op3_near_vectors,
+        "op4_pii": pii.op4_pii,
         "op5_token_files": token_files.op5_token_files,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_line_dedup": line_dedup.op7_line_dedup,
