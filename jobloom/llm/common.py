@@ -53,3 +53,7 @@ def fresh_names(df: DataFrame, *names: str) -> list[str]:
 def let(value: Column, body) -> Column:
     """body(v) with v bound to value: the optimizer can't copy value into a lambda that runs for each element."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def has_words(text: Column) -> Column:
+    return F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))

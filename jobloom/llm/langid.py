@@ -141,8 +141,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return fit_rows([r["lang"] for r in got], m, clusters)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected."""
+def identify(docs: DataFrame, model: Model, text_col: str = "text", names: dict[str, str] | None = None) -> DataFrame:
+    """docs with lang_pred, score and rejected, or what names calls them."""
     (inner,) = fresh_names(docs, "_found")
 
     @F.pandas_udf("struct<lang_pred: string, score: double, rejected: boolean>")
@@ -151,7 +151,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
     out = docs.withColumn(inner, predict(F.col(text_col).cast(T.StringType())))
-    return out.withColumns({c: F.col(f"{inner}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(inner)
+    return out.withColumns({(names or {}).get(c, c): F.col(f"{inner}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(inner)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

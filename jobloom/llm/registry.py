@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, langid, line_dedup, minhash, mixing, pii, token_files, vector_dedup
+from . import ann, bpe, hpylm, langid, line_dedup, minhash, mixing, pii, token_files, vector_dedup
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_token_files": token_files.op5_token_files,
         "op6_near_duplicates": minhash.op6_near_duplicates,
         "op7_line_dedup": line_dedup.op7_line_dedup,
+        "op8_lm_scores": hpylm.op8_lm_scores,
         "op9_language_id": langid.op9_language_id,
         "op10_bpe": bpe.op10_bpe,
     }
