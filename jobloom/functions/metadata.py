@@ -275,7 +275,7 @@ def title_tag(c: Column) -> Column:
 def cut_at(c: Column, markers: tuple[str, ...]) -> Column:
     """Text up to the first of the markers that it holds."""
     spots = F.array_min(F.filter(F.array(*[F.instr(c, m) for m in markers]), lambda i: i > 0))
-    return F.when(spots.isNull(), c).otherwise(F.rtrim(F.substr(c, F.lit(1), spots - 1)))
+    return F.when(spots.isNull(), c).otherwise(F.regexp_replace(F.substr(c, F.lit(1), spots - 1), r"(?U)\s+$", ""))
 
 
 def llm_answer(c: Column) -> Column:

@@ -102,7 +102,6 @@ def recommendations(joined: DataFrame, postings: DataFrame) -> DataFrame:
     return out.withColumn("line", line)
 
 
-@F.pandas_udf("struct<status: string, quote: string>")
 def _around(texts: pd.Series, patterns: pd.Series, flags: pd.Series) -> pd.DataFrame:
     """Nearest word of need or preference within 150 characters of the first match, and the line around it."""
     import re
@@ -130,7 +129,7 @@ def term_hits(postings: DataFrame) -> DataFrame:
     terms = [(n, p, "certificate") for n, p in R.CERTIFICATES] + [(n, p, "tool") for n, p in R.TOOLS]
     hits = [F.when(F.col("t").rlike(("(?U)" if n in R.CASE_SENSITIVE else "(?iuU)") + p), F.struct(F.lit(n).alias("term"), F.lit(g).alias("grp"), F.lit(p).alias("pattern"), F.lit(0 if n in R.CASE_SENSITIVE else 2).alias("flags"))) for n, p, g in terms]
     rows = base.select("seq", "t", "level", "place", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
-    return rows.withColumn("c", _around(F.col("t"), F.col("h.pattern"), F.col("h.flags"))).select("seq", "h.term", "h.grp", "level", "place", "c.status", "c.quote")
+    return rows.withColumn("c", F.pandas_udf(_around, "struct<status: string, quote: string>")(F.col("t"), F.col("h.pattern"), F.col("h.flags"))).select("seq", "h.term", "h.grp", "level", "place", "c.status", "c.quote")
 
 
 def cert_report(postings: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions.text import fold, joined, normalize_text, strip, text
 from ..operators import dedup as D
 from ..operators import reports as P
-from .view import TODAY, WITH, any_sql, fold_sql, has, postings, q, sql_list
+from .view import TODAY, WITH, any_sql, fold_sql, has, postings, q, re2, sql_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -154,7 +154,10 @@ def analyze_record(spark, d):
     )
 
 
-@query(f"{WITH} SELECT seq, CASE seq % 10 WHEN 2 THEN '$80,000 - $95,000 per year' WHEN 7 THEN '45 000 - 55 000 EUR' ELSE '' END AS salary FROM p")
+_PAY = [re2(p).replace(r"(?<!\d)", "") for p in M.SALARY_PATTERNS]
+
+
+@query(f"{WITH}, t AS (SELECT seq, regexp_extract(full_text, {q('(?i)(?:^|[^0-9])(' + _PAY[0] + ')')}, 1) AS a, regexp_extract(full_text, {q('(?i)' + _PAY[1])}, 0) AS b FROM p) SELECT seq, trim(regexp_replace(CASE WHEN a <> '' THEN a ELSE b END, '\\s+', ' ', 'g')) AS salary FROM t")
 def extract_salary(spark, d):
     return postings(spark, d).select("seq", M.extract_salary(F.lit(""), F.col("full_text")).alias("salary"))
 
@@ -432,7 +435,7 @@ def dedup_by_first_column(spark, d):
     return D.first_per_key(postings(spark, d).select("seq", "city_region").where("city_region <> ''"), [F.col("city_region")], [F.col("seq")])
 
 
-@query(f"{WITH} SELECT seq, {sql_list(('northwind labs', 'northwind labs', 'northwind labs', 'contoso', 'contoso', 'fabrikam', 'tailspin', 'fabrikam', 'wingtip toys'))}[((seq // 3) % 9 + 1)::INT] AS company, CASE seq % 12 WHEN 3 THEN 'product analyst' WHEN 4 THEN 'bi and data analyst' ELSE lower(title) END AS title, {sql_list(('france ile paris', '', 'berlin germany', '', '', 'kyiv ukraine', 'usa'))}[(seq % 7 + 1)::INT] AS places FROM p")
+@query(f"{WITH} SELECT seq, {sql_list(('northwind labs', 'northwind labs', 'northwind labs', 'contoso gmb h', 'contoso', 'fabrikam', 'tailspin', 'fabrikam', 'wingtip toys'))}[((seq // 3) % 9 + 1)::INT] AS company, CASE seq % 12 WHEN 3 THEN 'product analyst' WHEN 4 THEN 'bi and data analyst' ELSE lower(title) END AS title, {sql_list(('france ile paris', '', 'berlin germany', '', '', 'kyiv ukraine', 'usa'))}[(seq % 7 + 1)::INT] AS places FROM p")
 def grouping_keys(spark, d):
     c = F.col
     return postings(spark, d).select("seq", M.normalize_company(c("company")).alias("company"), M.normalize_title(c("title")).alias("title"), joined(M.location_tokens(c("city_region"), c("country")), " ").alias("places"))
