@@ -32,6 +32,11 @@ def canonical(df: DataFrame, source: str, keep: tuple[str, ...] = (), **cols: Co
     return df.select(*keep, *[text(out.get(c, F.lit(""))).alias(c) for c in CANONICAL])
 
 
+def _array(payload: str, schema: str) -> Column:
+    """A payload that must be an array: from_json alone would take an object for an array of one."""
+    return F.from_json(F.when(F.ltrim(F.col(payload)).startswith("["), F.col(payload)), schema)
+
+
 def _country(place: Column) -> Column:
     named = M.infer_country(place)
     return F.when(named != "", named).when(place.contains(","), F.trim(F.substring_index(place, ",", -1))).otherwise("")
@@ -64,7 +69,7 @@ def greenhouse(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 def lever(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Board payloads [...]: the body is spread over a description, sections and an addition; the stated workplace counts before the text."""
     schema = "ARRAY<STRUCT<text STRING, hostedUrl STRING, applyUrl STRING, descriptionPlain STRING, description STRING, additionalPlain STRING, additional STRING, lists ARRAY<STRUCT<text STRING, content STRING>>, categories STRUCT<location STRING, commitment STRING>, workplaceType STRING, country STRING, createdAt BIGINT>>"
-    j = df.select(*keep, "company", "slug", F.explode(F.from_json("payload", schema)).alias("j")).where(F.col("j").isNotNull())
+    j = df.select(*keep, "company", "slug", F.explode(_array("payload", schema)).alias("j")).where(F.col("j").isNotNull())
     sections = F.transform(F.filter(F.coalesce(F.col("j.lists"), F.array()), lambda x: text(x["content"]) != ""), lambda x: F.when(text(x["text"]) != "", F.concat(x["text"], F.lit("\n"), x["content"])).otherwise(x["content"]))
     parts = F.concat(F.array(first_nonblank(F.col("j.descriptionPlain"), F.col("j.description"))), sections, F.array(first_nonblank(F.col("j.additionalPlain"), F.col("j.additional"))))
     j = j.withColumn("body", clean_text(F.array_join(F.filter(parts, lambda x: text(x) != ""), "\n\n")))
@@ -107,7 +112,7 @@ def boards(config: DataFrame) -> DataFrame:
 
 def remoteok(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     schema = "ARRAY<STRUCT<position STRING, company STRING, location STRING, description STRING, url STRING, apply_url STRING, date STRING, salary_min BIGINT, salary_max BIGINT>>"
-    j = df.select(*keep, F.explode(F.from_json("payload", schema)).alias("j")).where(text(F.col("j.position")) != "").withColumn("body", clean_text(F.col("j.description")))
+    j = df.select(*keep, F.explode(_array("payload", schema)).alias("j")).where(text(F.col("j.position")) != "").withColumn("body", clean_text(F.col("j.description")))
     amount, place = _amount(F.col("j.salary_min"), F.col("j.salary_max")), strip(F.col("j.location"))
     return canonical(
         j, "RemoteOK", keep, title=strip(F.col("j.position")), company=strip(F.col("j.company")), city_region=place, country=M.infer_country(place), work_format=F.lit("Remote"),
