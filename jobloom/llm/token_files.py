@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -102,9 +103,10 @@ class ShardWriter:
         self.ids: list[int] = []
         self.nulls = 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.out.write(ids.astype(f"<u{self.id_bytes}").tobytes())
-        self.tokens += len(ids)
+    def add(self, doc_id: int | None, ids: bytes) -> None:
+        """ids: packed id_bytes each."""
+        self.out.write(ids)
+        self.tokens += len(ids) // self.id_bytes
         self.ends.append(self.tokens)
         if doc_id is None:
             self.nulls += 1
@@ -168,9 +170,12 @@ def file_system(uri: str):
 
 class Encoder:
     """ids(texts) by the tokenizers library. Neither normaliser nor splitter of the vocabularies used here looks across
-    ASCII blanks, so each distinct piece between blanks is encoded once and its ids are kept (CACHE pieces at most)."""
+    ASCII blanks, so each distinct piece between blanks is encoded once and its ids are kept (CACHE pieces at most).
+    Pieces are lowered first where that is what the normaliser does (characters below U+0250), marks at the end of a
+    word are pieces of their own, and words of letters alone go to the library in one line, to be told apart by
+    the ends of words in their tokens."""
 
-    CACHE = 1 << 20
+    CACHE = 1 << 19
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -179,25 +184,71 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.no_padding()
         self.tok.no_truncation()
-        self.width = 2 if self.tok.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.width = 2 if max(vocab.values()) < 1 << 16 else 4
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.high = re.compile("[^\\x00-\u024f]|\u0130")
         self.known: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
+    def _encode(self, pieces: list[str]) -> Iterator[bytes]:
+        got = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
+        return (np.array(e.ids, dtype=f"<u{self.width}").tobytes() for e in got)
+
+    def _learn(self, new: list[str]) -> None:
+        known = self.known
+        letters = [w for w in new if w.isalpha()]
+        for lo in range(0, len(letters), 4096):
+            part = letters[lo : lo + 4096]
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype=f"<u{self.width}")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part):
+                raw, at = ids.tobytes(), (np.concatenate(([0], cut)) * self.width).tolist()
+                known.update((w, raw[a:b]) for w, a, b in zip(part, at[:-1], at[1:], strict=True))
+            else:
+                known.update(zip(part, self._encode(part), strict=True))
+        others = [w for w in new if not w.isalpha()]
+        parts = [w.rstrip(".,;:!?*#$%&") for w in others]
+        # a tail is a token run of its own only after a letter or digit
+        bases = [p if p[-1:].isascii() and p[-1:].isalnum() and len(p) < len(w) and p.isalpha() else "" for w, p in zip(others, parts, strict=True)]
+        need = {x for w, b in zip(others, bases, strict=True) if b for x in (b, w[len(b) :])}.difference(known)
+        if need:
+            self._learn_flat([*need])
+        whole = [w for w, b in zip(others, bases, strict=True) if not b]
+        for lo in range(0, len(whole), 20_000):
+            known.update(zip(whole[lo : lo + 20_000], self._encode(whole[lo : lo + 20_000]), strict=True))
+        known.update((w, known[b] + known[w[len(b) :]]) for w, b in zip(others, bases, strict=True) if b)
+
+    def _learn_flat(self, need: list[str]) -> None:
+        letters = [w for w in need if w.isalpha()]
+        if letters:
+            self._learn(letters)
+        tails = [w for w in need if not w.isalpha()]
+        self.known.update(zip(tails, self._encode(tails), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, packed self.width bytes each."""
+        split = [(t if "<|" in t or self.high.search(t) else t.lower()).split(" ") for t in map(_spaced, texts)]
         if len(self.known) > self.CACHE:
-            self.known.clear()
-        new = list(set().union(*split).difference(self.known))
-        for lo in range(0, len(new), 50_000):
-            part = new[lo : lo + 50_000]
-            got = self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=f"<u{self.width}").tobytes()) for w, e in zip(part, got, strict=True))
-        out = [np.frombuffer(b"".join([self.known[w] for w in words]), dtype=f"<u{self.width}") for words in split]
+            self.known = {"": b""}
+        known = self.known
+        known[""] = b""
+        new = list(set().union(*split).difference(known))
+        self._learn(new)
+        out = [b"".join([known[w] for w in words]) for words in split]
         for w in new:
             if len(w) > 64:
-                del self.known[w]
+                del known[w]
         return out
 
 
+def _spaced(text: str) -> str:
+    for blank in "\n\t\r\x0b\x0c":
+        if blank in text:
+            text = text.replace(blank, " ")
+    return text
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -220,7 +271,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
                     if writer is None:
                         system.create_dir(root, recursive=True)
                         writer = ShardWriter(system.open_output_stream(f"{root}/{os.path.basename(name)}"), enc.width)
-                    writer.add(i, np.append(x, np.array([end_id], dtype=x.dtype)))
+                    writer.add(i, x + int(end_id).to_bytes(enc.width, "little"))
         if writer is not None:
             foot = writer.close()
             yield pd.DataFrame({"part": [part], "file": [os.path.basename(name)], "docs": [foot["docs"]], "tokens": [foot["tokens"]]})
