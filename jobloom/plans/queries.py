@@ -35,7 +35,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 FT = fold_sql("title || chr(10) || full_text")
-T = M.folded_text(F.col("title"), F.col("full_text"))
+
+
+def T():
+    """Folded title and text; a function, as columns need a session."""
+    return M.folded_text(F.col("title"), F.col("full_text"))
 
 
 # --- identity --------------------------------------------------------------------------------------------------------
@@ -97,7 +101,7 @@ def infer_work_format(spark, d):
 
 @query(f"{WITH}, t AS (SELECT seq, {FT} AS t FROM p) SELECT seq, CASE " + " ".join(f"WHEN {any_sql('t', w)} THEN {q(n)}" for n, w in R.ROLES) + " ELSE 'Other' END AS role FROM t")
 def classify_role(spark, d):
-    return postings(spark, d).select("seq", M.classify_role(T).alias("role"))
+    return postings(spark, d).select("seq", M.classify_role(T()).alias("role"))
 
 
 _SKILLS = "list_filter([" + ", ".join(f"CASE WHEN {has('t', p)} THEN {q(n)} END" for n, p in R.SKILLS) + "], lambda x: x IS NOT NULL)"
@@ -105,7 +109,7 @@ _SKILLS = "list_filter([" + ", ".join(f"CASE WHEN {has('t', p)} THEN {q(n)} END"
 
 @query(f"{WITH}, t AS (SELECT seq, {FT} AS t FROM p) SELECT seq, coalesce(array_to_string({_SKILLS}, '; '), '') AS skills FROM t")
 def extract_skills(spark, d):
-    return postings(spark, d).select("seq", joined(M.skills(T)).alias("skills"))
+    return postings(spark, d).select("seq", joined(M.skills(T())).alias("skills"))
 
 
 _SPLIT = f"""{WITH}, t AS (SELECT seq, {FT} AS w, regexp_extract({FT}, {q('(?s)^(.*?)(?:' + R.PREFERRED + ')')}, 1) AS head, {has(FT, R.PREFERRED)} AS cut FROM p),
@@ -116,7 +120,7 @@ SELECT seq, coalesce(array_to_string(list_filter(every, lambda x: list_contains(
 
 @query(_SPLIT)
 def required_preferred(spark, d):
-    s = postings(spark, d).select("seq", M.required_preferred(T).alias("s"))
+    s = postings(spark, d).select("seq", M.required_preferred(T()).alias("s"))
     return s.select("seq", joined(F.col("s.required")).alias("required"), joined(F.col("s.preferred")).alias("preferred"))
 
 
@@ -126,7 +130,7 @@ _SNIP_YEARS = "CASE seq % 10 WHEN 1 THEN '5' WHEN 3 THEN '2' ELSE '' END"
 @query(f"{WITH} SELECT seq, {_SNIP_YEARS} AS low, CASE seq % 10 WHEN 1 THEN '5' WHEN 3 THEN '4' ELSE '' END AS high FROM p")
 def infer_experience_years(spark, d):
     """The prose names no years, so that the snippets' are known."""
-    s = postings(spark, d).select("seq", M.experience_years(T).alias("s"))
+    s = postings(spark, d).select("seq", M.experience_years(T()).alias("s"))
     return s.select("seq", "s.low", "s.high")
 
 
@@ -140,14 +144,14 @@ _LEVEL = "CASE " + " ".join(f"WHEN {has('lower(title)', p)} THEN {q(n)}" for n,
 
 @query(f"{WITH}, t AS (SELECT seq, title, {fold_sql('full_text')} AS b FROM p) SELECT seq, {_LEVEL} AS level FROM t")
 def classify_seniority(spark, d):
-    return postings(spark, d).select("seq", M.classify_seniority(F.col("title"), F.col("full_text"), M.experience_years(T)["low"]).alias("level"))
+    return postings(spark, d).select("seq", M.classify_seniority(F.col("title"), F.col("full_text"), M.experience_years(T())["low"]).alias("level"))
 
 
 @query()
 def analyze_record(spark, d):
     """All analysis columns in one projection."""
     p, c = postings(spark, d), F.col
-    s = p.select("seq", "title", "full_text", "city_region", "country", "salary", T.alias("t")).select("*", M.experience_years(c("t")).alias("y"), M.required_preferred(c("t")).alias("s"), M.split_city_region(c("city_region"), c("country")).alias("place"))
+    s = p.select("seq", "title", "full_text", "city_region", "country", "salary", T().alias("t")).select("*", M.experience_years(c("t")).alias("y"), M.required_preferred(c("t")).alias("s"), M.split_city_region(c("city_region"), c("country")).alias("place"))
     return s.select(
         "seq", M.classify_role(c("t")).alias("role_family"), M.classify_seniority(c("title"), c("full_text"), c("y.low")).alias("seniority"), c("y.low").alias("years_experience_min"), c("y.high").alias("years_experience_max"),
         joined(M.skills(c("t"))).alias("skills_all"), joined(c("s.required")).alias("required_skills"), joined(c("s.preferred")).alias("preferred_skills"), c("place.city").alias("city"), c("place.region").alias("region"), M.salary_usd(c("salary")).alias("salary_usd_equivalent"),

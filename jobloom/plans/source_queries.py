@@ -49,12 +49,15 @@ def _struct(**cols):
     return F.struct(*[c.alias(n) for n, c in cols.items()])
 
 
-_N = F.col("seq").cast("string")
+
+
+def _n():
+    return F.col("seq").cast("string")
 
 
 @query(f"{WITH} SELECT seq, title, company, city_region, 'Remote' AS work_format, 'https://x.example/' || seq AS url, '2026-09-01' AS date_published, 'ATS: Greenhouse; board: b' || (seq % 3) AS note FROM p")
 def src_greenhouse(spark, d):
-    job = _struct(title=F.col("title"), content=F.concat(F.lit("<p>"), F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("</p>")), absolute_url=F.concat(F.lit("https://x.example/"), _N), updated_at=F.lit("2026-09-01"), location=_struct(name=F.col("city_region")))
+    job = _struct(title=F.col("title"), content=F.concat(F.lit("<p>"), F.replace("body", F.lit("&"), F.lit("&amp;")), F.lit("</p>")), absolute_url=F.concat(F.lit("https://x.example/"), _n()), updated_at=F.lit("2026-09-01"), location=_struct(name=F.col("city_region")))
     pages = _payload(_short(spark, d), _struct(jobs=F.array(job)), "company", F.concat(F.lit("b"), (F.col("seq") % 3).cast("string")).alias("slug"))
     return S.greenhouse(pages, ("seq",)).select("seq", "title", "company", "city_region", "work_format", "url", "date_published", "note")
 
@@ -63,7 +66,7 @@ def src_greenhouse(spark, d):
 def src_lever(spark, d):
     n = F.col("seq")
     job = _struct(
-        text=F.col("title"), hostedUrl=F.concat(F.lit("https://l.example/"), _N), descriptionPlain=F.lit("Intro"), lists=F.array(_struct(text=F.lit("Duties"), content=F.col("body")), _struct(text=F.lit("Empty"), content=F.lit(""))),
+        text=F.col("title"), hostedUrl=F.concat(F.lit("https://l.example/"), _n()), descriptionPlain=F.lit("Intro"), lists=F.array(_struct(text=F.lit("Duties"), content=F.col("body")), _struct(text=F.lit("Empty"), content=F.lit(""))),
         categories=_struct(location=F.col("city_region"), commitment=F.lit("Full-time")), workplaceType=F.when(n % 3 == 0, "hybrid").when(n % 3 == 1, "onsite").otherwise("unspecified"), createdAt=F.lit(1767225600000),
     )
     return S.lever(_payload(_short(spark, d), F.array(job), "company", F.lit("b").alias("slug")), ("seq",)).select("seq", "title", "work_format", "contract_type", "full_text", "date_published")
@@ -72,10 +75,10 @@ def src_lever(spark, d):
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN 'Paris, France' ELSE 'Berlin' END AS city_region, CASE WHEN seq % 2 = 0 THEN 'Hybrid' ELSE 'Remote' END AS work_format FROM p WHERE contains(lower(title), 'data')")
 def src_bamboohr(spark, d):
     n, p = F.col("seq"), _short(spark, d)
-    entry = _struct(id=_N, jobOpeningName=F.col("title"), location=_struct(city=F.lit("Berlin")), locationType=F.lit("1"))
+    entry = _struct(id=_n(), jobOpeningName=F.col("title"), location=_struct(city=F.lit("Berlin")), locationType=F.lit("1"))
     lists = _payload(p, _struct(result=F.array(entry)), "company", F.lit("b").alias("slug"))
     opening = _struct(location=_struct(city=F.lit("Paris"), addressCountry=F.lit("France")), locationType=F.lit("2"), description=F.col("body"), jobOpeningName=F.lit(""))
-    details = p.where(n % 2 == 0).select(F.lit("b").alias("slug"), _N.alias("id"), F.to_json(_struct(result=_struct(jobOpening=opening))).alias("payload"))
+    details = p.where(n % 2 == 0).select(F.lit("b").alias("slug"), _n().alias("id"), F.to_json(_struct(result=_struct(jobOpening=opening))).alias("payload"))
     return S.bamboohr(lists, details, lambda t: fold(t).contains("data"), ("seq",)).select("seq", "title", "city_region", "work_format")
 
 
@@ -88,14 +91,14 @@ def ats_board_validate(spark, d):
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN '1000-' || (2000 + seq) || ' USD' ELSE '' END AS salary, CASE WHEN city_region = 'Paris, Ile-de-France, France' THEN 'France' WHEN city_region = 'Berlin, Germany' THEN 'Germany' WHEN city_region = 'Europe' THEN 'Europe' WHEN city_region = 'Kyiv, Ukraine' THEN 'Ukraine' WHEN city_region = 'Remote - USA' THEN 'USA' ELSE '' END AS country FROM p")
 def src_remoteok(spark, d):
     n = F.col("seq")
-    job = _struct(position=F.col("title"), company=F.col("company"), location=F.col("city_region"), description=F.col("body"), url=_N, salary_min=F.when(n % 2 == 0, 1000).otherwise(0), salary_max=F.when(n % 2 == 0, 2000 + n).otherwise(0))
+    job = _struct(position=F.col("title"), company=F.col("company"), location=F.col("city_region"), description=F.col("body"), url=_n(), salary_min=F.when(n % 2 == 0, 1000).otherwise(0), salary_max=F.when(n % 2 == 0, 2000 + n).otherwise(0))
     legal = _struct(position=F.lit(None).cast("string"), company=F.lit("legal"), location=F.lit(""), description=F.lit(""), url=F.lit(""), salary_min=F.lit(0), salary_max=F.lit(0).cast("long"))
     return S.remoteok(_payload(_short(spark, d), F.array(legal, job)), ("seq",)).select("seq", "title", "salary", "country")
 
 
 @query(f"{WITH} SELECT seq, title, company, '50000 EUR/year' AS salary, 'Remote' AS work_format FROM p")
 def src_jobicy(spark, d):
-    job = _struct(url=_N, jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.lit("Europe"), jobDescription=F.col("body"), salaryMin=F.lit(50000), salaryMax=F.lit(50000), salaryCurrency=F.lit("EUR"), salaryPeriod=F.lit("Yearly"))
+    job = _struct(url=_n(), jobTitle=F.col("title"), companyName=F.col("company"), jobGeo=F.lit("Europe"), jobDescription=F.col("body"), salaryMin=F.lit(50000), salaryMax=F.lit(50000), salaryCurrency=F.lit("EUR"), salaryPeriod=F.lit("Yearly"))
     return S.jobicy(_payload(_short(spark, d), _struct(jobs=F.array(job))), ("seq",)).select("seq", "title", "company", "salary", "work_format")
 
 
@@ -103,7 +106,7 @@ def src_jobicy(spark, d):
 def src_himalayas(spark, d):
     n = F.col("seq")
     places = F.when(n % 3 == 0, F.array().cast("array<string>")).when(n % 3 == 1, F.array(F.lit("Peru"))).otherwise(F.array(*[F.lit(x) for x in "ABCDEFGH"]))
-    job = _struct(title=F.col("title"), companyName=F.col("company"), guid=_N, description=F.col("body"), pubDate=F.lit(1767225600), locationRestrictions=places)
+    job = _struct(title=F.col("title"), companyName=F.col("company"), guid=_n(), description=F.col("body"), pubDate=F.lit(1767225600), locationRestrictions=places)
     pages = _payload(_short(spark, d), _struct(jobs=F.array(job), totalCount=F.when(n < 30, 21).otherwise(20)))
     more = pages.select(F.col("seq").alias("_n"), S.has_more_pages(F.col("payload"), F.lit(1)).alias("more"))
     return S.himalayas(pages, ("seq",)).join(more, F.col("seq") == F.col("_n")).select("seq", "city_region", "country", "date_published", "more")
@@ -119,7 +122,7 @@ def _rss(*tags):
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN 'Page Co' ELSE 'Bold Co' END AS company, 'Remote' AS work_format FROM p WHERE seq % 3 <> 0")
 def src_djinni(spark, d):
     n, p = F.col("seq"), _short(spark, d)
-    link = F.concat(F.lit("https://dj.example/"), _N)
+    link = F.concat(F.lit("https://dj.example/"), _n())
     feed = p.select("seq", _rss(("title", F.col("title")), ("link", link), ("description", F.lit("<p><strong>Bold Co</strong> віддалено</p>")), ("category", F.when(n % 3 == 0, "Support").otherwise("data analyst")), ("category", F.lit("Other"))))
     details = p.where(n % 2 == 0).select(link.alias("link"), F.lit('<a class="c" href="https://dj.example/jobs/company-x">Page Co</a>').alias("html"))
     return S.djinni(feed, "Data Analyst", details, ("seq",)).select("seq", "title", "company", "work_format")
@@ -130,13 +133,13 @@ def src_dou(spark, d):
     n = F.col("seq")
     place = F.when(n % 3 == 0, "Київ").when(n % 3 == 1, "Варшава (Польща)").otherwise("віддалено")
     title = F.concat(F.col("title"), F.lit(" в Acme, 2-Inc, "), F.when(n % 2 == 0, "$2000–3000, ").otherwise(""), place)
-    feed = _short(spark, d).select("seq", _rss(("title", title), ("link", F.concat(F.lit("https://dou.example/"), _N, F.lit("?utm_source=jobsrss"))), ("description", F.col("body")), ("pubDate", F.lit("Fri, 02 Oct 2026 15:31:05"))))
+    feed = _short(spark, d).select("seq", _rss(("title", title), ("link", F.concat(F.lit("https://dou.example/"), _n(), F.lit("?utm_source=jobsrss"))), ("description", F.col("body")), ("pubDate", F.lit("Fri, 02 Oct 2026 15:31:05"))))
     return S.dou(feed, ("seq",)).select("seq", "title", "company", "salary", "country", "work_format")
 
 
 @query(f"{WITH} SELECT seq, title, company, CASE WHEN city_region = '' THEN 'USA' ELSE city_region END AS city_region, 'https://w.example/' || seq AS url FROM p")
 def src_wwr(spark, d):
-    feed = _short(spark, d).select("seq", _rss(("title", F.concat("company", F.lit(": "), "title")), ("link", F.concat(F.lit("https://w.example/"), _N)), ("description", F.col("body")), ("region", F.col("city_region")), ("country", F.lit("USA"))))
+    feed = _short(spark, d).select("seq", _rss(("title", F.concat("company", F.lit(": "), "title")), ("link", F.concat(F.lit("https://w.example/"), _n())), ("description", F.col("body")), ("region", F.col("city_region")), ("country", F.lit("USA"))))
     return S.weworkremotely(feed, ("seq",)).select("seq", "title", "company", "city_region", "url")
 
 
@@ -144,7 +147,7 @@ def _page(spark, d):
     job = F.to_json(_struct(title=F.col("title"), description=F.lit("<p>Hybrid</p>"), datePosted=F.lit("2026-09-01"), hiringOrganization=_struct(name=F.col("company")), jobLocation=F.array(_struct(address=_struct(addressLocality=F.lit("Paris"), addressCountry=F.lit("France")))), baseSalary=_struct(currency=F.lit("EUR"), value=_struct(minValue=F.lit("10"), maxValue=F.lit("20"), unitText=F.lit("HOUR")))))
     job = F.regexp_replace(job, r"^\{", '{"@type":"JobPosting",')
     ld = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), job, F.lit("</script>"))).otherwise("")
-    return _short(spark, d).select("seq", F.concat(F.lit("https://li.example/"), _N).alias("url"), F.concat(F.lit("<html><title>"), F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit(" | Tag Co | LinkedIn</title>"), ld, F.lit('<body><div class="description">Fully remote</div></body></html>')).alias("html"))
+    return _short(spark, d).select("seq", F.concat(F.lit("https://li.example/"), _n()).alias("url"), F.concat(F.lit("<html><title>"), F.replace("title", F.lit("&"), F.lit("&amp;")), F.lit(" | Tag Co | LinkedIn</title>"), ld, F.lit('<body><div class="description">Fully remote</div></body></html>')).alias("html"))
 
 
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN company ELSE 'Tag Co' END AS company, CASE WHEN seq % 2 = 0 THEN 'Paris, France' ELSE '' END AS city_region, CASE WHEN seq % 2 = 0 THEN '10-20 EUR/hour' ELSE '' END AS salary, CASE WHEN seq % 2 = 0 THEN 'Hybrid' ELSE 'Remote' END AS work_format FROM p")
@@ -160,14 +163,14 @@ def src_wttj(spark, d):
 @query(f"{WITH} SELECT seq, title, 'Ukraine' AS country, title || chr(10) || 'Body ' || company AS full_text FROM p")
 def src_work_ua(spark, d):
     esc = lambda c: F.replace(F.col(c), F.lit("&"), F.lit("&amp;"))
-    pages = postings(spark, d).select("seq", _N.alias("url"), F.concat(F.lit("<h1>"), esc("title"), F.lit("</h1><p>Body "), esc("company"), F.lit("</p><div>Similar jobs</div><p>Other</p>")).alias("html"))
+    pages = postings(spark, d).select("seq", _n().alias("url"), F.concat(F.lit("<h1>"), esc("title"), F.lit("</h1><p>Body "), esc("company"), F.lit("</p><div>Similar jobs</div><p>Other</p>")).alias("html"))
     return S.detail_pages(pages, "Work.ua", ("Similar jobs",), ("seq",)).select("seq", "title", "country", "full_text")
 
 
 @query(f"{WITH} SELECT seq, title AS name, 'https://c.example/' || seq AS page, '' AS note FROM p")
 def src_notion_table(spark, d):
     cell = lambda t, h: _struct(text=t, href=h)
-    rows = postings(spark, d).select("seq", F.array(*[F.lit(x) for x in ("Name", "Page", "Note")]).alias("headers"), F.array(cell(F.col("title"), F.lit("")), cell(F.lit("c.ex…"), F.concat(F.lit("https://c.example/"), _N))).alias("cells"))
+    rows = postings(spark, d).select("seq", F.array(*[F.lit(x) for x in ("Name", "Page", "Note")]).alias("headers"), F.array(cell(F.col("title"), F.lit("")), cell(F.lit("c.ex…"), F.concat(F.lit("https://c.example/"), _n()))).alias("cells"))
     return S.table_rows(rows).select("seq", F.col("row.Name").alias("name"), F.col("row.Page").alias("page"), F.col("row.Note").alias("note"))
 
 
@@ -184,7 +187,7 @@ def clean_text(spark, d):
 def scan_csv(spark, d):
     """Written as CSV and read back as text."""
     folder = _folder(spark, "csv")
-    T.write_csv(postings(spark, d).select(_N.alias("seq"), "title", "company", "full_text"), folder)
+    T.write_csv(postings(spark, d).select(_n().alias("seq"), "title", "company", "full_text"), folder)
     return T.read_csv(spark, folder, ["seq", "title", "company", "full_text"])
 
 
@@ -216,7 +219,7 @@ def draft_content(spark, d):
 
 @query(f"{WITH} SELECT seq, company || ' · a.b@x.example · linkedin.com/in/' || seq AS contact FROM p")
 def contact_line(spark, d):
-    cv = F.concat(F.col("company"), F.lit(" — Resume\n"), F.col("company"), F.lit("\nmail a.b@x.example, linkedin.com/in/"), _N)
+    cv = F.concat(F.col("company"), F.lit(" — Resume\n"), F.col("company"), F.lit("\nmail a.b@x.example, linkedin.com/in/"), _n())
     return postings(spark, d).select("seq", T.contact_line(cv).alias("contact"))
 
 
