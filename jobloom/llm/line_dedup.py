@@ -7,7 +7,9 @@ A *gram* starts at a line and has as many lines as it takes to reach
 takes to reach ``guarantee`` words; of the grams inside, the one with the
 smallest hash (then the first) is a fingerprint. Windows depend on their own
 lines only, so equal runs of at least ``guarantee`` words choose equal
-fingerprints: each such run is found. A text of ``noise`` words or more that has
+fingerprints: each such run is found. A fingerprint stands under the hash of
+its gram and under those of the windows that chose it, so that a run meets a first
+place that has all of it, whatever shorter runs came before. A text of ``noise`` words or more that has
 no full window is one window. Places are ordered by document id, then
 line; a fingerprint's first place is the keeper, and a later place with that
 fingerprint is matched against it: the match is extended line by line both ways
@@ -47,7 +49,8 @@ def _full(line):
 
 
 def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
-    """(id, th, at, h, words) with at counting the lines that are not blank -> id, th, at, gram of the fingerprints."""
+    """(id, th, at, h, words) with at counting the lines that are not blank -> id, th, at, gram of the fingerprints, where gram
+    is the hash of the fingerprint's own gram or of a whole window that chose it."""
     by = Window.partitionBy("id", "th").orderBy("at")
     lines = lines.withColumn("to", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("to") - F.col("words"))
     run = Window.partitionBy("id", "th").orderBy("start")
@@ -56,6 +59,7 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
         lines.withColumn("gram", F.xxhash64(F.collect_list("h").over(short)))
         .withColumn("gram_to", F.max("to").over(short))
         .withColumn("run_to", F.max("to").over(long))
+        .withColumn("run", F.xxhash64(F.collect_list("h").over(long), F.lit("run")))
         .withColumn("whole", F.sum("words").over(Window.partitionBy("id", "th")))
     )
     # a gram that the text's end cuts short counts as none
@@ -63,8 +67,8 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
     grams = grams.withColumn("inside", F.collect_list("gram").over(long))
     full = (F.col("run_to") - F.col("start") >= guarantee) | ((F.col("start") == 0) & (F.col("whole") < guarantee))
     best = F.array_min(F.filter("inside", lambda g: g["gram_to"] <= F.col("run_to")))
-    picked = grams.where(full).select("id", "th", best.alias("best")).where(F.col("best").isNotNull())
-    return picked.select("id", "th", F.col("best.at").alias("at"), F.col("best.gram").alias("gram")).distinct()
+    picked = grams.where(full).select("id", "th", best.alias("best"), "run").where(F.col("best").isNotNull())
+    return picked.select("id", "th", F.col("best.at").alias("at"), F.explode(F.array("best.gram", "run")).alias("gram")).distinct()
 
 
 def repeated_runs(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
