@@ -2,12 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
 
+#: Links up to this many (16 MB) are joined by one task; beyond, by rounds of stars over all executors.
+LOCAL_LINKS = 1_000_000
+
+
+def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Union-find over the links of a partition: each node with the smallest one of its component."""
+    parent: dict[int, int] = {}
+    for b in batches:
+        for x, y in zip(b["a"].tolist(), b["b"].tolist(), strict=True):
+            roots = []
+            for n in (x, y):
+                top = n
+                while parent.setdefault(top, top) != top:
+                    top = parent[top]
+                while parent[n] != top:
+                    parent[n], n = top, parent[n]
+                roots.append(top)
+            parent[max(roots)] = min(roots)
+    found = []
+    for n in parent:
+        top = n
+        while parent[top] != top:
+            top = parent[top]
+        found.append(top)
+    yield pd.DataFrame({"node": list(parent), "component": found}, dtype="int64")
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).collect()[0])
 
@@ -15,14 +45,16 @@ def _state(edges: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(a long, b long) -> node, component (smallest node reachable), for every node of a link.
 
-    Large stars hang each node's larger neighbours on its smallest one, small
+    Few links (a count decides) are a matter of one bounded task. For more, large stars hang each node's larger neighbours on its smallest one, small
     stars its smaller neighbours; the graph keeps its components and becomes
     stars after about log(nodes) rounds. A round is two sums with map-side combine
     and two equi-joins whose hot keys adaptive execution can split; it is
-    written to the shared folder, so lineage stays short. Only a count and a
-    checksum reach the driver.
+    written to the shared folder, so lineage stays short. Only counts and checksums
+    reach the driver.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    if edges.count() <= LOCAL_LINKS:
+        return materialize(edges.coalesce(1).mapInPandas(_forest, "node long, component long"), "components")
     last = _state(edges)
     while last[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))

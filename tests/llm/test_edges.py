@@ -357,3 +357,26 @@ def test_nearest(spark):
     tiny = spark.createDataFrame(rows[:4], "vec_id long, embedding array<double>, id int")
     assert len(ann.search(tiny, F.col("vec_id") == 0).collect()) == 3
     assert ann.search(tiny.limit(0), F.col("vec_id") == 0).count() == 0
+
+
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components(spark, monkeypatch, local):
+    from jobloom.llm import components
+
+    monkeypatch.setattr(components, "LOCAL_LINKS", local)
+    rng = random.Random(3)
+    links = [(i, i + 1) for i in range(1000, 1040)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(7, 7)]
+    parent = {n: n for p in links if p[0] != p[1] for n in p}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {n: root(n) for n in parent}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
