@@ -79,7 +79,7 @@ class Signer:
     def hashes(self, text: str | None) -> np.ndarray:
         w = words(text)
         known, hash64 = self.known, self.hash
-        if len(known) > 1 << 20:
+        if len(known) > 1 << 18:
             known.clear()
         for x in set(w).difference(known):
             known[x] = hash64(x)
@@ -157,12 +157,16 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[str, set] = {}
+        size = 0
 
         def of(t: str | None) -> set:
+            nonlocal size
             if t not in sets:
-                if len(sets) >= 64:
+                if size > 200_000:
                     sets.clear()
+                    size = 0
                 sets[t] = shingle_set(t, width)
+                size += len(sets[t])
             return sets[t]
 
         for b in batches:
