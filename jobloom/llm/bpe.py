@@ -28,13 +28,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
-CHUNK, CACHE = 1 << 23, 1 << 20
+CHUNK, CACHE = 1 << 22, 300_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -93,7 +94,7 @@ class PairIndexBPE:
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(ends) else 0
         sym = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
         nxt[ends[lengths > 0] - 1] = -1
         prv[(ends - lengths)[lengths > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -195,38 +196,45 @@ def codec(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about most characters; a longer text is a chunk of its own."""
+def ranges(sizes, most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of the given sizes with about most in each; a longer text is a range of its own."""
     lo = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
+    for i, n in enumerate(sizes):
+        if size and size + n > most:
             yield lo, i
             lo, size = i, 0
-        size += len(t)
-    if lo < len(texts):
-        yield lo, len(texts)
+        size += int(n)
+    if lo < len(sizes):
+        yield lo, len(sizes)
+
+
+def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
+    return ranges([len(t) for t in texts], most)
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary: little-endian u32) and decoded text."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
         for b in batches:
-            texts = ["" if t is None else t for t in b["text"]]
-            for lo, hi in chunks(texts):
-                ids = bpe.encode(texts[lo:hi])
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in ranges(sizes):
+                texts = ["" if t is None else t for t in b.column("text").slice(lo, hi - lo).to_pylist()]
+                ids = bpe.encode(texts)
                 decoded = [bpe.decode(x) for x in ids]
-                out = {
-                    "doc_id": b["doc_id"].iloc[lo:hi].astype("Int64").to_numpy(dtype=object, na_value=None),
-                    "n_tokens": [len(x) // 4 for x in ids],
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in decoded],
-                }
-                yield pd.DataFrame(out | ({"ids": ids, "decoded": decoded} if with_ids else {}))
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, schema)
+                cols = [
+                    b.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
+                ]
+                cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())] if with_ids else []
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        bpe.known.clear()
+        release()
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, release, table
 from .components import components
 
 POSITIONS, CHUNK, ERRORS, BITS = 36, 4, 1, 16
@@ -113,6 +113,8 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             packed = (sig << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
             names = np.array([g[1:3] for g in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [g[0] for g in got], "c1": names[:, 0], "c2": names[:, 1]} | {s: packed[:, i] for i, s in enumerate(SIGS)})
+        signer.known.clear()
+        release()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{s} long" for s in SIGS))
@@ -176,6 +178,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
                 same = len(p & q)
                 good.append(bool(same) and 100 * same >= percent * (len(p) + len(q) - same))
             yield b.loc[good, ["a", "b"]]
+        sets.clear()
+        release()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 

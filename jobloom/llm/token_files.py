@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import chunks, vocabulary
-from .common import fresh_dir, table
+from .common import fresh_dir, release, table
 
 MAGIC, SAMPLE, END_ID = b"EFTOK001", 256, 1
 
@@ -272,6 +272,8 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
                         system.create_dir(root, recursive=True)
                         writer = ShardWriter(system.open_output_stream(f"{root}/{os.path.basename(name)}"), enc.width)
                     writer.add(i, x + int(end_id).to_bytes(enc.width, "little"))
+        enc.known = {}
+        release()
         if writer is not None:
             foot = writer.close()
             yield pd.DataFrame({"part": [part], "file": [os.path.basename(name)], "docs": [foot["docs"]], "tokens": [foot["tokens"]]})
