@@ -8,8 +8,12 @@ takes to reach ``guarantee`` words; of the grams inside, the one with the
 smallest hash (then the first) is a fingerprint. Windows depend on their own
 lines only, so equal runs of at least ``guarantee`` words choose equal
 fingerprints: each such run is found. A fingerprint stands under the hash of
-its gram and under those of the windows that chose it, so that a run meets a first
-place that has all of it, whatever shorter runs came before. A text of ``noise`` words or more that has
+its gram and under those of the windows that chose it. An *end window* ends at a
+line and has as many lines before it as it takes to reach ``guarantee`` words; it
+stands under its own hash. Each line of a repeated run of at least ``guarantee``
+words is in a window that starts at it, or else in the end window of the run's last
+line; the first place of either has all of it, so that the run is removed whole,
+whatever shorter runs came before. A text of ``noise`` words or more that has
 no full window is one window. Places are ordered by document id, then
 line; a fingerprint's first place is the keeper, and a later place with that
 fingerprint is matched against it: the match is extended line by line both ways
@@ -50,7 +54,8 @@ def _full(line):
 
 def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
     """(id, th, at, h, words) with at counting the lines that are not blank -> id, th, at, gram of the fingerprints, where gram
-    is the hash of the fingerprint's own gram or of a whole window that chose it."""
+    is the hash of the fingerprint's own gram or of a whole window that chose it; and id, th, at, gram of the last lines of windows
+    by their end."""
     by = Window.partitionBy("id", "th").orderBy("at")
     lines = lines.withColumn("to", F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("to") - F.col("words"))
     run = Window.partitionBy("id", "th").orderBy("start")
@@ -62,13 +67,17 @@ def fingerprints(lines: DataFrame, noise: int, guarantee: int) -> DataFrame:
         .withColumn("run", F.xxhash64(F.collect_list("h").over(long), F.lit("run")))
         .withColumn("whole", F.sum("words").over(Window.partitionBy("id", "th")))
     )
+    back = Window.partitionBy("id", "th").orderBy("to").rangeBetween(1 - guarantee, 0)
+    ends = lines.withColumn("run", F.xxhash64(F.collect_list("h").over(back), F.lit("end"))).withColumn("size", F.col("to") - F.min("start").over(back))
+    # shorter without its last line, it is the window that starts at its first line
+    ends = ends.where(F.col("size") - F.col("words") >= guarantee).select("id", "th", "at", F.col("run").alias("gram"))
     # a gram that the text's end cuts short counts as none
     grams = grams.withColumn("gram", F.when(F.col("gram_to") - F.col("start") >= noise, F.struct("gram", "at", "gram_to")))
     grams = grams.withColumn("inside", F.collect_list("gram").over(long))
     full = (F.col("run_to") - F.col("start") >= guarantee) | ((F.col("start") == 0) & (F.col("whole") < guarantee))
     best = F.array_min(F.filter("inside", lambda g: g["gram_to"] <= F.col("run_to")))
     picked = grams.where(full).select("id", "th", best.alias("best"), "run").where(F.col("best").isNotNull())
-    return picked.select("id", "th", F.col("best.at").alias("at"), F.explode(F.array("best.gram", "run")).alias("gram")).distinct()
+    return picked.select("id", "th", F.col("best.at").alias("at"), F.explode(F.array("best.gram", "run")).alias("gram")).distinct().unionByName(ends)
 
 
 def repeated_runs(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:

@@ -380,3 +380,27 @@ def test_components(spark, monkeypatch, local):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: root(n) for n in parent}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_line_dedup_tails(spark):
+    """Maximal repeated runs go whole: long lines before a short tail that the first copy of the long lines lacks."""
+    p1, p2, s1, s2 = (" ".join(f"{x}{i}" for i in range(n)) for x, n in (("p", 55), ("q", 60), ("r", 35), ("s", 35)))
+    texts = ["\n".join(x) for x in ([p1, p2, s1], [p1, p2, s2], [p1, p2, s2])]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: texts[0], 1: s2, 2: ""}
+
+    rng, noise, guarantee = random.Random(11), 10, 20
+    pool = [words(rng, rng.choice((2, 6, 12, 22, 30))) for _ in range(12)]
+    docs = [[rng.choice(pool) for _ in range(rng.randrange(1, 7))] for _ in range(80)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame([(i, "\n".join(d)) for i, d in enumerate(docs)], "doc_id long, text string"), noise=noise, guarantee=guarantee).collect()}
+    earlier: set[tuple] = set()
+    for i, d in enumerate(docs):
+        gone, size = set(), [len(x.split()) for x in d]
+        for a in range(len(d)):
+            for b in range(a, len(d)):
+                run = tuple(d[a : b + 1])
+                if sum(size[a : b + 1]) >= guarantee:
+                    if run in earlier:
+                        gone |= set(range(a, b + 1))
+                    earlier.add(run)
+        assert not Counter(got[i]["text"].split("\n")) - Counter(x for j, x in enumerate(d) if j not in gone) - Counter([""]), i
