@@ -404,3 +404,33 @@ def test_line_dedup_tails(spark):
                         gone |= set(range(a, b + 1))
                     earlier.add(run)
         assert not Counter(got[i]["text"].split("\n")) - Counter(x for j, x in enumerate(d) if j not in gone) - Counter([""]), i
+
+
+def test_lm_contexts_are_words(spark):
+    """Words before that end alike are contexts of their own: which word follows which one shows in the score."""
+    pairs = [("the", "xx"), ("bathe", "yy")]
+    rows = [(i, " ".join(pairs[i % 2]), False) for i in range(200)] + [(1000, "the xx", True), (1001, "bathe yy", True), (1002, "the yy", True), (1003, "bathe xx", True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(docs, F.col("held")).collect()}
+    assert len(got) == 204 and min(got[1000], got[1001]) > max(got[1002], got[1003]) + 1
+
+
+def test_lm_scores_brute(spark):
+    """Where no pair of words comes twice each has one table: scores are those of the formula, with T_u and N_u of the whole corpus."""
+    texts = [f"s{i} w{i % 7} w{i // 7 + 7} w{i % 7 + 20 + i // 7 * 7} e{i}" for i in range(42)]
+    rows = [(i, t, False) for i, t in enumerate(texts)] + [(100, "s1 w3 w9 new w3", True)]
+    got = {r["doc_id"]: r["score"] for r in hpylm.score(spark.createDataFrame(rows, "doc_id long, text string, held boolean"), F.col("held")).collect()}
+    split = lambda t: [hpylm.START, *t.encode().split(), hpylm.END]
+    pairs = Counter(p for t in texts for p in zip(split(t), split(t)[1:]))
+    assert set(pairs.values()) == {1}
+    d, s = 0.95, hpylm.STRENGTH  # no pair of two
+    after, tables = Counter(u for u, _ in pairs), Counter(w for _, w in pairs)
+    kinds = Counter(tables.values())
+    d0, n0, v = hpylm._discount(kinds[1], kinds[2]), len(pairs), len(tables)
+    for i, t, _ in rows:
+        want = 0.0
+        for u, w in zip(split(t), split(t)[1:]):
+            p = (tables[w] - d0 if tables[w] else s + d0 * v) / (s + n0)
+            c = pairs[u, w]
+            want += math.log10((c - d * c + (s + d * after[u]) * p) / (s + after[u]))
+        assert abs(got[i] - want) < 1e-6, i
