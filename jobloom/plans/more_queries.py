@@ -147,8 +147,12 @@ def verdict(spark, d):
 
 @query(f"{WITH} SELECT job_id, CASE WHEN seq % 2 = 0 THEN 'approved' ELSE '' END AS review_verdict FROM p WHERE seq % 50 = 0")
 def scan_drafts(spark, d):
-    """Drafts as rows of a landed table: whole texts keyed by the file's stem."""
-    return _drafted(spark, d).where(_n() % 50 == 0).select("job_id", T.verdict(F.col("md")).alias("review_verdict"))
+    """All drafts of the view as files, scanned whole into a table; the SQL's ids are taken from what the scan found."""
+    folder, book = _folder(spark, "drafts"), _folder(spark, "book")
+    T.write_drafts(_drafted(spark, d), folder)
+    T.write_sheet(T.drafts(spark, folder), book, "drafts")
+    found = T.read_sheet(spark, book, ("drafts",))
+    return found.where(F.substring("job_id", 2, 20).cast("long") % 50 == 0).select("job_id", "review_verdict")
 
 
 @query(f"{WITH} SELECT seq, 'Ann Smith' || chr(10) || company AS cv FROM p")

@@ -53,6 +53,27 @@ def drafts(spark: SparkSession, folder: str) -> DataFrame:
     return md.join(pdf, F.col("job_id") == F.col("pdf"), "left").select("job_id", verdict(F.col("value")).alias("review_verdict"), F.col("pdf").isNotNull().alias("pdf_ready"))
 
 
+def write_drafts(df: DataFrame, folder: str) -> None:
+    """(job_id, md, pdf) -> a file job_id.md for each row, and a job_id.pdf of a header alone where pdf is true; ids are plain names."""
+
+    def run(batches):
+        import os
+
+        import pandas as pd
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder if ":/" in folder else "file://" + os.path.abspath(folder))
+        system.create_dir(root, recursive=True)
+        for b in batches:
+            for job_id, md, pdf in zip(b["job_id"], b["md"], b["pdf"], strict=True):
+                for name, body in (("md", md.encode()), *([("pdf", b"%PDF")] if pdf else [])):
+                    with system.open_output_stream(f"{root}/{job_id}.{name}") as out:
+                        out.write(body)
+            yield pd.DataFrame({"n": [len(b)]})
+
+    df.select("job_id", "md", "pdf").mapInPandas(run, "n long").agg(F.sum("n")).collect()
+
+
 REVIEW_MARK = "## Ревью"
 
 

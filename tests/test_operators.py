@@ -129,3 +129,22 @@ def test_recommendations(spark):
     assert set(got) == {"dbt", "R"}
     assert got["dbt"]["action"] == "learn" and got["dbt"]["certs"] == 3 and got["R"]["action"] == "low priority"
     assert got["dbt"]["line"].startswith("LEARN         dbt: near-fit 3, all postings 3 (15%); certificate mentioned in 3 postings")
+
+
+def test_scan_drafts_whole(spark, monkeypatch):
+    """The scan meets every draft of the view, with its verdict and its .pdf; the query gives the rows of its SQL."""
+    from jobloom.plans import more_queries as Q
+
+    scanned, drafts, d = [], T.drafts, "/root/testdata/sf0.001"
+
+    def spy(*a):
+        scanned.append(drafts(*a))
+        return scanned[-1]
+
+    monkeypatch.setattr(T, "drafts", spy)
+    got = sorted(map(tuple, Q.QUERIES["scan_drafts"](spark, d).collect()))
+    ids = [r[0] for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id").collect()]
+    name, verdict = lambda n: f"j{n:08d}", lambda n: "" if n % 2 else "approved"
+    assert len(scanned) == 1
+    assert sorted(map(tuple, scanned[0].collect())) == sorted((name(n), verdict(n), n % 4 == 0) for n in ids if n % 5 == 0)
+    assert got == sorted((name(n), verdict(n)) for n in ids if n % 50 == 0)
