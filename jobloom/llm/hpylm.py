@@ -230,7 +230,8 @@ def own(packed_rows: DataFrame) -> DataFrame:
 
 def seat(count: np.ndarray, opens: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
     """Tables of each pair after its customers sat down; opens: a new table's weight. Up to 64 customers one by one, then from
-    table to table: the number of customers until the next table opens is drawn at once (its tail is a power)."""
+    table to table: the number of customers until the next table opens is drawn at once. Its tail is a ratio of gamma functions,
+    that of a geometric number whose odds are drawn from a beta distribution."""
     tables = (count > 0).astype(np.int64)
     act = np.flatnonzero(count > 1)
     for j in range(1, 64):
@@ -244,8 +245,8 @@ def seat(count: np.ndarray, opens: np.ndarray, d: float, rng: np.random.Generato
     while len(act):
         a = np.maximum(opens[act], 1e-12)
         old = np.maximum(seated - d * tables[act], 1e-9)
-        with np.errstate(over="ignore"):
-            seated = seated + np.floor(old * (np.power(rng.random(len(act)), -1.0 / a) - 1)) + 1
+        with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+            seated = seated + np.floor(np.log(1 - rng.random(len(act))) / np.log1p(-rng.beta(a, old))) + 1
         live = seated <= count[act]
         act, seated = act[live], seated[live]
         tables[act] += 1

@@ -434,3 +434,14 @@ def test_lm_scores_brute(spark):
             c = pairs[u, w]
             want += math.log10((c - d * c + (s + d * after[u]) * p) / (s + after[u]))
         assert abs(got[i] - want) < 1e-6, i
+
+
+def test_lm_seats_exact():
+    """Gaps drawn at once give as many tables as customers seated one by one, with large weights of a new table too."""
+    rng, d = np.random.default_rng(4), 0.8
+    for n, a in ((1000, 100.0), (3000, 1000.0), (1000, 2.0)):
+        slow = np.ones(200)
+        for j in range(1, n):
+            slow += rng.random(200) * (j - d * slow + a) < a
+        fast = hpylm.seat(np.full(200, n), np.full(200, a), d, rng)
+        assert abs(fast.mean() - slow.mean()) < 0.02 * slow.mean() + 0.5, (n, a)
