@@ -1,4 +1,18 @@
-"""Connected components of a table of links, by alternating stars."""
+"""Connected components of a table of links, by union-find in tasks of bounded size.
+
+The links are dealt evenly over as many tasks as LINKS_PER_TASK asks for; each task
+joins its links and names, for every node, the root of the node's tree there. A
+node that several tasks saw hangs on the least of its roots, and its other roots
+are linked to that one: these are the links of the next level, over roots alone.
+Roots are the least by a hash that changes with the level, so a node that isn't the least among its
+neighbours is gone after a level, and levels are as many as the logarithm of
+the links that don't fit one task. On the way back every node takes the
+component of the root it hangs on.
+
+Neither dealing nor grouping gathers a hot node: links are dealt by both ends, and a
+node has one root from each task at most. What a level hands on is written to the shared folder,
+so lineage stays short; only counts reach the driver.
+"""
 
 from __future__ import annotations
 
@@ -10,15 +24,17 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-
-#: Links up to this many (16 MB) are joined by one task; beyond, by rounds of stars over all executors.
-LOCAL_LINKS = 1_000_000
+#: Links that one task joins (16 MB, some 200 MB while it runs).
+LINKS_PER_TASK = 1_000_000
 
 
 def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Union-find over the links of a partition: each node with the smallest one of its component."""
+    """Union-find over the links of a partition: each node with the root of its tree, the end least by (order, node)."""
     parent: dict[int, int] = {}
+    order: dict[int, int] = {}
     for b in batches:
+        order.update(zip(b["a"].tolist(), b["oa"].tolist(), strict=True))
+        order.update(zip(b["b"].tolist(), b["ob"].tolist(), strict=True))
         for x, y in zip(b["a"].tolist(), b["b"].tolist(), strict=True):
             roots = []
             for n in (x, y):
@@ -27,45 +43,40 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     top = parent[top]
                 while parent[n] != top:
                     parent[n], n = top, parent[n]
-                roots.append(top)
-            parent[max(roots)] = min(roots)
+                roots.append((order[top], top))
+            parent[max(roots)[1]] = min(roots)[1]
     found = []
     for n in parent:
         top = n
         while parent[top] != top:
             top = parent[top]
         found.append(top)
-    yield pd.DataFrame({"node": list(parent), "component": found}, dtype="int64")
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))).collect()[0])
+    yield pd.DataFrame({"node": list(parent), "root": found}, dtype="int64")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(a long, b long) -> node, component (smallest node reachable), for every node of a link.
-
-    Few links (a count decides) are a matter of one bounded task. For more, large stars hang each node's larger neighbours on its smallest one, small
-    stars its smaller neighbours; the graph keeps its components and becomes
-    stars after about log(nodes) rounds. A round is two sums with map-side combine
-    and two equi-joins whose hot keys adaptive execution can split; it is
-    written to the shared folder, so lineage stays short. Only counts and checksums
-    reach the driver.
-    """
-    edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    if edges.count() <= LOCAL_LINKS:
-        return materialize(edges.coalesce(1).mapInPandas(_forest, "node long, component long"), "components")
-    last = _state(edges)
-    while last[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(low, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", "m"), F.struct(F.col("b").alias("a"), "m"))).alias("e"))
-        small = small.select(F.col("e.a").alias("a"), F.col("e.m").alias("b")).where("a <> b").distinct()
-        edges = materialize(small, "stars")
-        now = _state(edges)
-        if now == last:
+    """(a long, b long) -> node, component (smallest node reachable), for every node of a link."""
+    edges = materialize(links.where("a <> b").select("a", "b"), "links")
+    hung: list[DataFrame] = []
+    while True:
+        tasks = max(1, -(-edges.count() // LINKS_PER_TASK))
+        level = len(hung)
+        dealt = edges.repartition(tasks, "a", "b") if tasks > 1 else edges.coalesce(1)
+        order = lambda c: (F.col(c) if tasks == 1 else F.xxhash64(F.col(c), F.lit(level))).alias("o" + c)  # noqa: E731, B023
+        roots = dealt.select("a", "b", order("a"), order("b")).mapInPandas(_forest, "node long, root long")
+        if tasks == 1:
+            found = materialize(roots.select("node", F.col("root").alias("component")), "components")
             break
-        last = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
+        roots = materialize(roots, "roots")
+        least = roots.groupBy("node").agg(F.min(F.struct(F.xxhash64("root", F.lit(level)), "root"))["root"].alias("on"))
+        least = materialize(least, "hung")
+        hung.append(least)
+        edges = roots.join(least, "node").where("root <> on").select(F.col("root").alias("a"), F.col("on").alias("b")).distinct()
+        edges = materialize(edges, "links")
+    if not hung:
+        return found
+    for least in reversed(hung):
+        up = found.select(F.col("node").alias("top"), "component")
+        found = materialize(least.join(up, F.col("on") == F.col("top"), "left").select("node", F.coalesce("component", "on").alias("component")), "found")
+    names = found.groupBy("component").agg(F.min("node").alias("least"))
+    return materialize(found.join(names, "component").select("node", F.col("least").alias("component")), "components")

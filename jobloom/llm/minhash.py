@@ -10,19 +10,22 @@ for each way to leave ERRORS of its positions out, so that such a pair
 shares a key for certain. A pair of similarity 0.8 differs in more than TAU = 17 of
 36 positions with a probability of about 4 in 100,000.
 
-Documents with equal sets are one class and enter once, however many they are.
-Links are only needed as far as components go, so the pairs of a bucket are not
-written out: (1) every member of a bucket is compared with the bucket's
-smallest id; what is confirmed is joined to components; (2) buckets that still
-hold more than one component yield the pairs across components that are near enough
-by signature, and these are confirmed as well. A pair that is never compared is
-already in one component. A pair counts only if its full sets, made of the
-words themselves, pass the threshold.
+Documents with equal sets are one class, numbered by itself, and enter once, however many they are.
+Links are only needed as far as components go, so the pairs of a bucket are never
+written out: (1) every class of a bucket is compared with the bucket's
+smallest; what is confirmed is joined to components; (2) buckets that still
+hold more than one component are compared pair by pair inside tasks: a first pass
+by signature alone names the classes that have a near partner in another component, a
+second pass has their sets of shingle hashes beside them and returns the links that join what
+was apart, one less than there are classes at most. A pair that shares several keys is
+compared under the first of them only; one that is already in one component isn't compared. A link counts only
+if the full sets, made of the words themselves, pass the threshold.
 
 Scale: documents are read whole once for signatures (no shuffle), and candidates'
 texts once more; keys are 16 bytes each, ways * chunks of them for a class; minima
 of buckets have map-side combine; joins on hot keys are plain equi-joins that
-adaptive execution splits. The candidates' ids are broadcast below BROADCAST_IDS,
+adaptive execution splits; buckets of more than BLOCK classes are cut in parts, and all pairs
+of parts are groups of their own. The candidates' names are broadcast below BROADCAST_IDS,
 and joined beyond.
 
 Defined results: null text, or text without words: no shingles, linked with
@@ -34,26 +37,28 @@ with an id is in its component, and is kept if none is; repeated rows give equal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, release, table
+from .common import fresh_names, has_words, materialize, release, table
 from .components import components
 
 POSITIONS, CHUNK, ERRORS, BITS = 36, 4, 1, 16
 TAU = POSITIONS // CHUNK * (ERRORS + 1) - 1
 LONGS = POSITIONS * BITS // 64
-BROADCAST_IDS = 1_000_000
-_NULL_ID = 2**63 - 1
+WAYS = list(combinations(range(CHUNK), CHUNK - ERRORS))
+BROADCAST_IDS = 200_000
+BLOCK, PAIRS = 1024, 1 << 19
 _rng = np.random.default_rng(20240607)
 _MULT = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _rng.integers(0, 2**63, POSITIONS, dtype=np.uint64)
 SIGS = [f"g{i}" for i in range(LONGS)]
+NAME = ["no_id", "id", "tag"]  # of a row: ids may be null, and several texts may share one
 
 
 def words(text: str | None) -> list[bytes]:
@@ -77,6 +82,7 @@ class Signer:
         self.width, self.hash, self.wide, self.known = width, xxhash.xxh3_64_intdigest, xxhash.xxh3_128_intdigest, {}
 
     def hashes(self, text: str | None) -> np.ndarray:
+        """The set as ascending 64-bit hashes of its shingles."""
         w = words(text)
         known, hash64 = self.known, self.hash
         if len(known) > 1 << 18:
@@ -102,8 +108,14 @@ class Signer:
         return len(u), name >> 64, name & (2**64 - 1), (low * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """doc_id, n (shingles), c1, c2 (name of the set), g0.. (signature)."""
+def named(docs: DataFrame, id_col: str, text_col: str, tag: Column) -> DataFrame:
+    """no_id, id, tag, text."""
+    i = F.col(id_col).cast("long")
+    return docs.select(i.isNull().alias("no_id"), F.coalesce(i, F.lit(0)).alias("id"), tag.alias("tag"), F.col(text_col).alias("text"))
+
+
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """no_id, id, tag, n (shingles), c1, c2 (name of the set), g0.. (signature)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signer = Signer(width)
@@ -112,12 +124,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             sig = np.array([g[3] for g in got], dtype=np.uint64).reshape(len(got), LONGS, 64 // BITS)
             packed = (sig << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
             names = np.array([g[1:3] for g in got], dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [g[0] for g in got], "c1": names[:, 0], "c2": names[:, 1]} | {s: packed[:, i] for i, s in enumerate(SIGS)})
+            yield pd.DataFrame({c: b[c] for c in NAME} | {"n": [g[0] for g in got], "c1": names[:, 0], "c2": names[:, 1]} | {s: packed[:, i] for i, s in enumerate(SIGS)})
         signer.known.clear()
         release()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, n long, c1 long, c2 long, " + ", ".join(f"{s} long" for s in SIGS))
+    return rows.mapInPandas(run, "no_id boolean, id long, tag long, n long, c1 long, c2 long, " + ", ".join(f"{s} long" for s in SIGS))
 
 
 def chunk_keys():
@@ -126,7 +137,7 @@ def chunk_keys():
     position = [F.shiftrightunsigned(F.col(SIGS[i // per]), BITS * (i % per)).bitwiseAND(F.lit(mask)) for i in range(POSITIONS)]
     keys = []
     for c in range(POSITIONS // CHUNK):
-        for way in combinations(range(CHUNK), CHUNK - ERRORS):
+        for way in WAYS:
             key = F.lit(len(keys)).cast("long")
             for i in way:
                 key = F.shiftleft(key, BITS).bitwiseOR(position[c * CHUNK + i])
@@ -148,14 +159,17 @@ def differing(a: str, b: str):
     return total
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets have 100 * intersection >= percent * union."""
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
-    small = ids.count() <= BROADCAST_IDS
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
-    texts = texts.join(F.broadcast(ids) if small else ids, "id", "left_semi")
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+def texts_of(nodes: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, text for each of the nodes (node column, may repeat): that of the class's first row, once."""
+    names = materialize(nodes.select("node").distinct().join(classes.select("node", *NAME), "node"), "candidates")
+    small = names.count() <= BROADCAST_IDS
+    return materialize(rows.join(F.broadcast(names) if small else names, NAME).select("node", "text").dropDuplicates(["node"]), "texts")
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose full shingle sets have 100 * intersection >= percent * union."""
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets: dict[str, set] = {}
@@ -184,38 +198,190 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
-    signed = materialize(signatures(docs, id_col, text_col, width), "signatures")
-    classes = signed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct("doc_id", "n", *SIGS)).alias("r"))
-    classes = materialize(classes.select("c1", "c2", "r.*"), "classes")
-    keys = classes.select("doc_id", F.explode(chunk_keys()).alias("key"))
-    full = keys.groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
-    buckets = materialize(keys.join(full, "key").select("key", "doc_id", "least"), "buckets")
-
-    sides = {p: classes.select(F.col("doc_id").alias(p), F.col("n").alias(f"{p}n"), *[F.col(s).alias(f"{p}{s}") for s in SIGS]) for p in "ab"}
+# --- comparing inside tasks ------------------------------------------------------------------------------------------
+
+
+def in_groups(rows: DataFrame, keys: list[str], order: list[str], run: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """run over frames of whole groups of keys, many small groups or a large one at a time, sorted by keys and order."""
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        for b in batches:
+            if not len(b):
+                continue
+            last = np.ones(len(b), dtype=bool)
+            for k in keys:
+                last &= b[k].to_numpy() == b[k].iloc[-1]
+            start = int(last.argmax())
+            if start or held and any(held[-1][k].iloc[-1] != b[k].iloc[0] for k in keys):
+                yield run(pd.concat([*held, b.iloc[:start]], ignore_index=True))
+                held = []
+            held.append(b.iloc[start:])
+        if held:
+            yield run(pd.concat(held, ignore_index=True))
+        del held
+        release()
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(walk, schema)
+
+
+def near_pairs(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (p, q) of the rows that are near by size and signature, in different components, under the first key they share.
+
+    rows: whole groups (key, i, j), sorted by sub as well: parts i and j of a bucket, all pairs within where they are one.
+    """
+    key, i, j, sub, n, label = (rows[c].to_numpy() for c in ("key", "i", "j", "sub", "n", "label"))
+    sig = np.ascontiguousarray(rows[SIGS].to_numpy(dtype=np.int64)).view("<u2").reshape(len(rows), POSITIONS)
+    at = np.arange(len(rows))
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+    first = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    end = np.append(first[1:], len(rows))[group]
+    split = first + np.bincount(group, weights=sub == i).astype(np.int64)
+    start = np.where(i == j, at + 1, split[group])
+    count = np.where((i == j) | (sub == i), end - start, 0)
+    number = (key >> (BITS * (CHUNK - ERRORS))).astype(np.int64)
+    upto = np.cumsum(count)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PAIRS, side="right")))
+        c = count[lo:hi]
+        p = np.repeat(at[lo:hi], c)
+        q = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[lo:hi], c)
+        ok = (label[p] != label[q]) & (100 * np.minimum(n[p], n[q]) >= percent * np.maximum(n[p], n[q]))
+        p, q = p[ok], q[ok]
+        for chunk in range(POSITIONS // CHUNK):  # dropped here if an earlier chunk has a key in common
+            if not len(p):
+                break
+            mine, here = number[p] // len(WAYS), slice(chunk * CHUNK, (chunk + 1) * CHUNK)
+            same = sig[p, here] == sig[q, here]
+            ok = (mine < chunk) | ((mine > chunk) & (same.sum(axis=1) < CHUNK - ERRORS))
+            now = mine == chunk
+            if now.any():
+                shared = np.stack([same[:, list(w)].all(axis=1) for w in WAYS], axis=1)
+                ok |= now & (shared.argmax(axis=1) == number[p] % len(WAYS)) & shared.any(axis=1)
+            p, q = p[ok], q[ok]
+        if len(p):
+            ok = (sig[p] != sig[q]).sum(axis=1) <= TAU
+            if ok.any():
+                yield p[ok], q[ok]
+        lo = hi
+
+
+def joining_links(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """(a, b): of the rows' pairs whose sets of hashes pass, those that join what was apart."""
+    sets = [np.frombuffer(x, dtype="<u8") for x in rows["hashes"]]
+    known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    edges = np.cumsum([0, *map(len, sets)])
+    flag = np.zeros(len(known), dtype=bool)
+    del known, sets
+    n, node = np.diff(edges), rows["node"].to_numpy()
+    label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    out: list[tuple[int, int]] = []
+    for p, q in near_pairs(rows, percent):
+        cuts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))
+        for lo, hi in zip(cuts, np.append(cuts[1:], len(p)), strict=True):
+            x, ys = p[lo], q[lo:hi]
+            ys = ys[label[ys] != label[x]]
+            if not len(ys):
+                continue
+            own = ids[edges[x] : edges[x + 1]]
+            flag[own] = True
+            part = np.concatenate([ids[edges[y] : edges[y + 1]] for y in ys])
+            same = np.add.reduceat(flag[part], np.cumsum(n[ys]) - n[ys], dtype=np.int64)
+            flag[own] = False
+            for y in ys[100 * same >= percent * (n[x] + n[ys] - same)]:
+                if label[x] != label[y]:
+                    out.append((node[x], node[y]))
+                    label[label == label[y]] = label[x]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def links_across(buckets: DataFrame, classes: DataFrame, rows: DataFrame, found: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components that share a bucket, as many as join them."""
+    labelled = buckets.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("many")).where("x <> y")
+    mixed = mixed.select("key", F.ceil(F.col("many") / BLOCK).cast("int").alias("parts"))
+    sub = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    dealt = labelled.join(mixed, "key").withColumn("sub", sub).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("sub", "o").alias("i"), F.greatest("sub", "o").alias("j"), "sub", "node", "label")
+    dealt = materialize(dealt.join(classes.select("node", "n", *SIGS), "node"), "mixed")
+
+    def near(frame: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(frame), dtype=bool)
+        for p, q in near_pairs(frame, percent):
+            hit[p] = hit[q] = True
+        return frame.loc[hit, ["key", "i", "j", "sub", "node"]]
+
+    group = ["key", "i", "j"]
+    needed = materialize(in_groups(dealt, group, ["sub", "node"], near, "key long, i int, j int, sub int, node long"), "needed")
+    texts = texts_of(needed, classes, rows)
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        signer = Signer(width)
+        for b in batches:
+            yield pd.DataFrame({"node": b["node"], "hashes": [signer.hashes(t).astype("<u8").tobytes() for t in b["text"]]})
+        signer.known.clear()
+        release()
+
+    sets = texts.mapInPandas(hashed, "node long, hashes binary")
+    beside = dealt.join(needed, [*group, "sub", "node"]).join(sets, "node")
+    pairs = in_groups(beside, group, ["sub", "node"], lambda frame: joining_links(frame, percent), "a long, b long")
+    return materialize(confirm(materialize(pairs, "across"), texts, width, percent), "more")
+
+
+def linked_classes(rows: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The signed rows; the classes (node, no_id, id, tag: their first row, c1, c2); and (node, component) of the linked ones."""
+    signed = materialize(signatures(rows, width), "signatures")
+    first = signed.where("n > 0").groupBy("c1", "c2").agg(F.min(F.struct(*NAME, "n", *SIGS)).alias("r"))
+    classes = materialize(first.select(F.monotonically_increasing_id().alias("node"), "c1", "c2", "r.*"), "classes")
+    keys = classes.select("node", F.explode(chunk_keys()).alias("key"))
+    full = keys.groupBy("key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    buckets = materialize(keys.join(full, "key").select("key", "node", "least"), "buckets")
+
+    sides = {p: classes.select(F.col("node").alias(p), F.col("n").alias(f"{p}n"), *[F.col(s).alias(f"{p}{s}") for s in SIGS]) for p in "ab"}
     near = (differing("a", "b") <= TAU) & (100 * F.least("an", "bn") >= percent * F.greatest("an", "bn"))
-    stars = buckets.where("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+    stars = buckets.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
     tried = materialize(stars.join(sides["a"], "a").join(sides["b"], "b").where(near).select("a", "b"), "tried")
-    linked = materialize(confirm(tried, docs, id_col, text_col, width, percent), "linked")
+    texts = texts_of(tried.select(F.explode(F.array("a", "b")).alias("node")), classes, rows)
+    linked = materialize(confirm(tried, texts, width, percent), "linked")
     found = components(linked)
-
-    label = lambda frame: frame.join(found, F.col("doc_id") == F.col("node"), "left").withColumn("label", F.coalesce("component", "doc_id")).drop("node", "component")
-    labelled = label(buckets.select("key", "doc_id"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    rows = materialize(labelled.join(mixed, "key").join(classes.select("doc_id", "n", *SIGS), "doc_id"), "mixed")
-    one = {p: rows.select("key", F.col("doc_id").alias(p), F.col("label").alias(f"{p}l"), F.col("n").alias(f"{p}n"), *[F.col(s).alias(f"{p}{s}") for s in SIGS]) for p in "ab"}
-    across = one["a"].join(one["b"], "key").where((F.col("a") < F.col("b")) & (F.col("al") != F.col("bl")) & near).select("a", "b").distinct()
-    across = materialize(across.join(tried, ["a", "b"], "left_anti"), "across")
-    more = materialize(confirm(across, docs, id_col, text_col, width, percent), "more")
+    more = links_across(buckets, classes, rows, found, width, percent)
     if not more.isEmpty():
         found = components(linked.union(more))
+    return signed, classes, found
+
+
+def with_first(classes: DataFrame, found: DataFrame) -> DataFrame:
+    """c1, c2, f (no_id, id, tag of the first row of the class's component)."""
+    own = classes.join(found, "node", "left").select("c1", "c2", F.struct(*NAME).alias("own"), F.coalesce("component", "node").alias("component"))
+    least = own.groupBy("component").agg(F.min("own").alias("f"))
+    return own.join(least, "component").select("c1", "c2", "f")
 
-    whole = signed.select("doc_id", "n", "c1", "c2").join(classes.select("c1", "c2", F.col("doc_id").alias("first")), ["c1", "c2"], "left")
-    whole = whole.join(found, F.coalesce("first", "doc_id") == F.col("node"), "left")
-    out = whole.select("doc_id", "n", F.coalesce("component", "first", "doc_id").alias("c"))
-    given = lambda c: F.when(F.col(c) != _NULL_ID, F.col(c))
-    return out.select(given("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), given("c").alias("component_id"), (F.col("doc_id") == F.col("c")).alias("kept"))
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept (doc_id = component_id)."""
+    rows = named(docs, id_col, text_col, F.xxhash64(F.col(text_col)))
+    signed, classes, found = linked_classes(rows, width, percent)
+    whole = signed.select("no_id", "id", "n", "c1", "c2").join(with_first(classes, found), ["c1", "c2"], "left")
+    f = F.coalesce("f", F.struct("no_id", "id", F.lit(0).cast("long").alias("tag")))
+    given = lambda c: F.when(~c["no_id"], c["id"])
+    out = whole.select(F.struct("no_id", "id").alias("own"), "n", f.alias("f"))
+    kept = (F.col("own.no_id") == F.col("f.no_id")) & (F.col("own.id") == F.col("f.id"))
+    return out.select(given(F.col("own")).alias("doc_id"), F.col("n").alias("n_shingles"), given(F.col("f")).alias("component_id"), kept.alias("kept"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """Of the rows of each component the one with the smallest id (null last) stays, just one however many share the
+    id; of texts under one id the one whose row has the smallest hash. Rows without words stay all. Columns are those of docs."""
+    hashable = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
+    no_id, number, tag = fresh_names(docs, "_no_id", "_id", "_tag")
+    keyed = docs.withColumns({tag: F.xxhash64(*[F.col(c) for c in hashable]), no_id: F.col(id_col).cast("long").isNull(), number: F.coalesce(F.col(id_col).cast("long"), F.lit(0))})
+    _, classes, found = linked_classes(named(docs, id_col, text_col, F.xxhash64(*[F.col(c) for c in hashable])), width, percent)
+    kept = with_first(classes, found).select("f.*").distinct().toDF(no_id, number, tag)
+    stay = keyed.where(has_words(F.col(text_col))).join(kept, [no_id, number, tag], "left_semi").dropDuplicates([no_id, number, tag])
+    return stay.unionByName(keyed.where(~has_words(F.col(text_col)))).select(*docs.columns)
 
 
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
