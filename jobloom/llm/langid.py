@@ -4,13 +4,16 @@ A text becomes a vector of byte bigrams and trigrams (lower case; ASCII other
 than letters is one blank) hashed into DIM cells, damped, weighted by idf and
 normalised. Training rows of each language are clustered by spherical k-means
 into several centroids; a text gets the language of the centroid with the
-largest cosine, and is rejected if even that one is farther than the model's
-distance. Texts without a letter are always rejected.
-
-Fitting uses a bounded sample of labelled rows: about SAMPLE rows in all, the
-same number expected of each language, chosen by a hash of the id (the bound is a
-parameter). Only hashed counts of those go to the driver, at most DIM numbers a
-row. Prediction reads every text whole and needs no shuffle: the model (DIM
+largest cosine, and is rejected if even that one is farther than the language's
+own distance. That distance comes from the training rows: MARGIN times the cosine
+that all but QUANTILE of the language's rows reach (rows of few letters are far from
+everything, hence the margin). Texts without a letter are always rejected.
+
+Fitting uses a bounded sample of labelled rows, at most SAMPLE in all, shared evenly by at
+most LANGS languages (the most frequent labels; ties go to the first in code-point order),
+chosen by a hash of id and text; equal rows are one. Both bounds are
+parameters. Only hashed counts of those rows go to the driver, at most DIM numbers a
+row, and are made dense one language at a time. Prediction reads every text whole and needs no shuffle: the model (DIM
 floats a centroid) travels with the tasks.
 
 Defined results: null text, empty text or text without a letter: `und`, score 0,
@@ -24,17 +27,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh_names, table
+from .common import fresh_names, release, table
 
-DIM, CLUSTERS, SAMPLE, ROUNDS = 8192, 4, 4000, 8
+DIM, CLUSTERS, SAMPLE, LANGS, ROUNDS = 8192, 4, 4000, 256, 8
+QUANTILE, MARGIN = 0.01, 0.5
 UND = "und"
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -61,25 +64,27 @@ class Model:
     langs: list[str]  # of each centroid
     idf: np.ndarray
     centroids: np.ndarray  # normalised, one row each
-    least: float  # cosine below which a text is rejected
-
-    def vectors(self, rows: np.ndarray) -> np.ndarray:
-        x = np.log1p(rows) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    least: np.ndarray  # of each centroid: the cosine below which a text is rejected
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score, rejected of each text."""
-        langs, scores = [UND] * len(texts), np.zeros(len(texts))
+        langs, scores, least = [UND] * len(texts), np.zeros(len(texts)), np.ones(len(texts))
         at = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         for lo in range(0, len(at), 256):
             part = at[lo : lo + 256]
-            near = self.vectors(np.stack([counts(texts[i], len(self.idf)) for i in part])) @ self.centroids.T
+            near = weighted(np.stack([counts(texts[i], len(self.idf)) for i in part]), self.idf) @ self.centroids.T
             best = near.argmax(axis=1)
             for i, k, s in zip(part, best, near[np.arange(len(part)), best], strict=True):
-                langs[i], scores[i] = self.langs[k], min(1.0, max(0.0, float(s)))
-        good = np.zeros(len(texts), dtype=bool)
-        good[at] = True
-        return langs, scores, ~good | (scores < self.least)
+                langs[i], scores[i], least[i] = self.langs[k], min(1.0, max(0.0, float(s))), self.least[k]
+        return langs, scores, scores < least
+
+
+def weighted(rows: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of rows of counts, made in their place."""
+    np.log1p(rows, out=rows)
+    rows *= idf
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
+    return rows
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -95,19 +100,31 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
     return c
 
 
-def fit_rows(langs: list[str], rows: np.ndarray, clusters: int = CLUSTERS, least: float = 0.05) -> Model:
-    names = sorted(set(langs))
+Sparse = tuple[np.ndarray, np.ndarray]  # cells of a text's vector, ascending, and their counts
+
+
+def fit_rows(rows: dict[str, list[Sparse]], dim: int = DIM, clusters: int = CLUSTERS) -> Model:
+    """Learns from rows by language. Only one language's rows are dense at a time."""
+    names = sorted(n for n in rows if rows[n])
     if not names:
-        return Model([], np.ones(rows.shape[1] if rows.ndim == 2 else DIM, dtype=np.float32), np.zeros((0, DIM), dtype=np.float32), least)
-    own = np.array([names.index(x) for x in langs])
-    share = np.stack([(rows[own == j] > 0).mean(axis=0) for j in range(len(names))])  # every language counts alike
-    idf = np.log((1 + len(names)) / (share.sum(axis=0) + 1e-3)).clip(0.01).astype(np.float32)
-    model = Model([], idf, np.zeros((0, rows.shape[1])), least)
-    x = model.vectors(rows)
-    found = [spherical_kmeans(x[own == j], clusters) for j in range(len(names))]
-    model.langs = [n for n, c in zip(names, found, strict=True) for _ in c]
-    model.centroids = np.concatenate(found).astype(np.float32)
-    return model
+        return Model([], np.ones(dim, dtype=np.float32), np.zeros((0, dim), dtype=np.float32), np.zeros(0))
+    share = np.zeros(dim)  # every language counts alike
+    for n in names:
+        share += np.bincount(np.concatenate([at for at, _ in rows[n]]), minlength=dim) / len(rows[n])
+    idf = np.log((1 + len(names)) / (share + 1e-3)).clip(0.01).astype(np.float32)
+    langs, centroids, least = [], [], []
+    for n in names:
+        x = np.zeros((len(rows[n]), dim), dtype=np.float32)
+        for row, (at, values) in zip(x, rows[n], strict=True):
+            row[at] = values
+        x = weighted(x, idf)
+        c = spherical_kmeans(x, clusters)
+        reach = MARGIN * float(np.quantile((x @ c.T).max(axis=1), QUANTILE))
+        del x
+        langs += [n] * len(c)
+        centroids.append(c)
+        least += [reach] * len(c)
+    return Model(langs, idf, np.concatenate(centroids).astype(np.float32), np.array(least))
 
 
 def remainder(id_col: Column, n: int) -> Column:
@@ -115,30 +132,34 @@ def remainder(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dim: int = DIM, clusters: int = CLUSTERS) -> Model:
-    """Learns from rows with a language and text; at most about sample rows go to the driver."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
-    )
-    per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dim: int = DIM, clusters: int = CLUSTERS, languages: int = LANGS) -> Model:
+    """Learns from rows with a language and text; at most sample rows of the most frequent languages go to the driver."""
+    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(id_col).cast("string").alias("id"))
+    per = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.col("lang").cast("binary")).limit(languages).collect()
     if not per:
-        return fit_rows([], np.zeros((0, dim)))
-    u = F.pmod(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
+        return fit_rows({}, dim)
     quota = max(1, sample // len(per))
-    chosen = reduce(lambda a, b: a | b, [(F.col("lang") == k) & (u < min(1.0, quota / n)) for k, n in sorted(per.items())])
+    # rows below a threshold that about twice the quota pass, and of those the quota with the least hashes, equal rows once
+    u = F.pmod(F.xxhash64("id", "text", F.lit("langid")), F.lit(1 << 40))
+    limits = {r["lang"]: int(min(1.0, (2 * quota + 50) / r["n"]) * (1 << 40)) for r in per}
+    limit = F.create_map(*[F.lit(x) for kv in sorted(limits.items()) for x in kv])[F.col("lang")]
+    chosen = rows.withColumn("u", u).where(F.col("u") < limit)
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [counts(t, dim) if has_letter(t) else np.zeros(dim, dtype=np.float32) for t in b["text"]]
             where = [np.flatnonzero(x) for x in found]
-            yield pd.DataFrame({"lang": b["lang"], "at": [w.astype("<u4").tobytes() for w in where], "n": [x[w].astype("<f4").tobytes() for x, w in zip(found, where, strict=True)]})
-
-    got = rows.where(chosen).select("text", "lang").mapInPandas(hashed, "lang string, at binary, n binary").collect()
-    got = sorted((r for r in got if len(r["at"])), key=lambda r: (r["lang"], bytes(r["at"]), bytes(r["n"])))
-    m = np.zeros((len(got), dim), dtype=np.float32)
-    for i, r in enumerate(got):
-        m[i, np.frombuffer(r["at"], dtype="<u4")] = np.frombuffer(r["n"], dtype="<f4")
-    return fit_rows([r["lang"] for r in got], m, clusters)
+            yield pd.DataFrame({"u": b["u"], "lang": b["lang"], "at": [w.astype("<u4").tobytes() for w in where], "n": [x[w].astype("<f4").tobytes() for x, w in zip(found, where, strict=True)]})
+
+    short = chosen.mapInPandas(hashed, "u long, lang string, at binary, n binary").where(F.length("at") > 0)
+    short = short.dropDuplicates(["u", "lang"]).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("rank") <= quota)
+    by: dict[str, list[Sparse]] = {}
+    for r in sorted(short.select("u", "lang", "at", "n").toLocalIterator(), key=lambda r: r["u"]):
+        by.setdefault(r["lang"], []).append((np.frombuffer(r["at"], dtype="<u4"), np.frombuffer(r["n"], dtype="<f4")))
+    model = fit_rows(by, dim, clusters)
+    by.clear()
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", names: dict[str, str] | None = None) -> DataFrame:
