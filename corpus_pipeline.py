@@ -10,7 +10,8 @@ from jobloom.llm.common import fresh_names, has_words, materialize
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model rejects go (no letter, or far from every language); a missing lang is filled in."""
+    """Documents that the model rejects go (no letter, or far from every language; empty and null texts have no
+    letter); a missing lang is filled in. Repeated rows stay as often as they come. Columns are those of docs."""
     pred, score, rejected = fresh_names(docs, "_pred", "_score", "_rejected")
     names = {"lang_pred": pred, "score": score, "rejected": rejected}
     found = langid.identify(docs, langid.fit(docs), names=names)
@@ -18,28 +19,28 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows the text."""
+    """Later repeated runs of lines go, and documents of which nothing is left; n_chars follows the text. Documents
+    that lose nothing stay as they are, empty ones too."""
     out = line_dedup.dedup_lines(docs)
     left = out.where((F.col("n_removed") == 0) | has_words(F.col("text")))
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five words, 0.8) the smallest doc_id stays, once; rows without an id can't be named, and stay."""
-    kept = minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near copies (five words, 0.8) one row stays: that of the smallest doc_id, null last; rows that
+    share an id, and rows without one, are told apart by what they hold."""
+    return minhash.deduplicate(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for every copy that the mix takes of a document."""
-    copies = mixing.mix(docs).groupBy("doc_id").agg(F.max("copies").alias("n")).where("n > 0")
-    copies = copies.select(F.col("doc_id").alias("_mixed"), F.explode(F.sequence(F.lit(1), "n")).alias("_copy"))
-    return docs.join(copies, docs["doc_id"].eqNullSafe(copies["_mixed"])).select(*[docs[c] for c in docs.columns])
+    """A row for every copy that the mix takes of a row."""
+    (copy,) = fresh_names(docs, "_copy")
+    taken = mixing.mix(docs, carry=True).where("copies > 0")
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), "copies"))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every copy, and the proof that they decode to its text."""
+    """Token ids of every copy, and the proof that they decode to its text; null and empty texts have none."""
     return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.json"))
 
 
