@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import release, table
 
-CHUNK, CACHE = 1 << 22, 300_000
+CHUNK, CACHE = 1 << 21, 150_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
