@@ -9,9 +9,20 @@ from jobloom.llm import bpe, langid, line_dedup, minhash, mixing
 from jobloom.llm.common import fresh_names, has_words, materialize
 
 
+#: Rows and bytes of the batches that go to Python workers: their memory, and that of the buffers on the JVM's side, comes on top of executors' heaps.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCHES for the session: plans read them when they run, which may be after a stage's function has returned."""
+    for key, value in BATCHES.items():
+        spark.conf.set(key, value)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the model rejects go (no letter, or far from every language; empty and null texts have no
     letter); a missing lang is filled in. Repeated rows stay as often as they come. Columns are those of docs."""
+    small_batches(spark)
     pred, score, rejected = fresh_names(docs, "_pred", "_score", "_rejected")
     names = {"lang_pred": pred, "score": score, "rejected": rejected}
     found = langid.identify(docs, langid.fit(docs), names=names)
@@ -29,6 +40,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five words, 0.8) one row stays: that of the smallest doc_id, null last; rows that
     share an id, and rows without one, are told apart by what they hold."""
+    small_batches(spark)
     return minhash.deduplicate(docs)
 
 
@@ -41,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and the proof that they decode to its text; null and empty texts have none."""
+    small_batches(spark)
     return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.json"))
 
 
