@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules as R
-from .text import any_of, fold, found, joined, let, phrase, split_list, squeeze, strip, text
+from .text import any_of, fold, found, holds, joined, let, phrase, split_list, squeeze, strip, text, word_list
 
 NUMBER = r"(?<![\d.,])(\d+(?:[.,]\d+)?)"
 _YEARS_EXP = rf"(?!\d+-year\b){NUMBER}\s*(?:\+|or\s+more|to|[-–—])?\s*(\d+(?:[.,]\d+)?)?\s*\+?\s*(?:years?|ans?|ann[io]|años)\b"
@@ -17,6 +17,8 @@ _YEARS_FLOOR = rf"{NUMBER}\s*(?:[-–—]|to)\s*(\d+(?:[.,]\d+)?)\s*years?|{NUMB
 _FLOOR_WORDS = r"experience|expérience|expertise|background|track record"
 _AGE_BEFORE = r"(?:\b(?:over|past|last|nearly|almost)|\bmore\s+than|вже|уже|понад|более)\s*$"
 _AGE_AFTER = r"^\W*(?:ago\b|on\s+the\s+market|на\s+ринку|на\s+рынке)"
+#: What must stand after a digit for any of the patterns above to match; most texts fail here.
+_MAYBE_YEARS = r"\p{Nd}[^\p{L}]*(?:or[^\p{L}]+more[^\p{L}]*|to[^\p{L}]*|х[^\p{L}]*)?(?:year|an|año|рок|рік|лет|год)"
 _STILL_EXPERIENCE = r"^\s*(?:of\s+)?(?:\w+\s+){0,2}?(?:experience|expérience|досвід|опыт)"
 
 
@@ -28,21 +30,26 @@ def folded_text(title: Column, body: Column) -> Column:
 
 
 def infer_work_format(c: Column) -> Column:
-    t = fold(c)
-    return (
-        F.when(found(t, R.HYBRID), "Hybrid")
-        .when(found(t, R.REMOTE_FIRST) & found(t, R.IN_PERSON), "Hybrid")
-        .when(found(t, R.REMOTE), "Remote")
-        .when(found(t, R.ONSITE) | found(t, R.AT_OFFICE), "On-site")
-        .otherwise("Unknown")
+    return let(
+        fold(c),
+        lambda t: F.when(holds(t, R.HYBRID), "Hybrid")
+        .when(holds(t, R.REMOTE_FIRST) & holds(t, R.IN_PERSON), "Hybrid")
+        .when(holds(t, R.REMOTE), "Remote")
+        .when(holds(t, R.ONSITE) | holds(t, R.AT_OFFICE), "On-site")
+        .otherwise("Unknown"),
     )
 
 
+def _first(cases, otherwise: str) -> Column:
+    """CASE over (value, condition)."""
+    out = F
+    for value, condition in cases:
+        out = out.when(condition, value)
+    return out.otherwise(otherwise)
+
+
 def classify_role(folded: Column) -> Column:
-    out = None
-    for family, words in R.ROLES:
-        out = F.when(any_of(folded, words), family) if out is None else out.when(any_of(folded, words), family)
-    return out.otherwise("Other")
+    return let(folded, lambda t: _first([(family, any_of(t, words)) for family, words in R.ROLES], "Other"))
 
 
 def _with_context(t: Column, pattern: str, before: int, after: int, groups: int) -> Column:
@@ -63,50 +70,64 @@ def _company_age(m: Column) -> Column:
 def experience_years(folded: Column) -> Column:
     """Struct (low, high) of the first plausible requirement of years, as text with a dot; blanks without one."""
 
-    def first(pattern: str) -> Column:
-        hits = F.filter(_with_context(folded, pattern, 30, 40, 2), lambda m: (_number(m["g0"]) <= R.MOST_YEARS) & (_number(m["g1"]) <= R.MOST_YEARS) & ~_company_age(m))
+    def first(t: Column, pattern: str) -> Column:
+        hits = F.filter(_with_context(t, pattern, 30, 40, 2), lambda m: (_number(m["g0"]) <= R.MOST_YEARS) & (_number(m["g1"]) <= R.MOST_YEARS) & ~_company_age(m))
         return F.get(hits, F.lit(0))
 
     dot = lambda c: F.coalesce(F.replace(c, F.lit(","), F.lit(".")), F.lit(""))
-    hit = F.when(folded.rlike(r"\d"), F.coalesce(first(_YEARS_EXP), first(_YEARS_EXP_UK_RU)))
+    hit = let(folded, lambda t: F.when(t.rlike(_MAYBE_YEARS), F.coalesce(first(t, _YEARS_EXP), first(t, _YEARS_EXP_UK_RU))))
     return let(hit, lambda h: F.struct(dot(h["g0"]).alias("low"), F.coalesce(F.nullif(dot(h["g1"]), F.lit("")), dot(h["g0"])).alias("high")))
 
 
 def max_years(folded: Column) -> Column:
     """The highest floor of experience mentioned with a word of experience within 40 characters."""
-    hits = F.filter(
-        _with_context(folded, _YEARS_FLOOR, 40, 40, 3),
-        lambda m: (found(F.concat(m["before"], m["g0"], m["g1"], m["g2"], F.lit(" "), m["after"]), _FLOOR_WORDS)) & ~_company_age(m),
-    )
-    floors = F.transform(hits, lambda m: _number(F.coalesce(F.nullif(m["g0"], F.lit("")), m["g2"])))
-    return F.coalesce(F.array_max(F.filter(floors, lambda x: x <= R.MOST_YEARS)), F.lit(0.0))
+
+    def floors(t: Column) -> Column:
+        hits = F.filter(
+            _with_context(t, _YEARS_FLOOR, 40, 40, 3),
+            lambda m: (found(F.concat(m["before"], m["g0"], m["g1"], m["g2"], F.lit(" "), m["after"]), _FLOOR_WORDS)) & ~_company_age(m),
+        )
+        return F.array_max(F.filter(F.transform(hits, lambda m: _number(F.coalesce(F.nullif(m["g0"], F.lit("")), m["g2"]))), lambda x: x <= R.MOST_YEARS))
+
+    return F.coalesce(let(folded, lambda t: F.when(t.contains("year") & t.rlike(_MAYBE_YEARS), floors(t))), F.lit(0.0))
 
 
 def classify_seniority(title: Column, body: Column, low_years: Column) -> Column:
-    t, b, years = fold(title), fold(body), _number(low_years)
-    out = None
-    for level, pattern in R.TITLE_LEVELS:
-        out = F.when(found(t, pattern), level) if out is None else out.when(found(t, pattern), level)
-    return (
-        out.when(found(b, R.TEXT_JUNIOR), "Junior")
-        .when(found(b, R.TEXT_SENIOR) | (years >= 5), "Senior")
-        .when(found(b, R.TEXT_MIDDLE) | (years >= 3), "Mid-level")
-        .otherwise("Unknown")
+    years = _number(low_years)
+    by_title = let(fold(title), lambda t: _first([(level, found(t, pattern)) for level, pattern in R.TITLE_LEVELS], ""))
+    by_text = let(
+        fold(body),
+        lambda b: F.when(holds(b, R.TEXT_JUNIOR), "Junior")
+        .when((years >= 5) | holds(b, R.TEXT_SENIOR), "Senior")
+        .when((years >= 3) | holds(b, R.TEXT_MIDDLE), "Mid-level")
+        .otherwise("Unknown"),
     )
+    return F.coalesce(F.nullif(by_title, F.lit("")), by_text)
 
 
 def skills(folded: Column, rules=R.SKILLS) -> Column:
     """Names of the skills a text holds, in the order of the rules: one projection, one scan."""
-    return F.filter(F.array(*[F.when(found(folded, p), F.lit(n)) for n, p in rules]), lambda x: x.isNotNull())
+    return let(folded, lambda t: F.filter(F.array(*[F.when(holds(t, p), F.lit(n)) for n, p in rules]), lambda x: x.isNotNull()))
 
 
 def required_preferred(folded: Column, rules=R.SKILLS) -> Column:
     """Struct (required, preferred): a skill before the first word of preference is required."""
-    at = F.regexp_instr(folded, F.lit("(?U)" + R.PREFERRED))
-    head = F.when(at > 0, F.substr(folded, F.lit(1), at - 1)).otherwise(folded)
-    tail = F.when(at > 0, F.substr(folded, at)).otherwise(F.lit(""))
-    every, required = skills(folded, rules), skills(head, rules)
-    return F.struct(F.array_intersect(every, required).alias("required"), F.array_intersect(every, F.array_except(skills(tail, rules), required)).alias("preferred"))
+
+    def part(t: Column, at: Column) -> Column:
+        return F.struct(F.when(at > 0, F.substr(t, F.lit(1), at - 1)).otherwise(t).alias("head"), F.when(at > 0, F.substr(t, at)).otherwise(F.lit("")).alias("tail"))
+
+    def place(t: Column, s: Column, pattern: str) -> Column:
+        return F.when(holds(t, pattern), F.when(holds(s["head"], pattern), 1).when(holds(s["tail"], pattern), 2))
+
+    def placed(t: Column, s: Column) -> Column:
+        return F.array(*[F.struct(place(t, s, p).alias("at"), F.lit(n).alias("skill")) for n, p in rules])
+
+    def names(hits: Column, at: int) -> Column:
+        return F.transform(F.filter(hits, lambda x: x["at"] == at), lambda x: x["skill"])
+
+    cut = lambda t: F.regexp_instr(t, F.lit("(?U)" + R.PREFERRED))
+    hits = let(folded, lambda t: let(let(cut(t), lambda at: part(t, at)), lambda s: placed(t, s)))
+    return let(hits, lambda h: F.struct(names(h, 1).alias("required"), names(h, 2).alias("preferred")))
 
 
 def personal_fit(decision: Column, reason: Column) -> Column:
@@ -289,43 +310,59 @@ def llm_answer(c: Column) -> Column:
 # --- filters ---------------------------------------------------------------------------------------------------------
 
 
+def _query(query: str, category: str = "") -> Column:
+    """A phrase as data: what a title must hold, or else the words that must each stand there alone."""
+    q = re.sub(r"\s+", " ", query).strip().lower()
+    latin = F.array(*[F.lit(w) for w in dict.fromkeys(re.findall(r"[a-z0-9]+", q))]).cast("array<string>")
+    return F.struct(F.lit(query).alias("query"), F.lit(category).alias("category"), F.lit(q).alias("phrase"), latin.alias("words"))
+
+
+def _matching(title: Column, queries: list[Column]) -> Column:
+    """Those of the queries that match a title, in their order. The title is folded and cut into words once."""
+    ready = let(fold(squeeze(title)), lambda t: F.struct(t.alias("text"), word_list(t).alias("words")))
+
+    def hit(t: Column, x: Column) -> Column:
+        every = (F.size(x["words"]) > 0) & (F.size(F.array_except(x["words"], t["words"])) == 0)
+        return (t["text"] != "") & (x["phrase"] != "") & (t["text"].contains(x["phrase"]) | every)
+
+    return let(ready, lambda t: F.filter(F.array(*queries), lambda x: hit(t, x)))
+
+
 def query_matches(query: str, title: Column) -> Column:
     """The phrase is in the title, or each of its Latin words stands there alone."""
-    q = re.sub(r"\s+", " ", query).strip().lower()
-    t = fold(squeeze(title))
-    words = re.findall(r"[a-z0-9]+", q)
-    every = F.lit(bool(words))
-    for w in words:
-        every = every & found(t, rf"\b{w}\b")
-    return (t != "") & F.lit(bool(q)) & (t.contains(q) | every)
+    return F.size(_matching(title, [_query(query)])) > 0
+
+
+def matches_any_query(title: Column, queries) -> Column:
+    return F.size(_matching(title, [_query(q) for q in queries])) > 0
 
 
 def first_matching_query(title: Column, queries: dict[str, tuple[str, ...]] = R.QUERIES) -> Column:
-    """Struct (query, category) of the first configured phrase that matches, null if none does. A CASE over the
-    catalogue: 49 rows of configuration need no join."""
-    out = None
-    for category, phrases in queries.items():
-        for q in phrases:
-            value = F.struct(F.lit(q).alias("query"), F.lit(category).alias("category"))
-            out = F.when(query_matches(q, title), value) if out is None else out.when(query_matches(q, title), value)
-    return out
+    """Struct (query, category) of the first configured phrase that matches, null if none does. The catalogue is an
+    array of constants: 49 rows of configuration need no join."""
+    found_one = F.get(_matching(title, [_query(q, category) for category, phrases in queries.items() for q in phrases]), F.lit(0))
+    return let(found_one, lambda x: F.when(x.isNotNull(), F.struct(x["query"].alias("query"), x["category"].alias("category"))))
 
 
 def is_overqualified(title: Column, body: Column) -> Column:
-    t, b = fold(title), fold(body)
-    marked = F.lit(False)
-    for m in R.TITLE_MARKERS:
-        marked = marked | found(t, phrase(m))
-    return marked | any_of(b, R.TEXT_MARKERS) | (max_years(b) >= R.MIN_YEARS)
+    marked = let(fold(title), lambda t: F.exists(F.array(*[found(t, phrase(m)) for m in R.TITLE_MARKERS]), lambda x: x))
+    return marked | let(fold(body), lambda b: any_of(b, R.TEXT_MARKERS) | (max_years(b) >= R.MIN_YEARS))
 
 
 def _language(title: Column, body: Column, phrases, words) -> Column:
-    t = folded_text(title, body)
-    said = F.lit(False)
-    for p in phrases:
-        said = said | found(t, phrase(p.replace("ß", "ss")))
-    hits = sum((found(t, phrase(w)).cast("int") for w in words), F.lit(0))
-    return said | (hits >= R.WORD_THRESHOLD)
+    """A phrase says so, or enough of the words stand in the text alone (they are looked for only if enough are in it at all)."""
+
+    def said(t: Column) -> Column:
+        out = F.lit(False)
+        for p in phrases:
+            out = out | holds(t, phrase(p.replace("ß", "ss")))
+        return out
+
+    def enough(t: Column) -> Column:
+        held = sum((t.contains(w).cast("int") for w in words), F.lit(0))
+        return (held >= R.WORD_THRESHOLD) & (F.size(F.array_intersect(word_list(t), F.array(*[F.lit(w) for w in words]))) >= R.WORD_THRESHOLD)
+
+    return let(folded_text(title, body), lambda t: said(t) | enough(t))
 
 
 def requires_french(title: Column, body: Column) -> Column:
@@ -353,11 +390,11 @@ def candidates_only_disallowed(places: Column) -> Column:
 
 
 def is_low_quality(title: Column, body: Column) -> Column:
-    return any_of(folded_text(title, body), R.LOW_QUALITY)
+    return let(folded_text(title, body), lambda t: any_of(t, R.LOW_QUALITY))
 
 
 def matches_context(c: Column) -> Column:
-    return any_of(fold(c), R.CONTEXT_TERMS)
+    return let(fold(c), lambda t: any_of(t, R.CONTEXT_TERMS))
 
 
 def is_near_fit(decision: Column, filtered: Column) -> Column:
@@ -395,8 +432,7 @@ def locations_compatible(a: Column, b: Column, a_blank: Column, b_blank: Column)
 
 
 def reasons(c: Column) -> Column:
-    t = fold(c)
-    return F.filter(F.array(*[F.when(any_of(t, words), F.lit(n)) for n, words in R.REASONS.items()]), lambda x: x.isNotNull())
+    return let(fold(c), lambda t: F.filter(F.array(*[F.when(any_of(t, words), F.lit(n)) for n, words in R.REASONS.items()]), lambda x: x.isNotNull()))
 
 
 def cert_near(pattern: str) -> str:

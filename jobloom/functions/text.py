@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
+from re import _parser as _regex  # the tree of a pattern; patterns here mean the same in Java
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +37,44 @@ def found(c: Column, pattern: str) -> Column:
     return c.rlike("(?U)" + pattern)
 
 
+@lru_cache(maxsize=None)
+def needles(pattern: str) -> tuple[str, ...]:
+    """Literals of which a text must hold one, or the pattern can't match; none where it has no such literals of two letters."""
+    if "(?i" in pattern:
+        return ()
+
+    def of(items) -> tuple[str, ...]:
+        found, run = [], ""
+        for op, arg in [*items, (None, None)]:
+            if op is _regex.LITERAL:
+                run += chr(arg)
+                continue
+            found.append((run,))
+            run = ""
+            if op is _regex.SUBPATTERN:
+                found.append(of(arg[-1]))
+            elif op is _regex.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                found.append(tuple(dict.fromkeys(w for part in parts for w in part)) if all(parts) else ())
+            elif op is _regex.MAX_REPEAT and arg[0] > 0:
+                found.append(of(arg[2]))
+        best = max((f for f in found if f), key=lambda f: (min(len(min(f, key=len)), 4), -len(f)), default=())
+        return best if best and len(min(best, key=len)) > 1 else ()
+
+    return of(_regex.parse(pattern))
+
+
+def holds(t: Column, pattern: str) -> Column:
+    """found(), after a look for the pattern's literals, which costs next to nothing. t is named more than once: bind it with let()."""
+    words = needles(pattern)
+    return any_of(t, words) & found(t, pattern) if words else found(t, pattern)
+
+
+def word_list(t: Column) -> Column:
+    """The distinct words of a text: a word of letters and digits is among them if and only if it stands there alone."""
+    return F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)"), F.lit(1)))
+
+
 def quoted(word: str) -> str:
     """A literal inside a pattern, in text that both Java and RE2 read."""
     return re.sub(r"([^\w\s])", r"\\\1", word)

@@ -311,9 +311,7 @@ def label_or_default_query(spark, d):
 
 @query(f"{WITH} SELECT seq FROM p WHERE NOT (board IN ('LinkedIn')) OR " + " OR ".join(_match_sql(x) for x in R.QUERIES["data"]))
 def category_query_filter(spark, d):
-    hit = F.lit(False)
-    for x in R.QUERIES["data"]:
-        hit = hit | M.query_matches(x, F.col("title"))
+    hit = M.matches_any_query(F.col("title"), R.QUERIES["data"])
     return postings(spark, d).where((F.col("board") != "LinkedIn") | hit).select("seq")
 
 
