@@ -3,48 +3,55 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import strip, text
 
-def html_to_text(value: str | None) -> str:
-    """Unescaped; if tags are left, their texts on lines of their own; runs of blanks and of empty lines cut short."""
+
+def _shown(values: pd.Series) -> pd.Series:
+    """Entities resolved; of values that then hold tags the texts between them, blanks cut off at their ends, one to a line. Scripts
+    and styles are not texts."""
     import html
-    import re
     from html.parser import HTMLParser
 
-    text = html.unescape(value or "")
-    if "<" in text and ">" in text:
-        parts: list[str] = []
-
-        class Texts(HTMLParser):
-            hidden = 0
-
-            def handle_starttag(self, tag, attrs):
-                self.hidden += tag in ("script", "style")
+    class Lines(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.lines, self.skipped = [], 0
 
-            def handle_endtag(self, tag):
-                self.hidden -= tag in ("script", "style") and self.hidden > 0
+        def handle_starttag(self, tag, attrs):
+            self.skipped += tag in ("script", "style")
 
-            def handle_data(self, data):
-                if data.strip() and not self.hidden:
-                    parts.append(data.strip())
+        def handle_endtag(self, tag):
+            if tag in ("script", "style"):
+                self.skipped = max(0, self.skipped - 1)
 
-        parser = Texts(convert_charrefs=True)
-        parser.feed(text)
-        parser.close()
-        text = "\n".join(parts)
-    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", text)).strip()
+        def handle_data(self, data):
+            line = data.strip()
+            if line and not self.skipped:
+                self.lines.append(line)
 
+    def lines(value: str) -> str:
+        value = html.unescape(value)
+        if "<" not in value or ">" not in value:
+            return value
+        page = Lines()
+        page.feed(value)
+        page.close()
+        return "\n".join(page.lines)
 
-def _clean(values: pd.Series) -> pd.Series:
-    return values.map(html_to_text, na_action=None)
+    return values.map(lines)
 
 
-def clean_text(c):
-    """html_to_text of a column; null gives the empty text."""
-    return F.pandas_udf(_clean, "string")(c)
+def clean_text(c: Column) -> Column:
+    """Entities resolved; if tags are left, their texts on lines of their own; runs of blanks and of empty lines cut short. Null
+    gives the empty text. Texts without entity or tag are not sent to Python (a blank goes in their stead)."""
+    marked = text(c).contains("&") | text(c).contains("<")
+    shown = F.when(marked, F.pandas_udf(_shown, "string")(F.when(marked, text(c)).otherwise(F.lit("")))).otherwise(text(c))
+    return strip(F.regexp_replace(F.regexp_replace(shown, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 def without_upsell(c):
     """A widget's line that a site mixes into its texts."""
-    return F.trim(F.regexp_replace(c, r"(?is)get ai-powered advice on this job.*?try premium for [^\n]*", ""))
+    return strip(F.regexp_replace(c, r"(?is)get ai-powered advice on this job.*?try premium for [^\n]*", ""))

@@ -42,8 +42,23 @@ def normalize_url(c: Column) -> Column:
 
 
 def presence_url(c: Column) -> Column:
-    """The looser form by which a posting is looked up in a board's listing: the whole query goes as well."""
-    return F.regexp_replace(fold(F.regexp_replace(strip(c), r"[?#].*$", "")), "/+$", "")
+    """The looser form by which a posting is looked up in a board's listing: scheme and host folded, no query, no fragment, no slash at the end."""
+    raw = strip(c)
+    scheme = F.regexp_extract(raw, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1)
+    host = F.regexp_extract(raw, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)", 1)
+    path = F.regexp_extract(raw, r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    return F.concat(fold(scheme), F.lit("://"), fold(host), F.regexp_replace(path, "/+$", ""))
+
+
+def presence_keys(ats: Column, url: Column) -> Column:
+    """By what a saved posting is found in the listing of its board: its address, or the id that its address holds."""
+    greenhouse, bamboohr = F.regexp_extract(text(url), r"gh_jid=(\d+)", 1), F.regexp_extract(text(url), r"/careers/(\d+)", 1)
+    keys = F.array(
+        F.concat(F.lit("url:"), presence_url(url)),
+        F.when((fold(ats) == "greenhouse") & (greenhouse != ""), F.concat(F.lit("id:"), greenhouse)),
+        F.when((fold(ats) == "bamboohr") & (bamboohr != ""), F.concat(F.lit("id:"), bamboohr)),
+    )
+    return F.filter(keys, lambda k: k.isNotNull())
 
 
 def dedup_key(source: Column, url: Column, company: Column, title: Column, city_region: Column) -> Column:

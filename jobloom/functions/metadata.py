@@ -130,6 +130,25 @@ def required_preferred(folded: Column, rules=R.SKILLS) -> Column:
     return let(hits, lambda h: F.struct(names(h, 1).alias("required"), names(h, 2).alias("preferred")))
 
 
+def analyze(title: Column, body: Column, city_region: Column, country: Column, salary: Column) -> Column:
+    """Struct of the twelve analysis columns; the text is folded once, and every rule reads that."""
+
+    def columns(r: Column) -> Column:
+        split, years, place = r["split"], r["years"], r["place"]
+        return F.struct(
+            r["role"].alias("role_family"), r["role"].alias("role_subcategory"), classify_seniority(title, body, years["low"]).alias("seniority"), years["low"].alias("years_experience_min"),
+            years["high"].alias("years_experience_max"), joined(r["skills"]).alias("skills_all"), joined(split["required"]).alias("required_skills"), joined(split["preferred"]).alias("preferred_skills"),
+            place["city"].alias("city"), place["region"].alias("region"), salary_usd(salary).alias("salary_usd_equivalent"), F.lit(R.ANALYSIS_NOTE).alias("analysis_note"),
+        )
+
+    def parts(t: Column) -> Column:
+        return F.struct(
+            classify_role(t).alias("role"), experience_years(t).alias("years"), skills(t).alias("skills"), required_preferred(t).alias("split"), split_city_region(city_region, country).alias("place")
+        )
+
+    return let(let(folded_text(title, body), parts), columns)
+
+
 def personal_fit(decision: Column, reason: Column) -> Column:
     d, r = strip(decision), strip(reason)
     return F.when(d == "", "").when((d == R.YES) | (r == ""), d).otherwise(F.concat(d, F.lit(" — "), r))
@@ -269,9 +288,25 @@ def location_bucket(work_format: Column, country: Column) -> Column:
     return F.when(work_format == "Remote", "remote").when(F.lower(strip(country)).isin(*R.EUROPE), "europe").otherwise("other")
 
 
-def availability(status: Column, body: Column, closed_markers: tuple[str, ...] = ("no longer available", "position has been filled", "job is closed")) -> Column:
+def availability(status: Column, body: Column, closed_banners: tuple[str, ...] = R.CLOSED_BANNERS) -> Column:
     """closed for 404, 410 or a banner; active for a page that isn't blank; else unknown."""
-    return F.when(status.isin(404, 410) | any_of(fold(body), closed_markers), "closed").when((status >= 200) & (status < 400) & (strip(body) != ""), "active").otherwise("unknown")
+    closed = F.coalesce(status.isin(404, 410), F.lit(False)) | let(fold(body), lambda t: any_of(t, closed_banners))
+    return F.when(closed, "closed").when((status >= 200) & (status < 400) & (strip(body) != ""), "active").otherwise("unknown")
+
+
+def _site_availability(url: Column, body: Column, wall: Column, closed_banners: tuple[str, ...], posting_path: str) -> Column:
+    """A wall says nothing; then banners; only a posting's own address with a text on it is active."""
+    closed = let(fold(body), lambda t: any_of(t, closed_banners))
+    return F.when(wall, "unknown").when(closed, "closed").when(fold(url).contains(posting_path) & (strip(body) != ""), "active").otherwise("unknown")
+
+
+def linkedin_availability(url: Column, body: Column) -> Column:
+    wall = let(fold(url), lambda u: any_of(u, R.LINKEDIN_WALL_URLS)) | let(fold(body), lambda t: any_of(t, R.LINKEDIN_WALL_TEXTS))
+    return _site_availability(url, body, wall, R.LINKEDIN_CLOSED, "/jobs/view/")
+
+
+def wttj_availability(url: Column, body: Column) -> Column:
+    return _site_availability(url, body, let(fold(url), lambda u: any_of(u, R.WTTJ_WALL_URLS)), R.WTTJ_CLOSED, "/jobs/")
 
 
 def keep_known_closed(before: Column, now: Column) -> Column:
@@ -279,8 +314,10 @@ def keep_known_closed(before: Column, now: Column) -> Column:
 
 
 def ats_board(note: Column) -> Column:
-    """Struct (ats, slug) from a note like "ats: greenhouse, board: acme"."""
-    return F.struct(F.lower(F.regexp_extract(text(note), r"(?i)ats:\s*([a-z]+)", 1)).alias("ats"), F.regexp_extract(text(note), r"(?i)(?:board|slug):\s*([A-Za-z0-9_-]+)", 1).alias("slug"))
+    """Struct (ats, slug) from a note like "ATS: Greenhouse; board: acme"; null for any other note."""
+    pattern = r"(?i)ATS:\s*(Greenhouse|Lever|BambooHR);\s*board:\s*([^;]+)"
+    ats = F.lower(F.regexp_extract(text(note), pattern, 1))
+    return F.when(ats != "", F.struct(ats.alias("ats"), strip(F.regexp_extract(text(note), pattern, 2)).alias("slug")))
 
 
 def company_slug(url: Column) -> Column:
@@ -307,6 +344,34 @@ def llm_answer(c: Column) -> Column:
     return F.struct(F.coalesce(score.cast("string"), F.lit("")).alias("fit_score"), F.coalesce(got["reasoning"], F.lit("")).alias("fit_reasoning"), F.coalesce(got["verdict"], F.lit("needs_revision")).alias("verdict"))
 
 
+# --- prompts ---------------------------------------------------------------------------------------------------------
+
+
+def _posting(title: Column, company: Column, place: Column | None, country: Column | None, work_format: Column | None, seniority: Column | None, body: Column) -> Column:
+    parts = [F.lit("Title: "), text(title), F.lit("\nCompany: "), text(company)]
+    if place is not None:
+        parts += [F.lit("\nLocation: "), text(place), F.lit(" ("), text(country), F.lit(")\nWork format: "), text(work_format)]
+    if seniority is not None:
+        parts += [F.lit("\nSeniority (rule-based guess, may be wrong): "), text(seniority)]
+    return F.concat(*parts, F.lit("\nDescription:\n"), F.left(text(body), F.lit(R.DESCRIPTION_CHARS)))
+
+
+def _prompt(cv: Column, posting: Column, *more: Column) -> Column:
+    return F.concat(F.lit("CANDIDATE CV:\n"), text(cv), F.lit("\n\n---\n\nJOB POSTING:\n"), posting, *more)
+
+
+def fit_score_prompt(cv: Column, title: Column, company: Column, place: Column, country: Column, work_format: Column, seniority: Column, body: Column) -> Column:
+    return _prompt(cv, _posting(title, company, place, country, work_format, seniority, body))
+
+
+def cv_draft_prompt(cv: Column, title: Column, company: Column, place: Column, country: Column, work_format: Column, body: Column) -> Column:
+    return _prompt(cv, _posting(title, company, place, country, work_format, None, body))
+
+
+def review_prompt(cv: Column, title: Column, company: Column, body: Column, draft: Column) -> Column:
+    return _prompt(cv, _posting(title, company, None, None, None, None, body), F.lit("\n\n---\n\nDRAFT TO REVIEW:\n"), text(draft))
+
+
 # --- filters ---------------------------------------------------------------------------------------------------------
 
 
@@ -317,30 +382,42 @@ def _query(query: str, category: str = "") -> Column:
     return F.struct(F.lit(query).alias("query"), F.lit(category).alias("category"), F.lit(q).alias("phrase"), latin.alias("words"))
 
 
-def _matching(title: Column, queries: list[Column]) -> Column:
-    """Those of the queries that match a title, in their order. The title is folded and cut into words once."""
+def _matching(title: Column, queries: Column) -> Column:
+    """Those of an array of queries that match a title, in their order. The title is folded and cut into words once."""
     ready = let(fold(squeeze(title)), lambda t: F.struct(t.alias("text"), word_list(t).alias("words")))
 
     def hit(t: Column, x: Column) -> Column:
         every = (F.size(x["words"]) > 0) & (F.size(F.array_except(x["words"], t["words"])) == 0)
         return (t["text"] != "") & (x["phrase"] != "") & (t["text"].contains(x["phrase"]) | every)
 
-    return let(ready, lambda t: F.filter(F.array(*queries), lambda x: hit(t, x)))
+    return let(ready, lambda t: F.filter(queries, lambda x: hit(t, x)))
 
 
 def query_matches(query: str, title: Column) -> Column:
     """The phrase is in the title, or each of its Latin words stands there alone."""
-    return F.size(_matching(title, [_query(query)])) > 0
+    return F.size(_matching(title, F.array(_query(query)))) > 0
 
 
 def matches_any_query(title: Column, queries) -> Column:
-    return F.size(_matching(title, [_query(q) for q in queries])) > 0
+    return F.size(_matching(title, F.array(*[_query(q) for q in queries]))) > 0
+
+
+def category_matches(title: Column, category: Column, search_query: Column, queries: dict[str, tuple[str, ...]] = R.QUERIES) -> Column:
+    """Whether a title matches any phrase of the record's own category; a category without phrases falls back on the phrase it was searched by."""
+    phrase_of = lambda c: F.trim(F.regexp_replace(fold(c), r"(?U)\s+", " "))
+    searched = F.struct(
+        text(search_query).alias("query"), text(category).alias("category"), phrase_of(search_query).alias("phrase"),
+        F.array_distinct(F.regexp_extract_all(phrase_of(search_query), F.lit("([a-z0-9]+)"), F.lit(1))).alias("words"),
+    )
+    known = F.array(*[_query(q, name) for name, phrases in queries.items() for q in phrases])
+    own = F.filter(known, lambda x: x["category"] == text(category))
+    return F.size(_matching(title, F.when(F.size(own) > 0, own).otherwise(F.array(searched)))) > 0
 
 
 def first_matching_query(title: Column, queries: dict[str, tuple[str, ...]] = R.QUERIES) -> Column:
     """Struct (query, category) of the first configured phrase that matches, null if none does. The catalogue is an
     array of constants: 49 rows of configuration need no join."""
-    found_one = F.get(_matching(title, [_query(q, category) for category, phrases in queries.items() for q in phrases]), F.lit(0))
+    found_one = F.get(_matching(title, F.array(*[_query(q, category) for category, phrases in queries.items() for q in phrases])), F.lit(0))
     return let(found_one, lambda x: F.when(x.isNotNull(), F.struct(x["query"].alias("query"), x["category"].alias("category"))))
 
 

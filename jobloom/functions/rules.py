@@ -187,3 +187,24 @@ LEVELS = (("Junior", "junior"), ("Mid-level", "middle"), ("Senior", "senior"), (
 SOURCE_ORDER = ("Company Careers", "Djinni", "Himalayas", "Jobicy", "We Work Remotely", "RemoteOK", "LinkedIn")
 YES, MAYBE, NO, MARK = "Подходит", "Возможно", "Не подходит", "Да"
 HANDLED = ("sent", "rejected")
+
+#: Banners (folded) by which a page says that its posting is gone, for any site and for two of their own.
+CLOSED_BANNERS = (
+    "job is no longer available", "this job has expired", "position has been filled", "page not found", "404 not found", "the job ad is no longer active", "ця вакансія зараз неактивна",
+)
+LINKEDIN_CLOSED = (
+    "no longer accepting applications", "job is no longer available", "this job has expired", "job has been closed", "position has been closed", "doesn't exist", "unable to load the page", "may not be valid",
+    "job posting has been removed",
+)
+WTTJ_CLOSED = ("job is no longer available", "this job has expired", "position has been filled", "offre n'est plus disponible", "offre a été pourvue")
+#: Signs of a login wall, in the address and in the text.
+LINKEDIN_WALL_URLS = ("/login", "/authwall", "/checkpoint", "/connect-services")
+LINKEDIN_WALL_TEXTS = (
+    "sign in to see more jobs", "log in to see more jobs", "join linkedin", "войти в linkedin", "identifiez-vous pour voir plus d'offres d'emploi", "connectez-vous pour voir plus d'offres d'emploi",
+    "keep your linkedin services", "choose how we use your data for personalized ads",
+)
+WTTJ_WALL_URLS = ("/authenticate/", "/login", "/signup", "/signin")
+#: Sources that state pay themselves, so that none is read out of their texts; sources whose titles are held against their category.
+PAY_STATED = ("Jobicy", "Himalayas")
+DESCRIPTION_CHARS = 6000
+ANALYSIS_NOTE = "Rule-based first pass; review before using for decisions."

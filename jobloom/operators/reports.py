@@ -14,13 +14,21 @@ from .dedup import first_per_key
 
 
 def run_stats(rows: DataFrame) -> DataFrame:
-    """source, found, uniq, duplicates, filtered_out per source and for all ("TOTAL"); rows: source, key, filtered."""
-    per = rows.groupBy("source", "key").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("filtered")).alias("kept"))
+    """source, found, uniq, duplicates, filtered_out, errors, new, existing, updated for each source and for all ("TOTAL").
+
+    rows: source, key, filtered and, if known, error (a request of that source that failed; it has no key) and state (new, existing or updated, as the merge told).
+    """
+    has = lambda c, v: F.col(c).cast("string") == v if c in rows.columns else F.lit(False)
+    failed = F.coalesce(has("error", "true"), F.lit(False))
+    states = ("new", "existing", "updated")
+    per = rows.groupBy("source", "key").agg(
+        F.count_if(~failed).alias("n"), F.count_if(~failed & ~F.col("filtered")).alias("kept"), F.count_if(failed).alias("errors"), *[F.count_if(has("state", s)).alias(s) for s in states]
+    )
     out = per.rollup("source").agg(
         F.sum("n").alias("found"), F.count_if(F.col("kept") > 0).alias("uniq"),
-        F.sum(F.greatest(F.col("kept") - 1, F.lit(0))).alias("duplicates"), F.sum(F.col("n") - F.col("kept")).alias("filtered_out"), F.grouping("source").alias("_g"),
+        F.sum(F.greatest(F.col("kept") - 1, F.lit(0))).alias("duplicates"), F.sum(F.col("n") - F.col("kept")).alias("filtered_out"), *[F.sum(c).alias(c) for c in ("errors", *states)], F.grouping("source").alias("_g"),
     )
-    return out.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("source")).alias("source"), "found", "uniq", "duplicates", "filtered_out")
+    return out.select(F.when(F.col("_g") == 1, "TOTAL").otherwise(F.col("source")).alias("source"), "found", "uniq", "duplicates", "filtered_out", "errors", *states)
 
 
 def near_fit_skills(joined: DataFrame) -> DataFrame:

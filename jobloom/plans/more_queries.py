@@ -51,11 +51,9 @@ flag("keep_known_closed", lambda: M.keep_known_closed(F.col("availability_status
 flag("company_slug", lambda: M.company_slug(F.concat(F.lit("https://x.example/companies/c"), _n().cast("string"), F.lit("?a=1"))), "'c' || seq")
 flag("date_str", lambda: M.date_text(F.when(_n() % 3 == 0, "NaT").when(_n() % 3 == 1, F.concat("date_collected", F.lit(" 00:00:00"))).otherwise(F.col("date_collected"))), "CASE WHEN seq % 3 = 0 THEN '' ELSE date_collected END")
 flag("parse_salary_amount", lambda: M.salary_amount(F.element_at(F.array(*[F.lit(x) for x in ("30.000,00", "30,000.5", "1.234", "12,5")]), (_n() % 4 + 1).cast("int"))), "[30000.0, 30000.5, 1234.0, 12.5][(seq % 4 + 1)::INT]::DOUBLE")
-flag("linkedin_availability", lambda: F.when(F.col("availability_status") == "unknown", "unknown").otherwise(M.availability(F.lit(200), F.when(F.col("availability_status") == "closed", "No longer available").otherwise("x"))), "availability_status")
 flag("posting_keywords", lambda: joined(split_list(F.col("required_skills")), "|"), "replace(required_skills, '; ', '|')")
 flag("is_company_age", lambda: F.size(F.filter(M._with_context(fold(F.col("full_text")), M._YEARS_EXP, 30, 40, 2), M._company_age)) > 0, "seq % 10 = 3")
 flag("format_salary_struct", lambda: S._salary(F.lit(1000), 1000 + _n() % 2 * 500, F.lit("EUR"), F.lit("Monthly")), "CASE WHEN seq % 2 = 1 THEN '1000-1500 EUR/month' ELSE '1000 EUR/month' END")
-flag("strip_boilerplate", lambda: M.strip(F.regexp_replace(F.concat(F.col("title"), F.lit("\nGet AI-powered advice on this job and more. Try Premium for free")), r"(?is)get ai-powered advice on this job.*?try premium for [^\n]*", "")), "title")
 
 
 def query(sql: str | None = None):
@@ -145,16 +143,6 @@ def verdict(spark, d):
     return rows.select("seq", T.verdict(F.col("md")).alias("verdict"), strip(T.without_review(F.col("md"))).alias("kept"))
 
 
-@query(f"{WITH} SELECT job_id, CASE WHEN seq % 2 = 0 THEN 'approved' ELSE '' END AS review_verdict FROM p WHERE seq % 50 = 0")
-def scan_drafts(spark, d):
-    """All drafts of the view as files, scanned whole into a table; the SQL's ids are taken from what the scan found."""
-    folder, book = _folder(spark, "drafts"), _folder(spark, "book")
-    T.write_drafts(_drafted(spark, d), folder)
-    T.write_sheet(T.drafts(spark, folder), book, "drafts")
-    found = T.read_sheet(spark, book, ("drafts",))
-    return found.where(F.substring("job_id", 2, 20).cast("long") % 50 == 0).select("job_id", "review_verdict")
-
-
 @query(f"{WITH} SELECT seq, 'Ann Smith' || chr(10) || company AS cv FROM p")
 def scan_master_cv(spark, d):
     page = F.concat(F.lit("<html><body><h1>Ann Smith</h1><p>"), F.col("company"), F.lit("</p></body></html>"))
@@ -180,8 +168,3 @@ def sink_markdown(spark, d):
     """The market report's table as lines of text."""
     r = P.cert_report(postings(spark, d)).orderBy(F.desc("postings"), "term").limit(10)
     return r.select(F.concat(F.lit("| "), "term", F.lit(" | "), "grp", F.lit(" | "), F.col("postings").cast("string"), F.lit(" | "), F.col("pct_of_all").cast("string"), F.lit(" |")).alias("line"))
-
-
-@query("SELECT page_id, lower(regexp_replace(regexp_replace(trim(url), '[?#].*$', ''), '/+$', '')) AS url FROM pages")
-def presence_url(spark, d):
-    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", I.presence_url(F.col("url")).alias("url"))

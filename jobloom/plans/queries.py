@@ -147,17 +147,6 @@ def classify_seniority(spark, d):
     return postings(spark, d).select("seq", M.classify_seniority(F.col("title"), F.col("full_text"), M.experience_years(T())["low"]).alias("level"))
 
 
-@query()
-def analyze_record(spark, d):
-    """All analysis columns in one projection."""
-    p, c = postings(spark, d), F.col
-    s = p.select("seq", "title", "full_text", "city_region", "country", "salary", T().alias("t")).select("*", M.experience_years(c("t")).alias("y"), M.required_preferred(c("t")).alias("s"), M.split_city_region(c("city_region"), c("country")).alias("place"))
-    return s.select(
-        "seq", M.classify_role(c("t")).alias("role_family"), M.classify_seniority(c("title"), c("full_text"), c("y.low")).alias("seniority"), c("y.low").alias("years_experience_min"), c("y.high").alias("years_experience_max"),
-        joined(M.skills(c("t"))).alias("skills_all"), joined(c("s.required")).alias("required_skills"), joined(c("s.preferred")).alias("preferred_skills"), c("place.city").alias("city"), c("place.region").alias("region"), M.salary_usd(c("salary")).alias("salary_usd_equivalent"),
-    )
-
-
 _PAY = [re2(p).replace(r"(?<!\d)", "") for p in M.SALARY_PATTERNS]
 
 
@@ -236,20 +225,6 @@ def personal_fit(spark, d):
     return postings(spark, d).select("seq", M.personal_fit(F.col("decision"), F.col("main_reason")).alias("fit"))
 
 
-@query("SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 'closed' WHEN page_id % 7 = 1 THEN 'unknown' WHEN contains(lower(html), 'job is closed') THEN 'closed' ELSE 'active' END AS state, CASE WHEN page_id % 2 = 0 AND page_id % 7 = 1 THEN 'closed' WHEN page_id % 7 = 0 THEN 'closed' WHEN page_id % 7 = 1 THEN 'unknown' ELSE 'active' END AS kept FROM pages")
-def generic_availability(spark, d):
-    n = F.col("page_id")
-    state = M.availability(F.when(n % 7 == 0, 404).when(n % 7 == 1, 500).otherwise(200), F.col("html"))
-    return _table(spark, d, "pages").select("page_id", state.alias("state"), M.keep_known_closed(F.when(n % 2 == 0, "closed").otherwise("active"), state).alias("kept"))
-
-
-@query(f"{WITH} SELECT seq, 'greenhouse' AS ats, 'board_' || (seq % 9)::VARCHAR AS slug, 'acme-' || (seq % 9)::VARCHAR AS company FROM p")
-def parse_ats_board(spark, d):
-    n = (F.col("seq") % 9).cast("string")
-    s = postings(spark, d).select("seq", M.ats_board(F.concat(F.lit("ATS: Greenhouse, board: board_"), n)).alias("b"), M.company_slug(F.concat(F.lit("https://x.example/companies/acme-"), n, F.lit("/jobs?x=1"))).alias("company"))
-    return s.select("seq", "b.ats", "b.slug", "company")
-
-
 @query(f"{WITH} SELECT seq, title, company FROM p")
 def parse_title_tag(spark, d):
     s = postings(spark, d).select("seq", M.title_tag(F.concat_ws(" | ", "title", "company", F.lit("LinkedIn"))).alias("s"))
@@ -270,11 +245,6 @@ def llm_json_parse(spark, d):
     return s.select("seq", "s.*")
 
 
-@query(f"{WITH} SELECT seq, 'Posting: ' || title || chr(10) || 'Company: ' || company || chr(10) || left(full_text, 6000) AS prompt FROM p")
-def llm_prompts(spark, d):
-    return postings(spark, d).select("seq", F.format_string("Posting: %s\nCompany: %s\n%s", "title", "company", F.left("full_text", F.lit(6000))).alias("prompt"))
-
-
 @query(f"{WITH} SELECT seq, coalesce(array_to_string(list_filter(list_filter(string_split(required_skills, '; '), lambda x: x <> ''), lambda x: contains(lower(full_text), lower(x))), '; '), '') AS matched, coalesce(array_to_string(list_filter(list_filter(string_split(required_skills, '; '), lambda x: x <> ''), lambda x: NOT contains(lower(full_text), lower(x))), '; '), '') AS missing FROM p")
 def ats_check(spark, d):
     parts, t = F.filter(F.split("required_skills", "; "), lambda x: x != ""), F.lower("full_text")
@@ -309,12 +279,6 @@ def label_or_default_query(spark, d):
     return postings(spark, d).select("seq", F.coalesce(found["query"], F.lit("data")).alias("label"))
 
 
-@query(f"{WITH} SELECT seq FROM p WHERE NOT (board IN ('LinkedIn')) OR " + " OR ".join(_match_sql(x) for x in R.QUERIES["data"]))
-def category_query_filter(spark, d):
-    hit = M.matches_any_query(F.col("title"), R.QUERIES["data"])
-    return postings(spark, d).where((F.col("board") != "LinkedIn") | hit).select("seq")
-
-
 @query(f"{WITH} SELECT seq, ({' OR '.join(has('lower(title)', chr(92) + 'b' + m + chr(92) + 'b') for m in ('senior', 'lead', 'head of', 'director', 'principal', 'staff', 'manager'))}) OR {any_sql('lower(full_text)', R.TEXT_MARKERS)} OR seq % 10 = 1 AS over FROM p")
 def is_overqualified(spark, d):
     return postings(spark, d).select("seq", M.is_overqualified(F.col("title"), F.col("full_text")).alias("over"))
@@ -361,20 +325,6 @@ def rejected(spark, d):
     return postings(spark, d).where(M.is_rejected(F.col("decision"), F.col("should_be_filtered"))).select("seq", "decision")
 
 
-@query(f"{WITH} SELECT seq FROM p WHERE decision = '' AND seq % 3 <> 0")
-def undecided_unscored(spark, d):
-    p = postings(spark, d)
-    scores = p.where("seq % 3 = 0").select("job_id", F.lit("50").alias("fit_score"))
-    return p.where(strip(F.col("decision")) == "").join(scores, "job_id", "left").where(text(F.col("fit_score")) == "").select("seq")
-
-
-@query(f"{WITH} SELECT seq FROM p WHERE decision = {q(R.YES)} AND availability_status = 'active' AND seq % 5 <> 0")
-def draft_candidates(spark, d):
-    p = postings(spark, d)
-    drafts = p.where("seq % 5 = 0").select("job_id")
-    return p.where((strip(F.col("decision")) == R.YES) & (fold(F.col("availability_status")) == "active")).join(drafts, "job_id", "left_anti").select("seq")
-
-
 @query(f"{WITH} SELECT seq FROM p WHERE source = 'src7' ORDER BY seq LIMIT 20")
 def select_records_to_check(spark, d):
     return postings(spark, d).where("source = 'src7'").orderBy("seq").limit(20).select("seq")
@@ -399,12 +349,6 @@ def per_query_share(spark, d):
     return D.cap_per_key(postings(spark, d).select("seq", "title"), ["title"], [F.col("seq")], share).orderBy("seq").limit(40)
 
 
-@query(f"{WITH} SELECT company, count(DISTINCT url)::BIGINT AS listed, count(DISTINCT url) < 20 AS complete FROM p GROUP BY company")
-def listing_status(spark, d):
-    s = postings(spark, d).groupBy("company").agg(F.countDistinct("url").alias("listed"))
-    return s.select("company", "listed", (F.col("listed") < 20).alias("complete"))
-
-
 @query(f"{WITH} SELECT seq, board FROM p WHERE board = 'Djinni' UNION ALL SELECT seq, board FROM p WHERE board = 'Jobicy'")
 def union_collect(spark, d):
     p = postings(spark, d).select("seq", "board")
@@ -414,13 +358,6 @@ def union_collect(spark, d):
 # --- dedup -----------------------------------------------------------------------------------------------------------
 
 
-@query(f"{WITH} SELECT min(seq) AS seq, source, (count(*) - 1)::BIGINT AS duplicates FROM p GROUP BY source, seq % 100")
-def dedup_first(spark, d):
-    p, c = postings(spark, d), F.col
-    keyed = p.select("seq", "source", I.dedup_key(c("source"), c("url"), c("company"), c("title"), c("city_region")).alias("k"))
-    return keyed.groupBy("k").agg(F.min("seq").alias("seq"), F.min_by("source", "seq").alias("source"), (F.count(F.lit(1)) - 1).alias("duplicates")).drop("k")
-
-
 @query(f"{WITH} SELECT seq, title, company FROM p QUALIFY row_number() OVER (PARTITION BY lower(company), lower(title) ORDER BY seq) = 1")
 def dedup_company_title(spark, d):
     return P.market(postings(spark, d).select("seq", "title", "company"))
@@ -516,14 +453,6 @@ def backfill_saved_metadata(spark, d):
 # --- aggregates and reports ------------------------------------------------------------------------------------------
 
 
-@query(f"""{WITH}, k AS (SELECT source, seq % 100 AS k, count(*) AS n, count(*) FILTER (WHERE availability_status <> 'closed') AS kept FROM p GROUP BY ALL)
-SELECT coalesce(source, 'TOTAL') AS source, sum(n)::BIGINT AS found, (count(*) FILTER (WHERE kept > 0))::BIGINT AS uniq, sum(greatest(kept - 1, 0))::BIGINT AS duplicates, sum(n - kept)::BIGINT AS filtered_out FROM k GROUP BY ROLLUP (source)""")
-def run_stats(spark, d):
-    c = F.col
-    p = postings(spark, d).select("source", I.dedup_key(c("source"), c("url"), c("company"), c("title"), c("city_region")).alias("key"), (c("availability_status") == "closed").alias("filtered"))
-    return P.run_stats(p)
-
-
 _UNNEST = f"{WITH}, s AS (SELECT seq, title, unnest(list_distinct(list_filter(string_split(required_skills || '; ' || preferred_skills, '; '), lambda x: x NOT IN ('', 'Crypto', 'Blockchain')))) AS skill FROM p WHERE {_NEAR})"
 _STATUS = f"CASE WHEN skill IN ({', '.join(q(s) for s in R.KNOWN_SKILLS)}) THEN 'known' ELSE 'gap' END"
 
@@ -640,13 +569,6 @@ def availability_counts(spark, d):
     return postings(spark, d).groupBy("availability_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH} SELECT company, CASE WHEN count(*) FILTER (WHERE availability_status = 'active') > 0 THEN 'newly open' WHEN count(*) FILTER (WHERE availability_status = 'unknown') > 0 THEN 'failed' ELSE 'still empty' END AS outcome FROM p WHERE seq % 30 < 9 GROUP BY company")
-def recheck_report(spark, d):
-    p = postings(spark, d).where("seq % 30 < 9")
-    some = lambda v: F.count_if(F.col("availability_status") == v) > 0
-    return p.groupBy("company").agg(F.when(some("active"), "newly open").when(some("unknown"), "failed").otherwise("still empty").alias("outcome"))
-
-
 # --- joins, apply list, application log ------------------------------------------------------------------------------
 
 
@@ -734,20 +656,6 @@ def active_near_fit(spark, d):
     return P.near_fit_list(rows, apps).select("seq", "decision", "source", "also_on")
 
 
-@query(f"{WITH} SELECT seq, CASE WHEN applied = '' AND seq % 5 = 0 THEN {q(R.MARK)} ELSE applied END AS applied FROM p")
-def copy_applied_marks(spark, d):
-    p = postings(spark, d)
-    sheet = p.where("seq % 5 = 0").select(F.col("job_id").alias("_s"), F.lit(R.MARK).alias("_mark"))
-    return p.join(sheet, F.col("job_id") == F.col("_s"), "left").select("seq", F.when(strip(F.col("applied")) == "", F.coalesce("_mark", F.lit(""))).otherwise(F.col("applied")).alias("applied"))
-
-
-@query(f"{WITH} SELECT seq, seq % 100 < 40 AS present FROM p")
-def ats_presence(spark, d):
-    p = postings(spark, d)
-    listed = p.where("seq < 40").select(I.presence_url(F.concat(F.lit("https://example.com/JOBS/"), F.col("seq").cast("string"), F.lit("?gh_jid=1"))).alias("_p")).distinct()
-    return p.join(listed, I.presence_url(F.col("url")) == F.col("_p"), "left").select("seq", F.col("_p").isNotNull().alias("present"))
-
-
 @query(f"{WITH} SELECT job_id FROM p WHERE seq % 3 = 0 INTERSECT SELECT job_id FROM p WHERE seq % 5 = 0")
 def skills_set_ops(spark, d):
     p = postings(spark, d)
@@ -767,7 +675,4 @@ def collect_pass(spark, d):
     return D.first_per_key(kept, [c("key")], [c("seq")])
 
 
-def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return run_stats(spark, d)
-
 

@@ -233,16 +233,11 @@ def sink_run_log(spark, d):
     return spark.read.schema("source string, found long, run string").json(folder).groupBy("source", "found").agg(F.countDistinct("run").alias("runs"))
 
 
-@query("SELECT 0 AS ord, 'a b' AS query, 'x' AS category UNION ALL SELECT 1, 'c', 'x' UNION ALL SELECT 2, 'd', 'y'")
-def scan_yaml_config(spark, d):
-    return T.query_catalogue(spark, {"x": ["a b", "c"], "y": ["d"]})
-
-
 # --- streams ---------------------------------------------------------------------------------------------------------
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")
 def stream_event_counts(spark, d):
-    return event_counts(spark, f"{d}/events*.parquet", _folder(spark, "stream"), "events_" + uuid.uuid4().hex).select("day", "event_type", "n")
+    return event_counts(spark, f"{d}/events*.parquet", _folder(spark, "stream")).select("day", "event_type", "n")
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,11 +103,14 @@ def contact_line(c):
     return F.array_join(F.filter(parts, lambda x: x != ""), " · ")
 
 
-def yaml_config(path: str | Path) -> dict:
+def yaml_config(spark: SparkSession, path: str) -> dict:
+    """One YAML file, which must be a mapping, read by Spark (so from any store); a configuration is small enough for the driver."""
     import yaml
 
-    with open(path, encoding="utf-8") as f:
-        got = yaml.safe_load(f)
+    found = [r["value"] for r in spark.read.text(path, wholetext=True).limit(2).collect()]
+    if len(found) != 1:
+        raise FileNotFoundError(f"{path}: one file is expected, {len(found)} found")
+    got = yaml.safe_load(found[0].removeprefix("\ufeff")) or {}
     if not isinstance(got, dict):
         raise ValueError(f"{path}: a mapping is expected")
     return got

@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.dedup import merge
 
 
 def merge_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "key"):
     """Starts a stream that merges rows into a Parquet table of versions (v=N); a batch that runs again writes the same version, so
-    a restart neither loses nor doubles rows. Late rows need no watermark: the earlier date wins in the merge."""
+    a restart neither loses nor doubles rows. Late rows need no watermark: the earlier date wins in the merge, and among rows of a key in one batch
+    the one with the earliest dates, ties broken by its other columns."""
 
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        incoming = batch.dropDuplicates([key])
+        dates = [c for c in ("date_published", "date_collected") if c in batch.columns]
+        order = F.struct(*dates, *[c for c in batch.columns if c not in (*dates, key)])
+        incoming = batch.groupBy(key).agg(F.min(order).alias("r")).select(key, "r.*").select(*batch.columns)
         if n:
             before = spark.read.parquet(f"{table}/v={n - 1}").withColumn("seq", F.lit(0).cast("long"))
             out = merge(before, incoming, key)
@@ -25,10 +29,20 @@ def merge_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "key
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def event_counts(spark: SparkSession, path: str, checkpoint: str, name: str) -> DataFrame:
-    """Daily counts of events by type as a stream with a watermark; runs through what is there and returns the table."""
+def event_counts(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """Daily counts of events by type as a stream with a watermark; runs through what is there and returns the table.
+
+    Each micro-batch writes the windows that it changed as a version of its own under folder (again, if it runs again); the table
+    has the latest version of each window.
+    """
     schema = spark.read.parquet(path).schema
-    daily = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-    q = daily.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total").writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    events = spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "1 day")
+    daily = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    daily = daily.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "total")
+
+    def one(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/v={n}")
+
+    daily.writeStream.outputMode("update").foreachBatch(one).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    versions = spark.read.schema(T.StructType([*daily.schema.fields, T.StructField("v", T.IntegerType())])).option("basePath", f"{folder}/table").parquet(f"{folder}/table")
+    return versions.groupBy("day", "event_type").agg(F.max_by(F.struct("n", "total"), "v").alias("r")).select("day", "event_type", "r.*")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from jobloom.functions import ids as I
 from jobloom.functions import metadata as M
-from jobloom.functions.html import html_to_text
-from jobloom.functions.text import fold
+from jobloom.functions.html import clean_text
+from jobloom.functions import rules as R
+from jobloom.functions.text import fold, needles
 
 
 def one(spark, column, **values):
@@ -111,5 +112,31 @@ def test_grouping_keys(spark):
 
 
 @pytest.mark.parametrize("raw, want", [(None, ""), ("a &amp; b", "a & b"), ("<p>One</p><ul><li>two  x</li></ul>", "One\ntwo x"), ("1 < 2", "1 < 2"), ("<script>x()</script><b>y</b>", "y")])
-def test_html(raw, want):
-    assert html_to_text(raw) == want
+def test_html(spark, raw, want):
+    assert one(spark, clean_text(F.col("a")), a=raw) == want
+
+
+def test_availability(spark):
+    a, b = F.col("a"), F.col("b")
+    for m in R.CLOSED_BANNERS:
+        check(spark, M.availability(F.lit(200), a), [(f"x {m.upper()} y", "closed")])
+    check(spark, M.availability(F.lit(200), a), [("job is closed", "active"), ("no longer available", "active"), (" ", "unknown")])
+    check(spark, M.availability(a.cast("int"), b), [(("404", "x"), "closed"), (("410", "x"), "closed"), (("500", "x"), "unknown"), (("302", "x"), "active"), ((None, "x"), "unknown"), ((None, "Page not found"), "closed")])
+    view, wall = "https://www.linkedin.com/jobs/view/1", "https://www.linkedin.com/authwall?x"
+    check(spark, M.linkedin_availability(a, b), [((view, "A job"), "active"), ((view, "No longer accepting applications"), "closed"), ((wall, "This job has expired"), "unknown"), ((view, "Join LinkedIn, this job has expired"), "unknown"), (("https://x.example", "A job"), "unknown"), ((view, " "), "unknown")])
+    check(spark, M.wttj_availability(a, b), [(("https://w.example/jobs/1", "x"), "active"), (("https://w.example/jobs/1", "Cette offre a été pourvue"), "closed"), (("https://w.example/signin?jobs/1", "offre a été pourvue"), "unknown"), (("https://w.example/a", "x"), "unknown")])
+    check(spark, F.to_json(M.ats_board(a)), [("ATS: Lever; board: a b ; x", '{"ats":"lever","slug":"a b"}'), ("ATS: Workday; board: a", None), ("ats: lever, board: a", None)])
+
+
+@pytest.mark.parametrize("pattern", [p for _, p in R.SKILLS] + [R.HYBRID, R.ONSITE, R.REMOTE, R.TEXT_JUNIOR, R.TEXT_SENIOR, R.AT_OFFICE, R.IN_PERSON])
+def test_needles_lose_nothing(pattern):
+    """Whatever a pattern matches holds one of its literals."""
+    import re
+
+    words = needles(pattern)
+    texts = ["power  bi", "3 days in office", "at our big office", "sql", "c++", "predictive models", "train an ml model", "optimise machine learning algorithm", "r programming", "2 jours au bureau", "entry level", "recent grads", "on-site", "full remote", "удалённо"]
+    for name, p in R.SKILLS:
+        texts.append(re.sub(r"\\b|\\s[*+]|[?()^$]|\[.*?\]", "", p.split("|")[0]))
+    for t in texts:
+        if words and re.search(pattern, t):
+            assert any(w in t for w in words), (t, words)

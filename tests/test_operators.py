@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from jobloom.operators import collection as C
 from jobloom.operators import dedup as D
 from jobloom.operators import reports as P
 from jobloom.sources import feeds as S
@@ -132,8 +133,8 @@ def test_recommendations(spark):
 
 
 def test_scan_drafts_whole(spark, monkeypatch):
-    """The scan meets every draft of the view, with its verdict and its .pdf; the query gives the rows of its SQL."""
-    from jobloom.plans import more_queries as Q
+    """The scan meets every draft of the view, with its verdict and its .pdf; the query gives them all."""
+    from jobloom.plans import collection_queries as Q
 
     scanned, drafts, d = [], T.drafts, "/root/testdata/sf0.001"
 
@@ -147,4 +148,45 @@ def test_scan_drafts_whole(spark, monkeypatch):
     name, verdict = lambda n: f"j{n:08d}", lambda n: "" if n % 2 else "approved"
     assert len(scanned) == 1
     assert sorted(map(tuple, scanned[0].collect())) == sorted((name(n), verdict(n), n % 4 == 0) for n in ids if n % 5 == 0)
-    assert got == sorted((name(n), verdict(n)) for n in ids if n % 50 == 0)
+    assert got == sorted((name(n), verdict(n), n % 4 == 0) for n in ids if n % 5 == 0)
+
+
+def test_listing_status(spark):
+    """What a whole listing lacks is closed; what one lacks whose page failed, is missing, or whose total isn't told, is unknown."""
+    pages = [("a", 1, 25, ["https://x.example/1/"]), ("a", 2, 25, ["https://X.example/2?utm_source=y"]), ("b", 1, 25, ["https://x.example/1"]), ("b", 2, 25, None), ("c", 1, 45, ["https://x.example/1"]), ("c", 3, 45, []), ("d", 1, None, ["https://x.example/1"]), ("e", 1, 0, [])]
+    urls, listings = C.company_listing(spark.createDataFrame(pages, "slug string, page int, total int, urls array<string>"))
+    saved = spark.createDataFrame([(s, f"https://x.example/{i}") for s in "abcdef" for i in (1, 2, 3)], "slug string, url string")
+    got = {(r["slug"], r["url"][-1]): r["status"] for r in C.listing_status(saved, urls, listings).collect()}
+    assert [got["a", i] for i in "123"] == ["active", "active", "closed"]
+    for s in "bcd":
+        assert [got[s, i] for i in "123"] == ["active", "unknown", "unknown"]
+    assert {got["e", i] for i in "123"} == {"closed"} and {got["f", i] for i in "123"} == {"unknown"}
+
+
+def test_ats_presence(spark):
+    jobs = [("greenhouse", "g", 7, "https://A.example/p/1?x=2", None), ("lever", "l", None, None, "https://l.example/Q/"), ("bamboohr", "b", 9, None, None)]
+    saved = [("Greenhouse", "g", "https://a.example/p/1/", True), ("Greenhouse", "g", "https://own.example/?gh_jid=7", True), ("Greenhouse", "g", "https://own.example/?gh_jid=8", False), ("lever", "l", "https://L.example/Q", True), ("lever", "l", "https://l.example/q", False), ("lever", "l", "https://l.example/?gh_jid=7", False), ("bamboohr", "b", "https://b.example/careers/9", True), ("bamboohr", "c", "https://b.example/careers/9", False)]
+    got = C.ats_presence(spark.createDataFrame(saved, "ats string, slug string, url string, want boolean"), spark.createDataFrame(jobs, "ats string, slug string, id long, absolute_url string, hosted_url string")).collect()
+    assert len(got) == len(saved) and all(r["present"] == r["want"] for r in got), got
+
+
+def test_backfill_and_category(spark):
+    rows = [("Jobicy", "", "", "Salary 45 000 EUR. Fully remote", "", ""), ("Djinni", "Paris, France", "Unknown", "Salary 45 000 EUR. Fully remote", "", ""), ("Djinni", "Paris", "Hybrid", "Fully remote", "1 USD", "Peru")]
+    got = C.backfill(spark.createDataFrame(rows, "source string, city_region string, work_format string, full_text string, salary string, country string")).collect()
+    assert [(r["country"], r["work_format"], r["salary"]) for r in got] == [("", "Remote", ""), ("France", "Remote", "45 000 EUR"), ("Peru", "Hybrid", "1 USD")]
+    rows = [("LinkedIn", "Fraud Analyst", "data", "x", False), ("LinkedIn", "Business Analyst", "data", "x", True), ("LinkedIn", "Head Chef", "food", "head  chef", True), ("LinkedIn", "Chef", "food", "head chef", False), ("Djinni", "Chef", "data", "x", True)]
+    frame = spark.createDataFrame(rows, "source string, title string, job_category string, search_query string, stays boolean")
+    assert all(r["stays"] for r in C.category_filter(frame, ("LinkedIn",)).collect()) and C.category_filter(frame, ("LinkedIn",)).count() == 3
+
+
+def test_dedup_sources(spark):
+    rows = [(1, "a", "k"), (2, "a", "k"), (3, "b", "k"), (4, "b", "m"), (0, "c", "k")]
+    got = {r["key"]: (r["seq"], r["board"], r["duplicates"], r["across"]) for r in C.dedup_sources(spark.createDataFrame(rows, "seq int, board string, key string"), "board", "key", "seq").collect()}
+    assert got == {"k": (0, "c", 0, 2), "m": (4, "b", 0, 0)}
+
+
+def test_long_chains_settle(spark):
+    n = 200
+    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)]
+    got = D.label_components(spark.createDataFrame(links + [(b, a) for a, b in links], "a string, b string")).collect()
+    assert len(got) == n + 1 and {r["component"] for r in got} == {"n000"}
