@@ -30,6 +30,22 @@ def pack(x: np.ndarray) -> list[bytes]:
     return [r.tobytes() for r in np.ascontiguousarray(x, dtype="<f8")]
 
 
+def pack_exact(x: np.ndarray) -> np.ndarray:
+    """Rows as bytes of single floats where nothing is lost by that (as where a table holds floats), else of doubles."""
+    with np.errstate(over="ignore"):
+        short = x.astype("<f4")
+    fits = (short == x).all(axis=1)
+    return np.array([a.tobytes() if f else b.tobytes() for a, b, f in zip(short, np.ascontiguousarray(x, dtype="<f8"), fits, strict=True)], dtype=object)
+
+
+def unpack_exact(cells, d: int) -> np.ndarray:
+    """Rows of doubles from what pack_exact made of vectors of length d."""
+    sizes = {len(c) for c in cells}
+    if len(sizes) == 1:
+        return np.frombuffer(b"".join(cells), dtype=f"<f{sizes.pop() // d}").reshape(len(cells), d).astype(np.float64)
+    return np.stack([np.frombuffer(c, dtype=f"<f{len(c) // d}").astype(np.float64) for c in cells])
+
+
 def by_length(arrays) -> dict[int, list[int]]:
     """Places of the arrays of each length: only vectors of one length are compared."""
     out: dict[int, list[int]] = {}
