@@ -397,15 +397,28 @@ def test_near_vectors(spark):
     assert vector_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
-def test_near_vectors_split(spark, monkeypatch):
-    monkeypatch.setattr(vector_dedup, "SPLIT", 37)
-    monkeypatch.setattr(vector_dedup, "TILE", 16)
+@pytest.mark.parametrize("region, split, fine", [(37, 41, 4), (1 << 16, 100, 8), (90, 1 << 16, 512)])
+def test_near_vectors_split(spark, monkeypatch, region, split, fine):
+    """However regions are cut, coarse or fine, every link counts once."""
+    for name, value in (("REGION", region), ("SPLIT", split), ("FINE", fine), ("PAIRS", 300)):
+        monkeypatch.setattr(vector_dedup, name, value)
     rows, x, _ = vector_rows()
     got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int")).toPandas().sort_values("vec_id")
     u = x / np.linalg.norm(x, axis=1)[:, None]
     assert got.n_links.tolist() == ((u @ u.T >= 0.95).sum(axis=1) - 1).tolist()
 
 
+def test_near_vectors_shared_ids(spark):
+    """Different vectors under one id, or under none, have their own links."""
+    a, b = [1.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0]
+    near = lambda v: [c + 0.1 * (k == 2) for k, c in enumerate(v)]
+    rows = [(5, a), (5, b), (7, near(a)), (8, near(b)), (2**63 - 1, [0.0, 0.0, 0.0, 1.0]), (None, [0.0, 0.0, 0.1, 1.0]), (None, [0.0, 0.0, -1.0, 0.0])]
+    got = vector_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("own", F.lit(1))).collect()
+    want = [(5, 1, 5, True), (5, 1, 5, True), (7, 1, 5, False), (8, 1, 5, False), (2**63 - 1, 1, 2**63 - 1, True), (None, 1, 2**63 - 1, False), (None, 0, None, True)]
+    key = lambda r: tuple((x is not None, x or 0) for x in r)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+
+
 def test_nearest(spark):
     rows, x, odd = vector_rows()
     frame = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, id int")
