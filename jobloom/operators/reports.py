@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import ids as I
 from ..functions import metadata as M
 from ..functions import rules as R
-from ..functions.text import fold, split_list, strip, text
+from ..functions.text import fold, holds, split_list, strip, text
 from .dedup import first_per_key
 
 
@@ -82,8 +82,8 @@ def market_demand(postings: DataFrame, rules=R.SKILLS) -> DataFrame:
     """skill, market, certs, market_total: all patterns counted in one pass over the market."""
     t = fold(F.concat(text(F.col("title")), F.lit("\n"), text(F.col("full_text"))))
     base = market(postings).select(t.alias("t"))
-    aggs = [F.count_if(F.col("t").rlike("(?U)" + p)).alias(f"m{i}") for i, (_, p) in enumerate(rules)]
-    aggs += [F.count_if(F.col("t").rlike("(?U)" + M.cert_near(p))).alias(f"k{i}") for i, (_, p) in enumerate(rules)]
+    aggs = [F.count_if(holds(F.col("t"), p)).alias(f"m{i}") for i, (_, p) in enumerate(rules)]
+    aggs += [F.count_if(holds(F.col("t"), M.cert_near(p))).alias(f"k{i}") for i, (_, p) in enumerate(rules)]
     one = base.agg(F.count(F.lit(1)).alias("total"), *aggs)
     rows = F.array(*[F.struct(F.lit(n).alias("skill"), F.col(f"m{i}").alias("market"), F.col(f"k{i}").alias("certs"), F.col("total").alias("market_total")) for i, (n, _) in enumerate(rules)])
     return one.select(F.explode(rows).alias("r")).select("r.*")

@@ -10,6 +10,7 @@ from ..functions import rules as R
 from ..functions.html import without_upsell
 from ..operators import collection as C
 from ..operators import reports as P
+from ..sources import feeds as S
 from ..sources import tables as T
 from .more_queries import _drafted, flag
 from .queries import SQL as _SQL
@@ -215,6 +216,29 @@ def copy_applied_marks(spark, d):
     return C.copy_marks(p, p.where("seq % 5 = 0").select("job_id", F.lit(R.MARK).alias("applied"))).select("seq", "applied")
 
 
+@query(f"{WITH} SELECT title, company FROM p WHERE decision = {q(R.YES)} EXCEPT SELECT title, company FROM p WHERE availability_status = 'closed'")
+def except_distinct(spark, d):
+    p = postings(spark, d)
+    return p.where(F.col("decision") == R.YES).select("title", "company").subtract(p.where("availability_status = 'closed'").select("title", "company"))
+
+
+@query(f"{WITH} SELECT unnest(string_split(required_skills, '; ')) AS skill FROM p UNION SELECT unnest(string_split(preferred_skills, '; ')) FROM p")
+def union_distinct(spark, d):
+    p = postings(spark, d)
+    part = lambda c: p.select(F.explode(F.split(c, "; ")).alias("skill"))
+    return part("required_skills").union(part("preferred_skills")).distinct()
+
+
+@query(f"{WITH} SELECT seq, CASE WHEN seq % 3 = 0 THEN seq % 5 >= 4 WHEN seq % 3 = 1 THEN (seq % 5 + 1) * 20 < seq % 120 ELSE FALSE END AS more FROM p")
+def has_more_pages(spark, d):
+    """The total decides where it is told, else whether the page was full."""
+    n = F.col("seq")
+    jobs = F.transform(F.sequence(F.lit(1), F.when(n % 5 >= 4, 20).otherwise(19)), lambda i: F.struct(i.cast("string").alias("guid")))
+    told = F.when(n % 3 == 1, n % 120).when(n % 3 == 2, F.lit(20).cast("long"))
+    payload = F.to_json(F.struct(F.when(n % 3 == 0, jobs).otherwise(F.slice(jobs, 1, 2)).alias("jobs"), told.alias("totalCount")))
+    return postings(spark, d).select("seq", S.has_more_pages(payload, F.when(n % 3 == 1, n % 5 + 1).otherwise(F.lit(1))).alias("more"))
+
+
 # --- analysis, prompts, files ----------------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from ..operators import reports as P
 from ..sources import feeds as S
 from ..sources import tables as T
 from .queries import _GROUPED, _NEAR, _grouped, Query
+from .queries import SQL as _SQL
 from .source_queries import _folder, _page
 from .view import WITH, any_sql, postings, q, sql_list
 
@@ -163,7 +164,8 @@ def sink_xlsx(spark, d):
     return T.read_sheet(spark, book)
 
 
-@query()
+@query(f"""WITH t AS ({_SQL['cert_terms']}), n AS ({_SQL['cert_guards']})
+SELECT '| ' || term || ' | ' || grp || ' | ' || t.postings || ' | ' || round_even(100.0::DOUBLE * t.postings / n.postings, 1)::DOUBLE || ' |' AS line FROM t, n ORDER BY t.postings DESC, term LIMIT 10""")
 def sink_markdown(spark, d):
     """The market report's table as lines of text."""
     r = P.cert_report(postings(spark, d)).orderBy(F.desc("postings"), "term").limit(10)

