@@ -21,15 +21,6 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.where(takes_part(F.col("v")))
 
 
-def matrix(cells) -> np.ndarray:
-    """Rows of doubles from packed bytes; all of one length."""
-    return np.frombuffer(b"".join(cells), dtype="<f8").reshape(len(cells), -1)
-
-
-def pack(x: np.ndarray) -> list[bytes]:
-    return [r.tobytes() for r in np.ascontiguousarray(x, dtype="<f8")]
-
-
 def pack_exact(x: np.ndarray) -> np.ndarray:
     """Rows as bytes of single floats where nothing is lost by that (as where a table holds floats), else of doubles."""
     with np.errstate(over="ignore"):
