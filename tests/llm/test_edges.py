@@ -438,6 +438,18 @@ def test_nearest(spark):
     assert ann.search(tiny.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("dealt, inner", [(1, 1), (2, 1), (1, 0), (1, 2)])
+def test_nearest_layouts(spark, monkeypatch, dealt, inner):
+    """Whatever axes vectors are dealt by and however groups are cut, all probed buckets are measured: with all of them the answer is exact."""
+    monkeypatch.setattr(ann, "BLOCK", 9)
+    rows, x, _ = vector_rows()
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id int"), F.col("vec_id") % 200 == 0, tables=1, probes=1 << 15, dealt=dealt, inner=inner).collect()
+    for q in (0, 200):
+        d = np.sqrt(((x - x[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert [r["vec_id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])] == np.lexsort((np.arange(len(x)), d))[:10].tolist()
+
+
 @pytest.mark.parametrize("most", [12, 60, 10**6])
 def test_components(spark, monkeypatch, most):
     from jobloom.llm import components
