@@ -6,12 +6,13 @@ within each piece. An index maps every rank to the places where its pair
 stands. Active ranks are taken from a heap in ascending order; all places of a
 rank are merged at once, and only the pairs next to a merge are looked up anew and
 added to their lists. As pieces don't touch each other, this equals merging
-each piece's lowest rank first. A piece's ids are kept for the rest of the
-partition, so that a piece is merged about once a task.
+each piece's lowest rank first. A rank costs a few array operations however many places it has, so many texts
+are encoded at once: a text waits as the numbers of its words, until NEW words are new
+or CHUNK characters wait. The ids of words that come again are kept.
 
 Every document is encoded whole and alone: partitions need no shuffle, a lost
-executor costs the repetition of its tasks, and memory is bounded by CHUNK
-characters of text and CACHE pieces.
+executor costs the repetition of its tasks, and memory is bounded by NEW and CACHE
+words and the numbers of CHUNK characters of text (of one text, if it is longer).
 
 Defined results: null or empty text gives no ids and decodes to the empty
 text; the strings of special tokens in a text become their ids, as in the
@@ -26,6 +27,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import release, table
 
-CHUNK, CACHE = 1 << 21, 150_000
+#: Characters of texts, and words not met before, that are encoded at once; words kept for what comes; characters handed on at once.
+CHUNK, NEW, CACHE, SLICE = 1 << 25, 200_000, 200_000, 1 << 21
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -81,11 +84,12 @@ class PairIndexBPE:
         self.piece_bytes |= {i: s.encode() for s, i in self.special.items()}
         self.findall = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, bytes] = {}
+        self.index: dict = {}  # words by number, in this order
+        self.done: list[bytes] = []  # ids of the first of them; the rest are new
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair, -1 without one."""
-        key = (left << 24) | right
+        key = (left.astype(np.int64) << 24) | right
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.ranks[at], -1)
 
@@ -93,8 +97,8 @@ class PairIndexBPE:
         lengths = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(ends) else 0
-        sym = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
-        nxt, prv = np.arange(1, n + 1, dtype=np.int64), np.arange(-1, n - 1, dtype=np.int64)
+        sym = self.byte_id[np.frombuffer(b"".join(pieces), dtype=np.uint8)].astype(np.int32)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[ends[lengths > 0] - 1] = -1
         prv[(ends - lengths)[lengths > 0]] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -114,7 +118,7 @@ class PairIndexBPE:
                         heapq.heappush(heap, r)
                     index[r].append(places[lo:hi])
 
-        enter(np.flatnonzero(nxt >= 0))
+        enter(np.flatnonzero(nxt >= 0).astype(np.int32))
         while heap:
             r = heapq.heappop(heap)
             lists = index.pop(r)
@@ -130,7 +134,7 @@ class PairIndexBPE:
                         used = int(nxt[x])
                     else:
                         used = -1
-                at = np.array(keep, dtype=np.int64)
+                at = np.array(keep, dtype=np.int32)
             if not len(at):
                 continue
             gone = nxt[at]
@@ -164,26 +168,49 @@ class PairIndexBPE:
         first, *rest = text.replace("\n", " \n").split(" ")
         return [("", first, ""), *rest] if first else rest
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.words(t) for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list(set().union(*split).difference(known))
+    def numbers(self, text: str) -> np.ndarray:
+        """A text as the numbers of its words."""
+        words, index = self.words(text), self.index
+        for w in set(words).difference(index):
+            index[w] = len(index)
+        return np.fromiter(map(index.__getitem__, words), dtype=np.uint32, count=len(words))
+
+    def waiting(self) -> int:
+        return len(self.index) - len(self.done)
+
+    def resolve(self) -> None:
+        """Encodes the words that are new."""
+        findall = self.findall
         parts = []
-        for w in new:
+        for w in islice(self.index, len(self.done), None):
             if isinstance(w, str):
-                parts.append(self.findall(w if w[0] == "\n" else " " + w))
+                parts.append(findall(w if w[0] == "\n" else " " + w))
             else:
-                parts.append(self.findall(w[1]) if len(w) == 3 else [w])
-        pieces = list({p for ps in parts for p in ps if isinstance(p, str)})
+                parts.append(findall(w[1]) if len(w) == 3 else [w])
+        every = set().union(*parts)
+        pieces = [p for p in every if isinstance(p, str)]
         ids = dict(zip(pieces, self.merge_pieces([p.encode() for p in pieces]), strict=True))
-        for w, ps in zip(new, parts, strict=True):
-            known[w] = b"".join([ids[p] if isinstance(p, str) else int(self.special[p[1]]).to_bytes(4, "little") for p in ps])
-        out = [b"".join([known[w] for w in words]) for words in split]
-        for w in new:
-            if len(w) > 64 or not isinstance(w, str) and len(w[1]) > 64:
-                del known[w]
+        if len(pieces) < len(every):
+            ids |= {p: int(self.special[p[1]]).to_bytes(4, "little") for p in every if not isinstance(p, str)}
+        of = ids.__getitem__
+        self.done += [of(ps[0]) if len(ps) == 1 else b"".join(map(of, ps)) for ps in parts]
+
+    def ids(self, numbers: np.ndarray) -> bytes:
+        return b"".join(map(self.done.__getitem__, numbers.tolist()))
+
+    def forget(self, texts: list[np.ndarray]) -> None:
+        """Of more than CACHE words those stay that came twice in the texts just encoded, and aren't long."""
+        if len(self.index) > CACHE:
+            often = np.bincount(np.concatenate(texts), minlength=len(self.index)) > 1 if texts else np.zeros(len(self.index), dtype=bool)
+            kept = [(w, x) for w, x, o in zip(self.index, self.done, often.tolist(), strict=True) if o and len(x) <= 64]
+            kept = kept[: CACHE // 2]
+            self.index, self.done = {w: i for i, (w, _) in enumerate(kept)}, [x for _, x in kept]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        numbers = [self.numbers(t) for t in texts]
+        self.resolve()
+        out = [self.ids(x) for x in numbers]
+        self.forget(numbers)
         return out
 
     def decode(self, ids: bytes) -> str:
@@ -219,19 +246,35 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for b in batches:
-            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
-            for lo, hi in ranges(sizes):
-                texts = ["" if t is None else t for t in b.column("text").slice(lo, hi - lo).to_pylist()]
-                ids = bpe.encode(texts)
+        held: list[tuple[pa.Array, list[np.ndarray]]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            bpe.resolve()
+            for doc_ids, texts in held:
+                ids = [bpe.ids(x) for x in texts]
                 decoded = [bpe.decode(x) for x in ids]
                 cols = [
-                    b.column("doc_id").slice(lo, hi - lo), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                    doc_ids, pa.array([len(x) // 4 for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded], pa.string()),
                 ]
                 cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        bpe.known.clear()
+            bpe.forget([x for _, texts in held for x in texts])
+            held.clear()
+
+        size = 0
+        for b in batches:
+            sizes = pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)
+            for lo, hi in ranges(sizes, SLICE):
+                texts = ["" if t is None else t for t in b.column("text").slice(lo, hi - lo).to_pylist()]
+                held.append((pa.array(b.column("doc_id").slice(lo, hi - lo).to_pylist(), pa.int64()), [bpe.numbers(t) for t in texts]))
+                size += int(sizes[lo:hi].sum())
+                if size >= CHUNK or bpe.waiting() >= NEW:
+                    yield from flush()
+                    size = 0
+        if held:
+            yield from flush()
+        bpe.index, bpe.done = {}, []
         release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
