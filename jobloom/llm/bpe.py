@@ -198,12 +198,12 @@ class PairIndexBPE:
     def ids(self, numbers: np.ndarray) -> bytes:
         return b"".join(map(self.done.__getitem__, numbers.tolist()))
 
-    def forget(self, texts: list[np.ndarray]) -> None:
-        """Of more than CACHE words those stay that came twice in the texts just encoded, and aren't long."""
-        if len(self.index) > CACHE:
+    def forget(self, texts: list[np.ndarray], most: int = CACHE) -> None:
+        """Of more than most words those stay that came twice in the texts just encoded, and aren't long."""
+        if len(self.index) > most:
             often = np.bincount(np.concatenate(texts), minlength=len(self.index)) > 1 if texts else np.zeros(len(self.index), dtype=bool)
             kept = [(w, x) for w, x, o in zip(self.index, self.done, often.tolist(), strict=True) if o and len(x) <= 64]
-            kept = kept[: CACHE // 2]
+            kept = kept[: most // 2]
             self.index, self.done = {w: i for i, (w, _) in enumerate(kept)}, [x for _, x in kept]
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -239,8 +239,9 @@ def chunks(texts: list[str], most: int = CHUNK) -> Iterator[tuple[int, int]]:
     return ranges([len(t) for t in texts], most)
 
 
-def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary: little-endian u32) and decoded text."""
+def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, new: int = NEW) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (binary: little-endian u32) and decoded text.
+    new: words encoded at once, and kept; a worker takes some 700 bytes for each, and fewer cost more time."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -259,7 +260,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 ]
                 cols += [pa.array(ids, pa.binary()), pa.array(decoded, pa.string())] if with_ids else []
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-            bpe.forget([x for _, texts in held for x in texts])
+            bpe.forget([x for _, texts in held for x in texts], new)
             held.clear()
 
         size = 0
@@ -269,7 +270,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
                 texts = ["" if t is None else t for t in b.column("text").slice(lo, hi - lo).to_pylist()]
                 held.append((pa.array(b.column("doc_id").slice(lo, hi - lo).to_pylist(), pa.int64()), [bpe.numbers(t) for t in texts]))
                 size += int(sizes[lo:hi].sum())
-                if size >= CHUNK or bpe.waiting() >= NEW:
+                if size >= CHUNK or bpe.waiting() >= new:
                     yield from flush()
                     size = 0
         if held:

@@ -171,7 +171,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", names: dict[
         langs, scores, rejected = model.predict([None if t is None else t for t in texts])
         return pd.DataFrame({"lang_pred": langs, "score": scores, "rejected": rejected})
 
-    out = docs.withColumn(inner, predict(F.col(text_col).cast(T.StringType())))
+    # called once for a row: as a pure function the optimizer would call it again in a filter on what it returns
+    out = docs.withColumn(inner, predict.asNondeterministic()(F.col(text_col).cast(T.StringType())))
     return out.withColumns({(names or {}).get(c, c): F.col(f"{inner}.{c}") for c in ("lang_pred", "score", "rejected")}).drop(inner)
 
 
