@@ -13,6 +13,10 @@ from jobloom.llm.common import fresh_names, has_words, materialize
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
+#: Words that the encoder takes at once: half of its default, as its workers stand beside heaps that four stages before it have grown.
+WORDS = 100_000
+
+
 def small_batches(spark: SparkSession) -> None:
     """Sets BATCHES for the session: plans read them when they run, which may be after a stage's function has returned."""
     for key, value in BATCHES.items():
@@ -54,7 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every copy, and the proof that they decode to its text; null and empty texts have none."""
     small_batches(spark)
-    return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.json"))
+    return bpe.encode_documents(docs, bpe.vocabulary("byte_bpe_50k.json"), new=WORDS)
 
 
 STAGES = [
