@@ -13,7 +13,8 @@ Gibbs sampling: a sweep empties, for each context and word, the tables of that w
 and seats its customers anew one after another, given the tables of all the rest
 as the sweep before left them: a customer opens a table with odds
 (s + d T_u) P(w) against c - d t. Sweeps are synchronised by the totals T_u. Discounts come
-from the counts of counts. Predictive probabilities of the last SAMPLES sweeps are averaged.
+from the counts of counts. The first BURN sweeps, which still show the start of one table for each pair, are
+discarded; predictive probabilities of the SAMPLES sweeps after them are averaged.
 
 Layout: a map task turns a chunk of texts into numbers: its distinct words, in the order of
 their hashes, and its distinct (word, context) pairs with training counts. The tokens stay in
@@ -50,7 +51,7 @@ from .common import fresh_dir, materialize, release, table
 from .langid import remainder
 from .token_files import file_system
 
-CHUNK, OWNER_CHARS, SAMPLES, STRENGTH, SEED = 1 << 25, 12_000_000, 2, 1.0, 7
+CHUNK, OWNER_CHARS, BURN, SAMPLES, STRENGTH, SEED = 1 << 25, 12_000_000, 1, 2, 1.0, 7
 CONTEXTS = 1024  # length of the totals that tests give an Owner; not a bound of contexts
 END, START = b"\n", b""  # no word holds a line feed, none is empty
 
@@ -392,7 +393,7 @@ def _discount(n1: float, n2: float) -> float:
     return float(min(0.95, max(0.05, n1 / (n1 + 2 * n2)))) if n1 + n2 else 0.5
 
 
-def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
+def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, burn: int = BURN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from the rows not held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
@@ -403,7 +404,7 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
     n, _, v, texts, n1, n2, m1, m2 = _sums(owned, 0.5, 0.5)
     d, d0 = _discount(n1, n2), _discount(m1, m2)
     sums: list[float] = []
-    for _ in range(samples + 1):
+    for _ in range(burn + samples + 1):
         sums.append(share_totals(owned, folder, owners, list(sums), v, d, d0))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -413,12 +414,12 @@ def score(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "te
             for row in b.to_dict("records"):
                 o = Share(row, d, d0)
                 totals = o.known(folder, sums, v)
-                chain = o.chain(totals[:-1])[1:]
-                parent = [o.parent(t, x) for t, x in zip(chain, totals[1:], strict=True)]
+                chain = o.chain(totals[:-1])[1 + burn :]
+                parent = [o.parent(t, x) for t, x in zip(chain, totals[1 + burn :], strict=True)]
                 keys = load(folder, f"shard-{o.owner}")["keys"]
                 at = np.minimum(np.searchsorted(keys, o.words), max(0, len(keys) - 1))
                 found = keys[at] == o.words if len(keys) else np.zeros(len(at), dtype=bool)
-                tables = [np.where(found, load(folder, f"contexts-{k}-{o.owner}")["totals"][at], 0) if len(keys) else np.zeros(len(at)) for k in range(1, samples + 1)]
+                tables = [np.where(found, load(folder, f"contexts-{k}-{o.owner}")["totals"][at], 0) if len(keys) else np.zeros(len(at)) for k in range(burn + 1, burn + samples + 1)]
                 customers = np.where(o.words == np.uint64(xxhash.xxh3_64_intdigest(START)), int(texts), o.total)
                 for c, w, q in zip(row["chunks"], row["word_at"], row["pair_at"], strict=True):
                     w, q = risen(w, "<u4"), risen(q, "<u4")
