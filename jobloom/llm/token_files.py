@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from .bpe import chunks, vocabulary
 from .common import fresh_dir, release, table
 
+CHUNK = 1 << 22  # characters encoded at once
+
 MAGIC, SAMPLE, END_ID = b"EFTOK001", 256, 1
 
 
@@ -266,7 +268,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
         for b in batches:
             texts = ["" if t is None else t for t in b["text"]]
             ids = b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, CHUNK):
                 for i, x in zip(ids[lo:hi], enc.ids(texts[lo:hi]), strict=True):
                     if writer is None:
                         system.create_dir(root, recursive=True)
