@@ -295,6 +295,28 @@ def test_language_id(spark, odd, empty):
     assert langid.identify(empty, model).count() == 0
 
 
+def test_language_brute(spark):
+    """Language and score are those of the nearest centroid by a cosine written out cell by cell."""
+    rng = random.Random(12)
+    say = {"en": "the and of that with for is to", "de": "der die und nicht mit für ist zu"}
+    rows = [(i, " ".join(rng.choice(say[k].split()) for _ in range(rng.randint(3, 30))), k) for i in range(80) for k in [rng.choice(list(say))]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, dim=256)
+    for r in langid.identify(docs, model).collect():
+        cells = [math.log1p(float(n)) * float(w) for n, w in zip(langid.counts(r["text"], 256), model.idf, strict=True)]
+        length = math.sqrt(sum(x * x for x in cells))
+        near = [sum(x * float(y) for x, y in zip(cells, c, strict=True)) / length for c in model.centroids]
+        best = max(range(len(near)), key=lambda k: near[k])
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - near[best]) < 1e-5 and r["rejected"] == (r["score"] < model.least[best])
+
+
+def test_language_sample_is_bounded(spark):
+    """Rows without ids, equal rows and dirty labels don't swell the sample."""
+    rows = [(None, f"the river and the stone {i}", "en") for i in range(400)] + [(3, "der Fluss und der Stein", "de")] * 300 + [(i, "zzz", f"l{i}") for i in range(40)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=40, languages=3)
+    assert set(model.langs) >= {"de", "en"} and len(set(model.langs)) == 3
+
+
 def test_pii_brute():
     import re
 

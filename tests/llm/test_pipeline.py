@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from jobloom.llm import minhash
@@ -43,6 +44,36 @@ def test_stages(spark, docs, tmp_path):
     assert sorted(ids["mix"]) == sorted(ids["encode"])
 
 
+def test_rows_without_names(spark, docs, tmp_path):
+    """Rows that share an id, or have none, are rows of their own: each group of near copies keeps one, each row its own copies."""
+    rng = random.Random(6)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c, long = say(60), say(60), say(60), say(20_000)
+    rows = [(5, a, "s0"), (5, b, "s0"), (5, b, "s0"), (None, a + " more", "s1"), (None, c, "s1"), (None, c, "s1"), (None, None, "s1"), (7, "", None), (7, "", None), (9, long, None)]
+    frame = spark.createDataFrame([(i, t, "en", x, len(t or ""), "k") for i, t, x in rows], docs.schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ") + ", _copy string").repartition(3)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["near_dedup"](spark, frame, str(tmp_path))
+    assert kept.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect()) == sorted([(5, a), (5, b), (0, c), (0, ""), (7, ""), (7, ""), (9, long)])
+    mixed = stages["mix"](spark, frame, str(tmp_path))
+    assert mixed.columns == frame.columns
+    count = lambda f, t: sum(r["text"] == t for r in f.collect())
+    assert count(mixed, long) <= 2 and count(mixed, a) <= 2 and count(mixed, b) <= 4 and count(mixed, c) <= 4
+    assert stages["encode"](spark, frame, str(tmp_path)).count() == len(rows)
+
+
+def test_run(spark, docs, tmp_path):
+    """run() gives what the stages give one after another, and again the same."""
+    docs.withColumn("doc_id", F.when(F.col("doc_id") % 9 == 0, F.lit(None)).when(F.col("doc_id") % 7 == 0, 7).otherwise(F.col("doc_id"))).write.parquet(str(tmp_path / "documents.parquet"))
+    once, again = (sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect())) for _ in range(2))
+    assert once == again and len(once) > 50
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, now, str(tmp_path)).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+    assert sorted(map(str, now.collect())) == once
+
+
 def test_empty(spark, docs, tmp_path):
     now = docs.limit(0)
     for name, stage in corpus_pipeline.STAGES:
