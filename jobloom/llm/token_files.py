@@ -31,6 +31,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -177,7 +178,7 @@ class Encoder:
     word are pieces of their own, and words of letters alone go to the library in one line, to be told apart by
     the ends of words in their tokens."""
 
-    CACHE = 1 << 19
+    CACHE, KEPT = 1 << 19, 1 << 17
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -228,16 +229,20 @@ class Encoder:
         tails = [w for w in need if not w.isalpha()]
         self.known.update(zip(tails, self._encode(tails), strict=True))
 
+    def trim(self) -> None:
+        """Between tasks only the KEPT pieces met first stay, as most texts have them."""
+        self.known = dict(islice(self.known.items(), self.KEPT))
+
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed self.width bytes each."""
         split = [(t if "<|" in t or self.high.search(t) else t.lower()).split(" ") for t in map(_spaced, texts)]
         if len(self.known) > self.CACHE:
-            self.known = {"": b""}
+            self.trim()
         known = self.known
         known[""] = b""
         new = list(set().union(*split).difference(known))
         self._learn(new)
-        out = [b"".join([known[w] for w in words]) for words in split]
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
         for w in new:
             if len(w) > 64:
                 del known[w]
@@ -274,7 +279,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
                         system.create_dir(root, recursive=True)
                         writer = ShardWriter(system.open_output_stream(f"{root}/{os.path.basename(name)}"), enc.width)
                     writer.add(i, x + int(end_id).to_bytes(enc.width, "little"))
-        enc.known = {}
+        enc.trim()
         release()
         if writer is not None:
             foot = writer.close()
