@@ -6,8 +6,8 @@ normalised. Training rows of each language are clustered by spherical k-means
 into several centroids; a text gets the language of the centroid with the
 largest cosine, and is rejected if even that one is farther than the language's
 own distance. That distance comes from the training rows: MARGIN times the cosine
-that all but QUANTILE of the language's rows reach (rows of few letters are far from
-everything, hence the margin). Texts without a letter are always rejected.
+that all but QUANTILE of the language's rows reach, and less in proportion for texts that fill fewer than FULL cells, as short
+texts are far from everything, but FLOOR at least. Texts without a letter are always rejected.
 
 Fitting uses a bounded sample of labelled rows, at most SAMPLE in all, shared evenly by at
 most LANGS languages (the most frequent labels; ties go to the first in code-point order),
@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from .common import fresh_names, release, table
 
 DIM, CLUSTERS, SAMPLE, LANGS, ROUNDS = 8192, 4, 4000, 256, 8
-QUANTILE, MARGIN = 0.01, 0.5
+QUANTILE, MARGIN, FLOOR, FULL = 0.01, 0.5, 0.05, 300
 UND = "und"
 _KEEP = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -72,10 +72,12 @@ class Model:
         at = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         for lo in range(0, len(at), 256):
             part = at[lo : lo + 256]
-            near = weighted(np.stack([counts(texts[i], len(self.idf)) for i in part]), self.idf) @ self.centroids.T
+            rows = np.stack([counts(texts[i], len(self.idf)) for i in part])
+            held = np.minimum(1.0, (rows > 0).sum(axis=1) / FULL)
+            near = weighted(rows, self.idf) @ self.centroids.T
             best = near.argmax(axis=1)
-            for i, k, s in zip(part, best, near[np.arange(len(part)), best], strict=True):
-                langs[i], scores[i], least[i] = self.langs[k], min(1.0, max(0.0, float(s))), self.least[k]
+            for i, k, s, h in zip(part, best, near[np.arange(len(part)), best], held, strict=True):
+                langs[i], scores[i], least[i] = self.langs[k], min(1.0, max(0.0, float(s))), max(FLOOR, self.least[k] * h)
         return langs, scores, scores < least
 
 
