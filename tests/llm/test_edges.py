@@ -307,7 +307,7 @@ def test_language_brute(spark):
         length = math.sqrt(sum(x * x for x in cells))
         near = [sum(x * float(y) for x, y in zip(cells, c, strict=True)) / length for c in model.centroids]
         best = max(range(len(near)), key=lambda k: near[k])
-        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - near[best]) < 1e-5 and r["rejected"] == (r["score"] < model.least[best])
+        assert r["lang_pred"] == model.langs[best] and abs(r["score"] - near[best]) < 1e-5 and r["rejected"] == (r["score"] < max(langid.FLOOR, model.least[best] * min(1, sum(x > 0 for x in cells) / langid.FULL)))
 
 
 def test_language_sample_is_bounded(spark):
