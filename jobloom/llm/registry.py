@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, hpylm, langid, line_dedup, minhash, mixing, pii, token_files, vector_dedup
+from . import ann, bpe, fim, hard_negatives, hpylm, langid, line_dedup, minhash, mixing, pii, substring_dedup, token_files, vector_dedup
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_lm_scores": hpylm.op8_lm_scores,
         "op9_language_id": langid.op9_language_id,
         "op10_bpe": bpe.op10_bpe,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
+        "op12_fill_in_middle": fim.op12_fill_in_middle,
+        "op13_substring_dedup": substring_dedup.op13_substring_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_to_weights": mixing.SQL}
+    return {"op2_mix_to_weights": mixing.SQL, "op11_hard_negatives": hard_negatives.SQL, "op12_fill_in_middle": fim.SQL, "op13_substring_dedup": substring_dedup.SQL}
