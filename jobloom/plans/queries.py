@@ -12,7 +12,9 @@ from ..functions import metadata as M
 from ..functions import rules as R
 from ..functions.text import fold, joined, normalize_text, strip, text
 from ..operators import dedup as D
+from ..operators import groups as G
 from ..operators import reports as P
+from ..operators import similar as N
 from .view import TODAY, WITH, any_sql, fold_sql, has, postings, q, re2, sql_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -388,15 +390,21 @@ def locations_compatible(spark, d):
     return a.join(F.broadcast(b), c("a") < c("b")).select("a", "b", M.locations_compatible(c("at"), c("bt"), c("ab"), c("bb")).alias("compatible"))  # a row for each of few places
 
 
+def _openings(spark, d):
+    """Postings whose titles are the first words of their texts, which copies share or nearly share."""
+    words = F.regexp_extract_all(F.col("full_text"), F.lit(r"(\S+)"), F.lit(1))
+    return postings(spark, d).withColumn("title", F.array_join(F.slice(words, 1, 10), " "))
+
+
 @query()
 def fuzzy_same_posting(spark, d):
-    """Similar company names of the view with their ratio test, both orders."""
-    return D.similar_names(postings(spark, d).select(M.normalize_company(F.col("company")).alias("c"), "seq").union(postings(spark, d).select(F.concat(M.normalize_company(F.col("company")), F.lit("s")), "seq")), "c", 0.92)
+    """Profiles of the postings that are the same job, by their smallest job_id, later and earlier."""
+    return N.same_postings(_openings(spark, d))
 
 
 @query()
 def duplicate_groups(spark, d):
-    return D.duplicate_groups(postings(spark, d))
+    return G.duplicate_groups(postings(spark, d))
 
 
 _GROUPED = f"{WITH}, g AS (SELECT *, CASE WHEN seq % 4 = 0 THEN '' ELSE 'g' || (seq // 8)::VARCHAR END AS duplicate_group FROM p)"
@@ -416,7 +424,7 @@ def inherit_group_decisions(spark, d):
 
 @query(_GROUPED + " SELECT count(DISTINCT duplicate_group)::BIGINT AS n_groups, count(*)::BIGINT AS n_rows FROM g WHERE duplicate_group <> ''")
 def group_stats(spark, d):
-    return _grouped(spark, d).where("duplicate_group <> ''").agg(F.countDistinct("duplicate_group").alias("n_groups"), F.count(F.lit(1)).alias("n_rows"))
+    return G.group_stats(_grouped(spark, d))
 
 
 # --- upsert ----------------------------------------------------------------------------------------------------------
@@ -445,11 +453,6 @@ def merge_counts(spark, d):
     return D.merge(*_sides(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"{WITH} SELECT seq, CASE WHEN country <> '' THEN country ELSE CASE WHEN city_region = 'Europe' THEN 'Europe' ELSE '' END END AS country FROM p")
-def backfill_saved_metadata(spark, d):
-    return postings(spark, d).select("seq", F.when(strip(F.col("country")) != "", F.col("country")).otherwise(M.infer_country(F.col("city_region"))).alias("country"))
-
-
 # --- aggregates and reports ------------------------------------------------------------------------------------------
 
 

@@ -1,7 +1,5 @@
 """Dedup, groups, upsert, reports, sources, sheets and streams."""
 
-import random
-
 from pyspark.sql import functions as F
 
 from jobloom.operators import collection as C
@@ -16,49 +14,6 @@ def test_first_per_key(spark):
     assert sorted(map(tuple, D.first_per_key(rows, [F.col("k")], [F.col("seq")]).collect())) == [(1, "a", "y"), (2, "b", "z")]
 
 
-POSTINGS = "job_id string, source string, company string, title string, city_region string, country string"
-
-
-def groups(spark, rows):
-    return {r["job_id"]: r["duplicate_group"] for r in D.duplicate_groups(spark.createDataFrame(rows, POSTINGS)).collect()}
-
-
-def test_duplicate_groups(spark):
-    got = groups(spark, [
-        ("a1", "s", "Acme Inc", "Data Analyst", "Paris", "France"), ("a2", "t", "Acme", "Data Analyst (Remote)", "Paris, IdF", "France"), ("a3", "t", "Acme", "Data Analyst", "Berlin", "Germany"),
-        ("b1", "s", "Northwind Laboratories", "Risk Analyst", "", ""), ("b2", "t", "Northwind Laboratorie", "Risk Analyst", "", ""), ("b3", "t", "Northwind Laboratories", "Risk Analyst", "Kyiv", ""),
-        ("c1", "s", "", "Data Analyst", "", ""), ("c2", "s", "", "Data Analyst", "", ""), ("d1", "s", "Acme", "Fraud Lead", "Paris", ""),
-    ])
-    assert got == {"a1": "a1", "a2": "a1", "a3": "", "b1": "b1", "b2": "b1", "b3": "", "c1": "", "c2": "", "d1": ""}
-
-
-def test_duplicate_groups_brute(spark):
-    rng = random.Random(4)
-    names = ["Northwind Laboratories", "Northwind Laboratorys", "Northwinds Laboratories", "Contoso", "Contoso Ltd", "Fabrikam Services Group", "Fabrikam Service Group"]
-    titles = ["Senior Data Analyst Risk", "Senior Data Analysts Risk", "Data Analyst", "Data Analyst (Remote)", "Business Intelligence Analyst", "Business Intelligence Analyst II"]
-    rows = [(f"j{i:03}", "s", rng.choice(names), rng.choice(titles), rng.choice(["Paris", "Remote", "", "Paris, Berlin", "Berlin"]), rng.choice(["", "France"])) for i in range(150)]
-    prepared = sorted(map(tuple, D.prepared(spark.createDataFrame(rows, POSTINGS)).collect()))
-    formed = []
-    for job, *p in prepared:
-        p = tuple(tuple(x) if isinstance(x, list) else x for x in p)
-        home = next((g for g in formed if all(D.same_posting(p, q) for _, q in g)), None)
-        if home is None:
-            formed.append([(job, p)])
-        else:
-            home.append((job, p))
-    want = {job: g[0][0] if len(g) > 1 else "" for g in formed for job, _ in g}
-    assert groups(spark, rows) == want
-
-
-def test_near_names_lose_none(spark):
-    from difflib import SequenceMatcher
-
-    rng = random.Random(1)
-    names = sorted({"".join(rng.choice("abc ") for _ in range(rng.randint(1, 16))).strip() for _ in range(150)} - {""})
-    got = {tuple(r) for r in D.similar_names(spark.createDataFrame([(n,) for n in names], "n string"), "n", 0.8).collect()}
-    assert got == {(a, b) for a in names for b in names if a != b and SequenceMatcher(None, a, b).ratio() >= 0.8}
-
-
 def test_inherit(spark):
     rows = [("1", "A", "g", "Подходит", "ok", ""), ("2", "B", "g", "", "", "old"), ("3", "A", "h", "Подходит", "x", ""), ("4", "B", "h", "Возможно", "y", ""), ("5", "C", "h", "", "", ""), ("6", "C", "", "", "", "")]
     got = {r["job_id"]: r for r in D.inherit_decisions(spark.createDataFrame(rows, "job_id string, source string, duplicate_group string, decision string, main_reason string, review_notes string"), ["decision", "main_reason"]).collect()}
@@ -183,10 +138,3 @@ def test_dedup_sources(spark):
     rows = [(1, "a", "k"), (2, "a", "k"), (3, "b", "k"), (4, "b", "m"), (0, "c", "k")]
     got = {r["key"]: (r["seq"], r["board"], r["duplicates"], r["across"]) for r in C.dedup_sources(spark.createDataFrame(rows, "seq int, board string, key string"), "board", "key", "seq").collect()}
     assert got == {"k": (0, "c", 0, 2), "m": (4, "b", 0, 0)}
-
-
-def test_long_chains_settle(spark):
-    n = 200
-    links = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)]
-    got = D.label_components(spark.createDataFrame(links + [(b, a) for a, b in links], "a string, b string")).collect()
-    assert len(got) == n + 1 and {r["component"] for r in got} == {"n000"}
