@@ -16,12 +16,13 @@ line; the first place of either has all of it, so that the run is removed whole,
 whatever shorter runs came before. A text of ``noise`` words or more that has
 no full window is one window. Places are ordered by document id, then
 line; a fingerprint's first place is the keeper, and a later place with that
-fingerprint is matched against it: the match is extended line by line both ways
+fingerprint is matched against it, or against the place before it in its own text if that has one: the match is extended line by line both ways
 and the later run is removed. Every removed line has an equal line at an
 earlier place, so that one copy of each always stays. Nothing of less than
 ``noise`` words is ever removed.
 
-Scale: lines are dealt by document; first places come from a min with map-side
+Scale: lines are dealt by document; work is linear in a text's lines, also where thousands of them are equal (each is
+matched with the one before it, and extended guarantee lines at most, as windows find what goes on beyond); first places come from a min with map-side
 combine; matches are linear in the fingerprints (each meets one first place, not
 all others); texts move once, in the last join. Hot fingerprints and hot first
 documents meet in plain equi-joins that adaptive execution splits.
@@ -41,6 +42,7 @@ from pyspark.sql import functions as F
 from .common import WORD, fresh_names, let, table
 
 NOISE, GUARANTEE = 25, 50
+BLOCK = 64  # lines whose hits are extended together
 _BLANKS = "\t\n\x0b\x0c\r "
 
 
@@ -93,24 +95,35 @@ def repeated_runs(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
     )
     prints = fingerprints(lines, noise, guarantee)
     first = prints.groupBy("gram").agg(F.min(F.struct("id", "th", "at")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = (F.col("id") == F.col("f.id")) & (F.col("th") == F.col("f.th")) & (F.col("at") == F.col("f.at"))
+    before = F.lag("at").over(Window.partitionBy("id", "th", "gram").orderBy("at"))
+    hits = prints.join(first, "gram").select("id", "th", "gram", "at", "f").repartition("id", "th").withColumn("before", before)
+    own = F.col("before").isNotNull()
+    hits = hits.select("id", "th", "at", *[F.when(own, F.col(c)).otherwise(F.col(f"f.{o}")).alias(n) for c, o, n in (("id", "id", "fid"), ("th", "th", "fth"), ("before", "at", "fat"))])
+    hits = hits.where((F.col("id") != F.col("fid")) | (F.col("th") != F.col("fth")) | (F.col("at") != F.col("fat")))
     pairs = (
-        prints.join(first, "gram")
-        .where(~same)
-        .groupBy("id", "th", F.col("f.id").alias("fid"), F.col("f.th").alias("fth"), (F.col("at") - F.col("f.at")).alias("shift"))
+        hits.groupBy("id", "th", "fid", "fth", (F.col("at") - F.col("fat")).alias("shift"), F.floor(F.col("at") / BLOCK).cast("int").alias("block"))
         .agg(F.collect_set("at").alias("hits"))
+        .groupBy("id", "th", "fid", "fth")
+        .agg(F.collect_list(F.struct("shift", "block", "hits")).alias("parts"))
     )
     arrays = hashed.select("id", "th", F.transform("lines", lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))).alias("hs")).dropDuplicates(["id", "th"])
     firsts = arrays.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("hs").alias("fhs"))
     both = pairs.join(arrays, ["id", "th"]).join(firsts, ["fid", "fth"])
-    lo, hi = F.greatest(F.lit(0), F.col("shift")), F.least(F.size("hs"), F.size("fhs") + F.col("shift")) - 1
-    unlike = F.filter(F.sequence(lo, hi), lambda j: F.get("hs", j) != F.get("fhs", j - F.col("shift")))
 
-    def runs(u):
-        return F.zip_with(F.concat(F.array(lo - 1), u), F.concat(u, F.array(hi + 1)), lambda a, b: F.struct((a + 1).alias("s"), (b - 1).alias("e")))
+    def extended(p):
+        """Runs of equal lines around the hits of one block: a run that goes on beyond guarantee lines has windows of its own there."""
+        lo = F.greatest(F.lit(0), p["shift"], p["block"] * BLOCK - guarantee)
+        hi = F.least(F.size("hs"), F.size("fhs") + p["shift"], (p["block"] + 1) * BLOCK + guarantee) - 1
+        unlike = F.filter(F.sequence(lo, hi), lambda j: F.get("hs", j) != F.get("fhs", j - p["shift"]))
+        runs = lambda u: F.zip_with(F.concat(F.array(lo - 1), u), F.concat(u, F.array(hi + 1)), lambda a, b: F.struct((a + 1).alias("s"), (b - 1).alias("e")))
+        return let(unlike, lambda u: F.filter(runs(u), lambda r: F.exists(p["hits"], lambda x: (x >= r["s"]) & (x <= r["e"]))))
 
-    hit = let(unlike, lambda u: F.filter(runs(u), lambda r: F.exists("hits", lambda x: (x >= r["s"]) & (x <= r["e"]))))
-    return both.select("id", "th", hit.alias("runs")).groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("runs"))).alias("runs"))
+    runs = both.select("id", "th", F.explode(F.array_distinct(F.flatten(F.transform("parts", extended)))).alias("r")).select("id", "th", "r.s", "r.e").repartition("id", "th")
+    by = Window.partitionBy("id", "th").orderBy("s", "e")
+    apart = F.coalesce(F.col("s") > F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True)).cast("int")
+    islands = runs.withColumn("apart", apart).withColumn("island", F.sum("apart").over(by))
+    islands = islands.groupBy("id", "th", "island").agg(F.struct(F.min("s").alias("s"), F.max("e").alias("e")).alias("r"))
+    return islands.groupBy("id", "th").agg(F.array_sort(F.collect_list("r")).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", noise: int = NOISE, guarantee: int = GUARANTEE) -> DataFrame:
@@ -125,11 +138,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = _lines(F.col(text_col))
 
     def cut(lines):
+        """Flags of all lines are built from the gaps and the runs, so that work is linear in both."""
         places = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: _full(F.get(lines, i)))
-        return let(places, lambda at: let(
-            F.transform(F.col(druns), lambda r: F.struct(F.get(at, r["s"]).alias("s"), F.get(at, r["e"]).alias("e"))),
-            lambda raw: F.filter(lines, lambda line, i: ~(_full(line) & F.exists(raw, lambda r: (i >= r["s"]) & (i <= r["e"])))),
-        ))
+        raw = let(places, lambda at: F.transform(F.col(druns), lambda r: F.struct(F.get(at, r["s"]).alias("s"), F.get(at, r["e"]).alias("e"))))
+        flags = let(raw, lambda rs: F.flatten(F.zip_with(
+            F.concat(F.array(F.lit(-1)), F.transform(rs, lambda r: r["e"])), F.concat(rs, F.array(F.struct(F.size(lines).alias("s"), (F.size(lines) - 1).alias("e")))),
+            lambda end, r: F.concat(F.array_repeat(F.lit(False), r["s"] - end - 1), F.array_repeat(F.lit(True), r["e"] - r["s"] + 1)),
+        )))
+        return F.transform(F.filter(F.zip_with(lines, flags, lambda line, gone: F.struct(line.alias("line"), gone.alias("gone"))), lambda x: ~(x["gone"] & _full(x["line"]))), lambda x: x["line"])
 
     kept = let(lines, cut)
     n_lines = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines))

@@ -192,3 +192,19 @@ def test_long_texts_hash_alike():
     finally:
         substring_dedup.SLICE = before
     assert len(parts) == 1 and np.array_equal(parts[0], whole)
+
+
+# ---- line dedup in texts of many equal lines
+
+
+def test_equal_lines_are_linear(spark):
+    """A table of equal lines, a log of few lines in any order, and a period: one copy of each line stays."""
+    from jobloom.llm import line_dedup
+
+    rng = random.Random(12)
+    rule, log = "five words in each line", [" ".join(f"l{i}w{j}" for j in range(8)) for i in range(10)]
+    texts = ["\n".join([rule] * 50_000), "\n".join(rng.choice(log) for _ in range(3000)), "\n\n".join(log[:7] * 300), "\n".join(log)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert (got[0]["n_lines"], got[0]["n_removed"]) == (50_000, 49_999) and got[0]["text"] == rule
+    assert got[2]["n_removed"] >= 7 * 300 - 14
+    assert set(got[1]["text"].split("\n")) == set(log)  # the later texts may lose all that stands there
