@@ -191,7 +191,8 @@ def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
     """(id, th, body) -> id, th, spans: array of longs, first word and end of what is repeated, 32 bits each."""
     found = materialize(anchors(docs, length, seed), "anchors")
     seeds = found.groupBy("seed").agg(F.min("reach").alias("lo"), F.max("reach").alias("hi"), F.count(F.lit(1)).alias("many"))
-    seeds = seeds.where("many > 1").select("seed", (F.col("lo") != F.col("hi")).alias("open"))
+    # written, so that both sides of the join are plain shuffles, whose hot partitions adaptive execution splits
+    seeds = materialize(seeds.where("many > 1").select("seed", (F.col("lo") != F.col("hi")).alias("open")), "seeds")
     kept = lambda c: F.when(F.col("open"), F.col(c)).alias(c)
     met = materialize(found.join(seeds, "seed").select(*KEY, "q", "n", kept("seed"), kept("reach")), "met")
     edge = met.where("seed IS NOT NULL")
