@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +9,9 @@ from ..functions import ids as I
 from ..functions import metadata as M
 from ..functions import rules as R
 from ..functions.text import fold, holds, split_list, strip, text
-from .dedup import first_per_key
+from .dedup import cap_per_key, first_per_key
+from .terms import quoted_line, wanted
+from .terms import term_hits as find_terms
 
 
 def run_stats(rows: DataFrame) -> DataFrame:
@@ -110,34 +111,18 @@ def recommendations(joined: DataFrame, postings: DataFrame) -> DataFrame:
     return out.withColumn("line", line)
 
 
-def _around(texts: pd.Series, patterns: pd.Series, flags: pd.Series) -> pd.DataFrame:
-    """Nearest word of need or preference within 150 characters of the first match, and the line around it."""
-    import re
-
-    marks = [(label, re.compile(p, re.IGNORECASE)) for label, p in (("required", R.REQUIRED_NEAR), ("preferred", R.PREFERRED_NEAR))]
-    known: dict[tuple[str, int], re.Pattern] = {}
-    out = []
-    for t, p, f in zip(texts, patterns, flags, strict=True):
-        m = known.setdefault((p, f), re.compile(p, f)).search(t)
-        if m is None:
-            out.append((None, None))
-            continue
-        lo, hi, centre = max(0, m.start() - 150), min(len(t), m.end() + 150), (m.start() + m.end()) / 2
-        near = [(abs((h.start() + h.end()) / 2 - centre), i, h.start(), label) for i, (label, r) in enumerate(marks) for h in r.finditer(t, lo, hi)]
-        edge = t.find("\n", m.end())
-        a, b = max(t.rfind("\n", 0, m.start()) + 1, m.start() - 80), min(len(t) if edge < 0 else edge, m.end() + 80)
-        out.append((min(near)[3] if near else "mentioned", " ".join(t[a:b].split())))
-    return pd.DataFrame(out, columns=["status", "quote"])
+MARKET_COLUMNS = ("seq", "company", "title", "full_text", "seniority", "work_format", "country")
 
 
 def term_hits(postings: DataFrame) -> DataFrame:
-    """A row for each posting of the market and each term it names: term, grp, level, place, status, quote. Native
-    patterns decide the hits in one projection; Python only sees hits, for what needs their position."""
-    base = market(postings).select("seq", F.concat(text(F.col("title")), F.lit("\n"), text(F.col("full_text"))).alias("t"), M.level_bucket(F.col("seniority")).alias("level"), M.location_bucket(F.col("work_format"), F.col("country")).alias("place"))
-    terms = [(n, p, "certificate") for n, p in R.CERTIFICATES] + [(n, p, "tool") for n, p in R.TOOLS]
-    hits = [F.when(F.col("t").rlike(("(?U)" if n in R.CASE_SENSITIVE else "(?iuU)") + p), F.struct(F.lit(n).alias("term"), F.lit(g).alias("grp"), F.lit(p).alias("pattern"), F.lit(0 if n in R.CASE_SENSITIVE else 2).alias("flags"))) for n, p, g in terms]
-    rows = base.select("seq", "t", "level", "place", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
-    return rows.withColumn("c", F.pandas_udf(_around, "struct<status: string, quote: string>")(F.col("t"), F.col("h.pattern"), F.col("h.flags"))).select("seq", "h.term", "h.grp", "level", "place", "c.status", "c.quote")
+    """seq, term, grp, level, place, status, quote for each posting of the market and each term that it names."""
+    hits = find_terms(market(postings.select(*MARKET_COLUMNS)))
+    return hits.withColumns({"status": wanted(F.col("hit")), "quote": quoted_line(F.col("hit"))}).drop("hit")
+
+
+def quote_samples(hits: DataFrame, n: int = 3, seed: int = 1) -> DataFrame:
+    """n quotes of each term, chosen by a hash: a bounded rank, so that a hot term sends n rows of each task."""
+    return cap_per_key(hits.select("term", "seq", "quote"), ["term"], [F.md5(F.concat(F.lit(f"{seed}:"), "quote")), F.col("seq")], n)
 
 
 def cert_report(postings: DataFrame) -> DataFrame:

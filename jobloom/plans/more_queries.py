@@ -99,17 +99,6 @@ def also_on(spark, d):
     return rows.join(boards, "duplicate_group").select("seq", F.array_join(F.array_sort(F.transform(others, lambda x: x["board"])), ", ").alias("also_on")).where("also_on <> ''")
 
 
-@query()
-def classify_context(spark, d):
-    """The word of need or preference nearest to a certificate, and the line around it."""
-    return P.term_hits(postings(spark, d)).where("grp = 'certificate'").select("seq", "term", "status")
-
-
-@query()
-def quote_around(spark, d):
-    return P.term_hits(postings(spark, d)).select("seq", "term", "quote")
-
-
 @query(f"{WITH} SELECT seq, title, company FROM p WHERE seq % 2 = 0")
 def json_ld_jobposting(spark, d):
     got = _page(spark, d).select("seq", S.json_ld(F.col("html")).alias("j")).where("j IS NOT NULL")

@@ -15,7 +15,7 @@ from ..operators import dedup as D
 from ..operators import groups as G
 from ..operators import reports as P
 from ..operators import similar as N
-from .view import TODAY, WITH, any_sql, fold_sql, has, postings, q, re2, sql_list
+from .view import TODAY, VIEW, WITH, any_sql, fold_sql, has, postings, q, re2, sql_list
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -540,9 +540,64 @@ def cert_terms(spark, d):
     return P.cert_report(postings(spark, d)).select("term", "grp", "postings", "junior", "remote", "europe")
 
 
-@query()
+#: Sentences added to the postings by seq % 6: terms with words of need and of preference at many distances and on both sides.
+ASKS = (
+    "Must know SQL. Nice to have: PL-300.", "PL-300 preferred, but not required; ideally with a dbt certification.", "We use GA4 certification data daily.", "A bonus: " + "x " * 80 + "Tableau Desktop Specialist\nneeded",
+    "Mandatory!\nMicrosoft Certified people, certified in Power BI, would be a plus", "GitHub Foundations, an asset. Essential: IBM Data Analyst; desirable: CompTIA Data+",
+)
+
+
+def _asking(spark, d):
+    ask = F.element_at(F.array(*[F.lit(x) for x in ASKS]), (F.col("seq") % len(ASKS) + 1).cast("int"))
+    p = postings(spark, d)
+    return p.withColumn("full_text", F.concat(ask, F.lit("\n"), "full_text")).withColumn("company", F.concat("company", (F.col("seq") % 50).cast("string")))
+
+
+def _plain(name: str, pattern: str) -> str:
+    """A term for RE2 where its place is asked for: no look-around, boundaries of ASCII words."""
+    return ("" if name in R.CASE_SENSITIVE else "(?i)") + (r"\bexcel\b" if name == "Excel" else pattern)
+
+
+_HITS = f"""WITH b AS ({VIEW}), a AS (SELECT * REPLACE ({sql_list(ASKS)}[(seq % {len(ASKS)} + 1)::INT] || chr(10) || full_text AS full_text, company || (seq % 50)::VARCHAR AS company) FROM b),
+m AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY lower(company), lower(title) ORDER BY seq) = 1), w AS (SELECT seq, title || chr(10) || full_text AS w, seniority, {_PLACE} AS place FROM m),
+h AS (""" + " UNION ALL ".join(f"SELECT seq, seniority, place, {q(n)} AS term, {q(g)} AS grp, w, regexp_extract(w, {q('(?s)^(.*?)(?:' + _plain(n, p) + ')')}, 1) AS pre, {q('^(?:' + _plain(n, p) + ')')} AS pat FROM w WHERE {_term_sql(n, p)}" for n, p, g in _TERMS) + f"""),
+k AS (SELECT *, regexp_extract(substr(w, length(pre) + 1), pat, 0) AS m FROM (SELECT * FROM h)),
+c AS (SELECT *, right(pre, 150) AS l, left(substr(w, length(pre) + length(m) + 1), 150) AS r FROM k),
+x AS (SELECT *, CASE WHEN length(pre) > 150 AND regexp_matches(substr(pre, length(pre) - 150, 1), '[\\p{{L}}\\p{{N}}_]') THEN 'x' ELSE ' ' END || l || m || r AS t, 2 * (length(l) + 1) + length(m) AS z FROM c),
+s AS (SELECT *, {{marks_r}} AS sr, {{marks_p}} AS sp FROM x),
+d AS (SELECT *, {{far_r}} AS dr, {{far_p}} AS dp FROM s),
+hits AS (SELECT seq, term, grp, seniority, place, CASE WHEN dr IS NULL AND dp IS NULL THEN 'mentioned' WHEN dp IS NULL OR dr <= dp THEN 'required' ELSE 'preferred' END AS status,
+ trim(regexp_replace(string_split(right(l, 80), chr(10))[-1] || m || string_split(left(r, 80), chr(10))[1], '\\s+', ' ', 'g')) AS quote FROM d)"""
+for _k, _p in (("r", R.REQUIRED_NEAR), ("p", R.PREFERRED_NEAR)):
+    _HITS = _HITS.replace(f"{{marks_{_k}}}", f"string_split(replace(regexp_replace(t, {q('(?i)(' + _p + ')')}, chr(1) || '\\1' || chr(2), 'g'), chr(2), chr(1)), chr(1))")
+    _HITS = _HITS.replace(f"{{far_{_k}}}", f"list_min(list_transform(range(2, len(s{_k}) + 1, 2), lambda i: abs(2 * length(array_to_string(s{_k}[1:i - 1], '')) + length(s{_k}[i]) - z)))")
+
+
+@query(f"{_HITS} SELECT seq, term, status FROM hits WHERE grp = 'certificate'")
+def classify_context(spark, d):
+    """What the word of need or preference nearest to a certificate says."""
+    return P.term_hits(_asking(spark, d)).where("grp = 'certificate'").select("seq", "term", "status")
+
+
+@query(f"{_HITS} SELECT seq, term, quote FROM hits")
+def quote_around(spark, d):
+    return P.term_hits(_asking(spark, d)).select("seq", "term", "quote")
+
+
+_COUNTED = ", ".join(f"(count(*) FILTER (WHERE {c}))::BIGINT AS {n}" for n, c in (
+    ("junior", "seniority = 'Junior'"), ("middle", "seniority = 'Mid-level'"), ("senior_lead_manager", "seniority IN ('Senior', 'Lead', 'Manager')"), ("level_unknown", "seniority = 'Unknown'"),
+    ("europe", "place = 'europe'"), ("remote", "place = 'remote'"), ("other_location", "place = 'other'"), ("req", "status = 'required'"), ("pref", "status = 'preferred'"), ("alone", "status = 'mentioned'"),
+))
+
+
+@query(f"""{_HITS}, n AS (SELECT count(*) AS total FROM m), t AS (SELECT unnest([{', '.join(f"{{'term': {q(n)}, 'grp': {q(g)}}}" for n, _, g in _TERMS)}], recursive := true)),
+g AS (SELECT term, count(*)::BIGINT AS postings, {_COUNTED} FROM hits GROUP BY term)
+SELECT t.term, t.grp, coalesce(postings, 0)::BIGINT AS postings, round_even(100.0::DOUBLE * coalesce(postings, 0) / total, 1)::DOUBLE AS pct_of_all,
+{', '.join(f"coalesce({c}, 0)::BIGINT AS {c}" for c in ('junior', 'middle', 'senior_lead_manager', 'level_unknown', 'europe', 'remote', 'other_location'))},
+{', '.join(f"CASE WHEN t.grp = 'certificate' THEN coalesce({c}, 0)::VARCHAR ELSE '' END AS {o}" for c, o in (('req', 'cert_required'), ('pref', 'cert_preferred'), ('alone', 'cert_mentioned_only')))}
+FROM t LEFT JOIN g USING (term), n""")
 def cert_report(spark, d):
-    return P.cert_report(postings(spark, d))
+    return P.cert_report(_asking(spark, d))
 
 
 @query(f"SELECT term, postings FROM ({SQL['cert_terms']}) ORDER BY postings DESC, term LIMIT 10")
@@ -556,11 +611,10 @@ def level_location_totals(spark, d):
     return m.groupBy(M.level_bucket(F.col("seniority")).alias("level"), M.location_bucket(F.col("work_format"), F.col("country")).alias("place")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"{_HITS} SELECT term, seq, quote FROM hits QUALIFY row_number() OVER (PARTITION BY term ORDER BY md5('1:' || quote), seq) <= 3")
 def quote_samples(spark, d):
     """Three quotes of each term, chosen by a hash."""
-    hits = P.term_hits(postings(spark, d)).select("term", "seq", "quote")
-    return D.cap_per_key(hits, ["term"], [F.xxhash64("quote", F.lit(1)), F.col("seq")], 3)
+    return P.quote_samples(P.term_hits(_asking(spark, d)))
 
 
 @query(f"{_MARKET} SELECT count(*) >= 50 AS ok, '' AS missing, count(*)::BIGINT AS postings FROM m")
