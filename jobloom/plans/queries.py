@@ -655,13 +655,6 @@ def _log(spark, d):
 _LOG = f"{WITH}, e AS (SELECT seq, ['sent', 'draft', 'rejected', '', 'approved'][(seq % 5 + 1)::INT] AS status, CASE WHEN seq % 3 = 0 THEN '2026-10-01' ELSE '' END AS date_sent, CASE WHEN seq % 14 = 0 THEN job_id ELSE 'url:https://example.com/jobs/x' || seq::VARCHAR END AS key FROM p WHERE seq % 7 = 0)"
 
 
-@query(f"{_LOG} SELECT key, status FROM e")
-def scan_applications(spark, d):
-    log = _log(spark, d)
-    keyed = log.withColumn("key", I.app_key(F.col("job_id"), F.col("url"))).where("key IS NOT NULL")
-    return keyed.groupBy("key").agg(F.max_by("status", "row").alias("status"))
-
-
 @query(f"{_LOG} SELECT CASE WHEN seq % 14 <> 0 AND seq % 21 = 0 THEN 'j' || lpad(seq::VARCHAR, 8, '0') ELSE key END AS key, status FROM e")
 def resolve_url_keys(spark, d):
     n = F.col("seq")

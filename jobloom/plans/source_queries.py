@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
+from ..functions import metadata as M
 from ..functions.html import clean_text as html_text
 from ..functions.text import fold
+from ..operators.store import fresh_dir
 from ..sources import feeds as S
 from ..sources import tables as T
-from ..streaming.upsert import event_counts
+from ..streaming.buckets import read_table
+from ..streaming.upsert import event_counts, landed_stream
 from .queries import Query
 from .view import WITH, postings
 
@@ -28,13 +29,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="jobloom-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = fresh_dir
 
 
 def _short(spark, d):
@@ -119,13 +114,33 @@ def _rss(*tags):
     return F.concat(F.lit("<rss><channel><title>feed</title><item>"), *parts, F.lit("</item></channel></rss>")).alias("payload")
 
 
-@query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN 'Page Co' ELSE 'Bold Co' END AS company, 'Remote' AS work_format FROM p WHERE seq % 3 <> 0")
+@query(f"""{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN 'Page & Co' ELSE 'Bold Co' END AS company, 'Remote' AS work_format,
+CASE WHEN seq % 2 <> 0 THEN '' WHEN seq % 4 = 0 THEN 'Ukraine or India' ELSE 'Countries of Europe or Ukraine' END AS city_region, seq % 4 = 0 AS barred FROM p WHERE seq % 3 <> 0""")
 def src_djinni(spark, d):
+    """Feeds of one item each, with detail pages for every second: a logo's link before the name's, an office before the candidates' countries."""
     n, p = F.col("seq"), _short(spark, d)
     link = F.concat(F.lit("https://dj.example/"), _n())
     feed = p.select("seq", _rss(("title", F.col("title")), ("link", link), ("description", F.lit("<p><strong>Bold Co</strong> віддалено</p>")), ("category", F.when(n % 3 == 0, "Support").otherwise("data analyst")), ("category", F.lit("Other"))))
-    details = p.where(n % 2 == 0).select(link.alias("link"), F.lit('<a class="c" href="https://dj.example/jobs/company-x">Page Co</a>').alias("html"))
-    return S.djinni(feed, "Data Analyst", details, ("seq",)).select("seq", "title", "company", "work_format")
+    where = F.when(n % 4 == 0, "Ukraine <b>or</b> India").otherwise("Countries of Europe or Ukraine")
+    page = F.concat(
+        F.lit('<a class="logo" href="/jobs/company-x/"> <img></a><a class="c" href="https://dj.example/jobs/company-x/">Page &amp; Co</a><ul><li><span class="location-text">Ukraine (Kyiv)</span></li>'),
+        F.lit('<li><div class="font-size-extra-small">who</div><span class="bold location-text">'), where, F.lit("</span></li></ul>"),
+    )
+    details = p.where(n % 2 == 0).select(link.alias("link"), page.alias("html"))
+    found = S.djinni(feed, "Data Analyst", details, ("seq",))
+    return found.select("seq", "title", "company", "work_format", "city_region", M.candidates_only_disallowed(F.col("city_region")).alias("barred"))
+
+
+@query(f"{WITH} SELECT seq // 20 AS feed, count(*)::BIGINT AS items, 'none of ' || count(*) || ' items is of category Data Analyst: the feed ignores its filter' AS message FROM p GROUP BY 1 HAVING bool_and(title <> 'Data Analyst' OR (seq // 20) % 3 = 0)")
+def djinni_feed_errors(spark, d):
+    """Feeds of twenty items: some hold their category, others ignore it."""
+    kind = F.when((F.col("feed") % 3 == 0), "Support").otherwise(F.col("title"))
+    esc = F.replace(F.col("title"), F.lit("&"), F.lit("&amp;"))
+    item = F.concat(F.lit("<item><title>"), esc, F.lit("</title><link>l</link><category>"), F.replace(kind, F.lit("&"), F.lit("&amp;")), F.lit("</category></item>"))
+    rows = postings(spark, d).withColumn("feed", F.floor(F.col("seq") / 20)).select("feed", "seq", item.alias("item"))
+    feeds = rows.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct("seq", "item"))).alias("items"))  # twenty items each
+    payload = F.concat(F.lit("<rss><channel><title>feed</title>"), F.array_join(F.transform("items", lambda i: i["item"]), ""), F.lit("</channel></rss>"))
+    return S.feed_errors(feeds.select("feed", payload.alias("payload")), "Data Analyst", ("feed",))
 
 
 @query(f"{WITH} SELECT seq, title, 'Acme, 2-Inc' AS company, CASE WHEN seq % 2 = 0 THEN '$2000–3000/month' ELSE '' END AS salary, CASE seq % 3 WHEN 0 THEN 'Ukraine' WHEN 1 THEN 'Poland' ELSE '' END AS country, CASE seq % 3 WHEN 2 THEN 'Remote' ELSE 'On-site' END AS work_format FROM p WHERE contains(lower(title), 'analy')")
@@ -203,9 +218,25 @@ def scan_xlsx(spark, d):
 
 @query(f"{WITH} SELECT 'j' || (seq % 50) AS job_id, arg_max(decision, seq) AS decision FROM p WHERE seq % 50 <> 0 GROUP BY 1")
 def scan_manual_review(spark, d):
-    n = F.col("seq")
+    """Several files, read in as many tasks as there are: the last row of an id counts, by the order of the scan."""
+    n, book = F.col("seq"), _folder(spark, "book")
     rows = postings(spark, d).select("seq", F.when(n % 50 == 0, F.when(n % 100 == 0, "nan").otherwise(" ")).otherwise(F.concat(F.lit("j"), (n % 50).cast("string"))).alias("job_id"), "decision")
-    return T.manual_review(rows).select("job_id", "decision")
+    T.write_sheet(rows.repartitionByRange(7, "seq").sortWithinPartitions("seq").drop("seq"), book, "manual_review")
+    return T.manual_review(T.read_sheet(spark, book, ("manual_review",), order="row"), "row").select("job_id", "decision")
+
+
+_TYPED = f"{WITH}, e AS (SELECT seq, CASE WHEN seq % 5 = 0 THEN '' WHEN seq % 2 = 0 THEN 'j' || (seq % 60)::VARCHAR ELSE '' END AS id, CASE WHEN seq % 5 = 0 THEN '' ELSE 'https://example.com/jobs/x' || (seq % 40)::VARCHAR END AS url, ['sent', 'draft', 'rejected', '', 'approved'][(seq % 5 + 1)::INT] AS status FROM p)"
+
+
+@query(f"{_TYPED} SELECT CASE WHEN id <> '' THEN id ELSE 'url:' || url END AS key, arg_max(status, seq) AS status, arg_max('n' || seq, seq) AS notes FROM e WHERE id <> '' OR url <> '' GROUP BY 1")
+def scan_applications(spark, d):
+    """The log as CSV files, typed by hand with URLs of several forms: keyed, and the last row over all files counts."""
+    n, folder = F.col("seq"), _folder(spark, "log")
+    url = F.when(n % 5 == 0, " ").otherwise(F.concat(F.lit("https://Example.com/jobs/x"), (n % 40).cast("string"), F.when(n % 3 == 0, "/?utm_medium=a").otherwise("")))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("sent", "draft", "rejected", "", "approved")]), (n % 5 + 1).cast("int"))
+    rows = postings(spark, d).select("seq", F.when((n % 5 != 0) & (n % 2 == 0), F.concat(F.lit("j"), (n % 60).cast("string"))).otherwise("").alias("job_id"), url.alias("url"), status.alias("status"), F.concat(F.lit("n"), n.cast("string")).alias("notes"))
+    T.write_csv(rows.repartitionByRange(7, "seq").sortWithinPartitions("seq").drop("seq"), folder)
+    return T.applications(T.read_csv(spark, folder, ["job_id", "url", "status", "notes"], order="row"), "row").select("key", "status", "notes")
 
 
 @query(f"{WITH} SELECT seq, CASE seq % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'needs_revision' ELSE '' END AS verdict, 'Pitch ' || title AS pitch, 'one; two' AS bullets, seq % 3 < 2 AS reviewed FROM p")
@@ -241,3 +272,21 @@ def stream_event_counts(spark, d):
     return event_counts(spark, f"{d}/events*.parquet", _folder(spark, "stream")).select("day", "event_type", "n")
 
 
+@query(f"{WITH} SELECT 'https://r.example/' || seq AS url, title, CASE seq % 3 WHEN 1 THEN 'existing' ELSE 'new' END AS status FROM p")
+def stream_landed_feeds(spark, d):
+    """Two feeds that overlap land one after the other and stream into one table in buckets: what both hold is met again, not doubled."""
+    n, base = F.col("seq"), _folder(spark, "landed")
+    job = _struct(position=F.col("title"), company=F.col("company"), url=F.concat(F.lit("https://r.example/"), _n()))
+    payloads = postings(spark, d).select("seq", F.to_json(F.array(job)).alias("value"))
+    for feed in (0, 1):
+        payloads.where(n % 3 != 2 * (1 - feed)).select("value").write.mode("append").text(f"{base}/in")
+        landed_stream(spark, "remoteok", f"{base}/in", f"{base}/table", f"{base}/rejects", f"{base}/state", wholetext=False, buckets=16).awaitTermination()
+    return read_table(spark, f"{base}/table").select("url", "title", "status")
+
+
+@query(f"{WITH} SELECT seq, CASE seq % 4 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'empty' WHEN 2 THEN 'not a list of postings' END AS reason FROM p WHERE seq % 4 <> 3")
+def malformed_payloads(spark, d):
+    """What a feed source can't read goes to a table of its own with the reason."""
+    n = F.col("seq")
+    payload = F.when(n % 4 == 0, F.concat(F.lit('[{"position": '), "title")).when(n % 4 == 1, " ").when(n % 4 == 2, F.to_json(_struct(position=F.col("title")))).otherwise(F.to_json(F.array(_struct(position=F.col("title")))))
+    return S.malformed(postings(spark, d).select(n.alias("path"), payload.alias("payload")), "remoteok").withColumnRenamed("path", "seq")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import metadata as M
 from ..functions.html import clean_text, without_upsell
-from ..functions.text import first_nonblank, fold, strip, text
+from ..functions.text import first_nonblank, fold, squeeze, strip, text
 
 CANONICAL = ("source", "title", "company", "city_region", "country", "work_format", "contract_type", "salary", "url", "date_published", "full_text", "note")
 #: What sources call their periods and places.
@@ -148,6 +148,7 @@ def has_more_pages(payload: Column, page: Column, page_size: int = 20) -> Column
     return F.when(got["totalCount"].isNotNull(), page * page_size < got["totalCount"]).otherwise(F.coalesce(F.size(got["jobs"]), F.lit(0)) >= page_size)
 
 
+_ITEM_TYPE = "title:string,link:string,description:string,pubDate:string,region:string,country:string,type:string,category:array<string>"
 _ITEM = "title STRING, link STRING, description STRING, pubDate STRING, region STRING, country STRING, type STRING, category ARRAY<STRING>"
 
 
@@ -157,26 +158,62 @@ def rss_items(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return df.select(*keep, F.explode(got["channel"]["item"]).alias("i"))
 
 
+def _in_category(keyword: str) -> Column:
+    return F.exists(F.coalesce(F.col("i.category"), F.array()), lambda c: fold(strip(c)) == keyword.strip().lower())
+
+
+def djinni_company(html: Column) -> Column:
+    """The first link to a company's page that shows a name; logos link there without one."""
+    shown = F.regexp_extract_all(text(html), F.lit(r'(?is)<a\s[^>]*href="[^"]*/jobs/company[^"]*"[^>]*>([^<]*)</a>'), F.lit(1))
+    return squeeze(clean_text(F.get(F.filter(shown, lambda x: F.regexp_replace(x, "&nbsp;|&#160;", " ").rlike(r"(?U)\S")), F.lit(0))))
+
+
+def djinni_countries(html: Column) -> Column:
+    """Where candidates may be: of the list entries that name a place, the first with a caption; the office stands in one without."""
+    entries = F.regexp_extract_all(text(html), F.lit(r"(?is)<li\b[^>]*>(.*?)</li>"), F.lit(1))
+    span, caption = r'(?is)<span[^>]*class="(?:[^"]*\s)?location-text(?:\s[^"]*)?"[^>]*>(.*?)</span>', r'(?is)<div[^>]*class="(?:[^"]*\s)?font-size-extra-small(?:\s[^"]*)?"'
+    entry = F.get(F.filter(entries, lambda e: e.rlike(span) & e.rlike(caption)), F.lit(0))
+    return squeeze(clean_text(F.regexp_replace(F.regexp_extract(entry, span, 1), r"<[^>]*>", " ")))
+
+
 def djinni(df: DataFrame, keyword: str, details: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Items of the category that was asked for; company and candidates' countries from detail pages (link, html) where there are any."""
-    i = rss_items(df, keep).where(F.exists(F.coalesce(F.col("i.category"), F.array()), lambda c: fold(strip(c)) == keyword.strip().lower()))
+    """Items of the category that was asked for; a feed (one payload) with items but none of the category gives none, and an error
+    (feed_errors). Company and candidates' countries (city_region) come from detail pages (link, html) where there are any; without a page
+    the company is the first bold text, and there are no countries."""
+    i = rss_items(df, keep).where(_in_category(keyword) & (strip(F.col("i.link")) != ""))
     i = i.withColumn("body", clean_text(F.col("i.description"))).withColumn("strong", clean_text(F.regexp_extract(text(F.col("i.description")), r"<strong>([^<]{2,80})</strong>", 1)))
     link = strip(F.col("i.link"))
-    company = F.col("strong")
+    company, place = F.col("strong"), F.lit("")
     if details is not None:
-        named = clean_text(F.regexp_extract(text(F.col("html")), r'(?s)<a[^>]+href="[^"]*/jobs/company[^"]*"[^>]*>(.*?)</a>', 1))
-        i = i.join(details.select(F.col("link").alias("_l"), named.alias("_c")), link == F.col("_l"), "left")
-        company = first_nonblank(F.col("_c"), F.col("strong"))
+        pages = details.select(strip(F.col("link")).alias("_l"), djinni_company(F.col("html")).alias("_c"), djinni_countries(F.col("html")).alias("_p")).groupBy("_l").agg(F.max("_c").alias("_c"), F.max("_p").alias("_p"))
+        i = i.join(pages, link == F.col("_l"), "left")
+        company, place = first_nonblank(F.col("_c"), F.col("strong")), text(F.col("_p"))
     return canonical(
-        i, "Djinni", keep, title=clean_text(F.col("i.title")), company=company, country=F.lit("Ukraine"), work_format=M.infer_work_format(F.col("body")), salary=M.extract_salary(F.lit(""), F.col("body")), url=link,
+        i, "Djinni", keep, title=clean_text(F.col("i.title")), company=company, city_region=place, country=F.lit("Ukraine"), work_format=M.infer_work_format(F.col("body")), salary=M.extract_salary(F.lit(""), F.col("body")), url=link,
         date_published=strip(F.col("i.pubDate")), full_text=F.col("body"),
     )
 
 
-def feed_stopped_filtering(df: DataFrame, keyword: str) -> DataFrame:
-    """One row: items and those of the category; items without any of the category mean that the feed ignores its filter."""
-    hit = F.exists(F.coalesce(F.col("i.category"), F.array()), lambda c: fold(strip(c)) == keyword.strip().lower())
-    return rss_items(df).agg(F.count(F.lit(1)).alias("items"), F.count_if(hit).alias("matching")).withColumn("error", (F.col("items") > 0) & (F.col("matching") == 0))
+def feed_errors(df: DataFrame, keyword: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each feed that has items but none of the category: it ignores its filter. keep.., items, message."""
+    got = F.coalesce(F.from_xml("payload", f"channel STRUCT<item ARRAY<STRUCT<{_ITEM}>>>")["channel"]["item"], F.array().cast(f"array<struct<{_ITEM_TYPE}>>"))
+    hit = lambda i: F.exists(F.coalesce(i["category"], F.array()), lambda c: fold(strip(c)) == keyword.strip().lower())
+    feeds = df.select(*keep, got.alias("got")).where((F.size("got") > 0) & ~F.exists("got", hit))
+    return feeds.select(*keep, F.size("got").cast("long").alias("items"), F.format_string(f"none of %d items is of category {keyword.strip()}: the feed ignores its filter", F.size("got")).alias("message"))
+
+
+def malformed(df: DataFrame, source: str) -> DataFrame:
+    """(payload, path) -> path, reason of the payloads that a feed source can't read: not of its format, or without its list."""
+    blank = strip(F.col("payload")) == ""
+    if source in ("djinni", "dou", "weworkremotely"):
+        reason = F.when(F.from_xml("payload", "channel STRUCT<title STRING, item ARRAY<STRUCT<title STRING>>>")["channel"].isNull(), "not an RSS document")
+    elif source in ("lever", "remoteok"):
+        reason = F.when(F.try_parse_json("payload").isNull(), "not JSON").when(~F.ltrim("payload").startswith("["), "not a list of postings")
+    elif source in ("greenhouse", "jobicy", "himalayas"):
+        reason = F.when(F.try_parse_json("payload").isNull(), "not JSON").when(F.from_json("payload", "jobs ARRAY<STRING>")["jobs"].isNull(), "no list of postings")
+    else:
+        raise ValueError(f"{source} has no payloads of its own to be checked")
+    return df.select("path", F.when(F.col("payload").isNull() | blank, "empty").otherwise(reason).alias("reason")).where("reason IS NOT NULL")
 
 
 _MONEY = r"(?iU)^(?:\$|€|£)?\s?\d[\d\s]*(?:[–-]\s?\d[\d\s]*)?\s?(?:\$|€|£|грн|USD|EUR)?$"

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import ids as I
 from ..functions.text import strip, text
 
 
@@ -14,11 +15,18 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').option("quoteAll", True).option("lineSep", "\n").csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """All columns as text, so that "3" stays "3"; missing is the empty string; a byte order mark is no part of a name."""
+def scan_order() -> Column:
+    """Where a scanned row stands, comparable over all files: file, then block, then row. Rows of a block are read in one task, in
+    order, so the running id of the scan tells them apart; it is compared within one block only."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """All columns as text, so that "3" stays "3"; missing is the empty string; a byte order mark is no part of a name.
+    order: name of a column that tells the input order of rows over all files (scan_order)."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
     got = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").option("enforceSchema", True).csv(path)
-    return got.na.fill("")
+    return (got.select("*", scan_order().alias(order)) if order else got).na.fill("", columns)
 
 
 def write_sheet(df: DataFrame, book: str, sheet: str) -> None:
@@ -26,11 +34,12 @@ def write_sheet(df: DataFrame, book: str, sheet: str) -> None:
     df.write.mode("overwrite").parquet(f"{book}/{sheet}")
 
 
-def read_sheet(spark: SparkSession, book: str, sheets: tuple[str, ...] = ("jobs_master", "Jobs", "raw_jobs")) -> DataFrame:
-    """The first of the sheets that the book has."""
+def read_sheet(spark: SparkSession, book: str, sheets: tuple[str, ...] = ("jobs_master", "Jobs", "raw_jobs"), order: str | None = None) -> DataFrame:
+    """The first of the sheets that the book has; order: as in read_csv."""
     for s in sheets:
         try:
-            return spark.read.parquet(f"{book}/{s}")
+            got = spark.read.parquet(f"{book}/{s}")
+            return got.select("*", scan_order().alias(order)) if order else got
         except Exception as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -44,6 +53,14 @@ def manual_review(df: DataFrame, order: str = "seq") -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "job_id"]), F.col(order)).alias("r")).select("job_id", "r.*")
 
 
+def applications(df: DataFrame, order: str = "seq") -> DataFrame:
+    """The application log by key (job_id, or the normalised URL of a row typed in by hand): rows without either go, missing cells are
+    blank, the last row of a key counts."""
+    cells = [strip(F.col(c)).alias(c) if c != order else F.col(c) for c in df.columns]
+    rows = df.select(*cells).withColumn("key", I.app_key(F.col("job_id"), F.col("url"))).where("key IS NOT NULL")
+    return rows.groupBy("key").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "key"]), F.col(order)).alias("r")).select("key", "r.*")
+
+
 def drafts(spark: SparkSession, folder: str) -> DataFrame:
     """job_id, review_verdict, pdf_ready of the drafts (*.md) in a folder; a draft is ready if a .pdf stands beside it."""
     name = F.regexp_extract("_metadata.file_path", r"([^/]+)\.\w+$", 1)

@@ -1,4 +1,4 @@
-"""Landed payloads as a stream: duplicates within the watermark go, each micro-batch is merged by the batch upsert."""
+"""Streams of micro-batches: rows or landed payloads merged by the batch upsert, windowed counts."""
 
 from __future__ import annotations
 
@@ -6,29 +6,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.dedup import merge
+from ..functions import ids as I
+from ..operators.store import cut
+from ..sources import feeds
+from .buckets import BUCKETS, upsert
 
 
-def merge_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "key"):
-    """Starts a stream that merges rows into a Parquet table of versions (v=N); a batch that runs again writes the same version, so
-    a restart neither loses nor doubles rows. Late rows need no watermark: the earlier date wins in the merge, and among rows of a key in one batch
-    the one with the earliest dates, ties broken by its other columns."""
+def first_rows(batch: DataFrame, key: str) -> DataFrame:
+    """One row a key: that with the earliest dates, ties broken by its other columns."""
+    dates = [c for c in ("date_published", "date_collected") if c in batch.columns]
+    order = F.struct(*dates, *[c for c in batch.columns if c not in (*dates, key)])
+    return batch.groupBy(key).agg(F.min(order).alias("r")).select(key, "r.*").select(*batch.columns)
+
+
+def merge_stream(stream: DataFrame, table: str, checkpoint: str, key: str = "key", buckets: int = BUCKETS):
+    """Starts a stream that merges rows into a table in buckets, a version for each micro-batch; a batch that runs again writes the
+    same version, so a restart neither loses nor doubles rows. Late rows need no watermark: the earlier date wins in the merge."""
 
     def one(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        dates = [c for c in ("date_published", "date_collected") if c in batch.columns]
-        order = F.struct(*dates, *[c for c in batch.columns if c not in (*dates, key)])
-        incoming = batch.groupBy(key).agg(F.min(order).alias("r")).select(key, "r.*").select(*batch.columns)
-        if n:
-            before = spark.read.parquet(f"{table}/v={n - 1}").withColumn("seq", F.lit(0).cast("long"))
-            out = merge(before, incoming, key)
-        else:
-            out = incoming.withColumn("status", F.lit("new"))
-        out.write.mode("overwrite").parquet(f"{table}/v={n}")
+        upsert(batch.sparkSession, table, cut(first_rows(batch, key), "batch"), n, key, buckets)
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def landed_stream(spark: SparkSession, source: str, folder: str, table: str, rejects: str, checkpoint: str, wholetext: bool = True, buckets: int = BUCKETS, **options):
+    """Starts a stream over the payloads that land in a folder (a file, or a line, each): parsed by the source's entry in the
+    registry, keyed, and merged into a table in buckets, so that feeds which overlap count each posting once. Payloads that can't be read go to rejects, a
+    folder for each micro-batch, with their path and the reason."""
+    landed = spark.readStream.format("text").option("wholetext", wholetext).load(folder).select(F.col("value").alias("payload"), F.col("_metadata.file_path").alias("path"))
+
+    def one(batch: DataFrame, n: int) -> None:
+        batch = cut(batch, "landed")
+        feeds.malformed(batch, source).write.mode("overwrite").parquet(f"{rejects}/v={n}")
+        rows = feeds.REGISTRY[source](batch, **options)
+        c = F.col
+        keyed = rows.withColumn("key", I.dedup_key(c("source"), c("url"), c("company"), c("title"), c("city_region"))).withColumn("status", F.lit(""))
+        upsert(batch.sparkSession, table, cut(first_rows(keyed, "key"), "batch"), n, "key", buckets)
+
+    return landed.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def event_counts(spark: SparkSession, path: str, folder: str) -> DataFrame:
     """Daily counts of events by type as a stream with a watermark; runs through what is there and returns the table.
 

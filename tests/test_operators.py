@@ -50,8 +50,29 @@ def test_broken_payloads(spark):
     for name in ("greenhouse", "lever", "remoteok", "jobicy", "himalayas", "dou", "weworkremotely"):
         assert S.REGISTRY[name](bad).count() == 0
     assert S.djinni(bad, "x").count() == 0
-    feed = spark.createDataFrame([("<rss><channel><item><title>a</title><category>Support</category></item></channel></rss>",)], "payload string")
-    assert S.feed_stopped_filtering(feed, "Data Analyst").collect()[0]["error"] is True
+    feeds = [(1, "<rss><channel><item><title>a</title><category>Support</category></item></channel></rss>"), (2, "<rss><channel><item><title>a</title><category> data analyst</category></item></channel></rss>"), (3, "<rss><channel><title>x</title></channel></rss>"), (4, "<rss>"), (5, None)]
+    got = S.feed_errors(spark.createDataFrame(feeds, "n int, payload string"), "Data Analyst", ("n",)).collect()
+    assert [(r["n"], r["items"]) for r in got] == [(1, 1)] and "ignores its filter" in got[0]["message"]
+    told = {r["path"]: r["reason"] for r in S.malformed(bad.where("payload IS NOT NULL").withColumn("path", F.col("payload")), "jobicy").collect()}
+    assert told == {"{": "not JSON", "<rss>": "not JSON", "[]": "no list of postings", "{}": "no list of postings"}
+
+
+def test_djinni_pages(spark):
+    """The named link counts, not the logo's; the place with a caption, not the office; without a page the bold text and no place."""
+    feed = "<rss><channel>" + "".join(f"<item><title>t{i}</title><link>l{i}</link><description>&lt;strong&gt;Bold&lt;/strong&gt;</description><category>QA</category></item>" for i in range(4)) + "</channel></rss>"
+    logo, named = '<a href="/jobs/company-a/" class="picture"> \n</a>', '<a class="n" href="https://x.example/jobs/company-a/">A &amp; B</a>'
+    office, where = '<li><span class="location-text">Kyiv</span></li>', '<li class="m"><span class="bold location-text">Ukraine <i>or</i> India</span><div class="font-size-extra-small">x</div></li>'
+    pages = spark.createDataFrame([("l0", logo + named + office + where), ("l1", logo + office), ("l2", None), ("l0", "")], "link string, html string")
+    got = {r["url"]: (r["company"], r["city_region"]) for r in S.djinni(spark.createDataFrame([(feed,)], "payload string"), "qa ", pages).collect()}
+    assert got == {"l0": ("A & B", "Ukraine or India"), "l1": ("Bold", ""), "l2": ("Bold", ""), "l3": ("Bold", "")}
+
+
+def test_scan_order(spark, tmp_path):
+    """The last row wins over several files, however many tasks read them."""
+    for n, rows in enumerate(([("a", "1"), ("b", "2"), ("a", "3")], [("b", 'multi\n"line"')], [("a", "4"), ("c", "5"), ("c", "6")])):
+        T.write_csv(spark.createDataFrame(rows, "job_id string, decision string").coalesce(1), str(tmp_path / f"in/{n}"))
+    got = T.read_csv(spark, str(tmp_path / "in/*"), ["job_id", "decision"], order="o").repartition(5)
+    assert sorted(map(tuple, T.manual_review(got, "o").select("job_id", "decision").collect())) == [("a", "4"), ("b", 'multi\n"line"'), ("c", "6")]
 
 
 def test_tables(spark, tmp_path):
@@ -66,16 +87,39 @@ def test_tables(spark, tmp_path):
     assert sorted(map(tuple, T.drafts(spark, str(folder)).collect())) == [("j1", "approved", True), ("j2", "", False)]
 
 
+COLS_IN = "key string, job_id string, title string, availability_status string, date_collected string, date_published string, role_family string, status string"
+
+
 def test_stream_merge(spark, tmp_path):
+    from jobloom.streaming.buckets import read_table
     from jobloom.streaming.upsert import merge_stream
 
-    cols = "key string, job_id string, title string, availability_status string, date_collected string, date_published string, role_family string, status string"
     landing, table, state = (str(tmp_path / n) for n in ("in", "table", "state"))
+    seen = []
     for n, title in enumerate(("one", "two", "two")):
-        spark.createDataFrame([("a", "ja", title, "active", f"2026-01-0{n + 1}", "", "", "")], cols).coalesce(1).write.mode("append").parquet(landing)
-        merge_stream(spark.readStream.schema(cols).parquet(landing), table, state).awaitTermination()
-    got = [r.asDict() for v in range(3) for r in spark.read.parquet(f"{table}/v={v}").collect()]
-    assert [(r["title"], r["status"], r["date_collected"]) for r in got] == [("one", "new", "2026-01-01"), ("two", "updated", "2026-01-01"), ("two", "existing", "2026-01-01")]
+        spark.createDataFrame([("a", "ja", title, "active", f"2026-01-0{n + 1}", "", "", "")], COLS_IN).coalesce(1).write.mode("append").parquet(landing)
+        merge_stream(spark.readStream.schema(COLS_IN).parquet(landing), table, state).awaitTermination()
+        seen += read_table(spark, table).collect()
+    assert [(r["title"], r["status"], r["date_collected"]) for r in seen] == [("one", "new", "2026-01-01"), ("two", "updated", "2026-01-01"), ("two", "existing", "2026-01-01")]
+
+
+def test_buckets_rewritten(spark, tmp_path):
+    """A batch of few keys rewrites their buckets alone; a version written twice is the same; earlier versions stay readable."""
+    from jobloom.streaming import buckets as B
+
+    table = str(tmp_path / "table")
+    rows = lambda keys, title: spark.createDataFrame([(f"k{i}", f"j{i}", title, "active", "2026-01-01", "", "", "") for i in keys], COLS_IN)
+    assert B.latest(spark, table) is None
+    assert B.upsert(spark, table, rows(range(300), "old"), 0, buckets=20) == list(range(20))
+    few = rows([3, 7, 1000], "new")
+    hit = {r["b"] for r in few.select(B.bucket_of(F.col("key"), 20).alias("b")).collect()}
+    for _ in range(2):  # the second time as after a restart
+        assert set(B.upsert(spark, table, few, 1, buckets=20)) == hit
+        assert {b for b, v in B.manifest(spark, table, 1).items() if v == 1} == hit
+        got = {r["key"]: (r["title"], r["status"]) for r in B.read_table(spark, table).collect()}
+        assert len(got) == 301 and got["k3"] == ("new", "updated") and got["k1000"] == ("new", "new") and got["k5"] == ("old", "new")
+    assert B.read_table(spark, table, 0).where("title = 'old'").count() == 300
+    assert B.latest(spark, table) == 1
 
 
 def test_recommendations(spark):
