@@ -106,7 +106,8 @@ def repeated_runs(docs: DataFrame, noise: int, guarantee: int) -> DataFrame:
         .groupBy("id", "th", "fid", "fth")
         .agg(F.collect_list(F.struct("shift", "block", "hits")).alias("parts"))
     )
-    arrays = hashed.select("id", "th", F.transform("lines", lambda x: F.xxhash64(F.trim(x, F.lit(_BLANKS)))).alias("hs")).dropDuplicates(["id", "th"])
+    # from the lines as they are dealt already: texts are split and hashed once
+    arrays = lines.groupBy("id", "th").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]).alias("hs"))
     firsts = arrays.select(F.col("id").alias("fid"), F.col("th").alias("fth"), F.col("hs").alias("fhs"))
     both = pairs.join(arrays, ["id", "th"]).join(firsts, ["fid", "fth"])
 
