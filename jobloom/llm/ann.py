@@ -14,7 +14,9 @@ query once for each group that holds some of its buckets, however many these are
 defaults are set for vectors without any structure (64 independent
 components), the hardest case: ten tables of 350 probes find over nine tenths of
 the ten nearest and measure about a fifth of all rows; vectors with clusters need fewer. The fewer rows, the
-farther are the nearest of them, so PROBES grows by the share of BLOCK in the number of rows.
+farther are the nearest of them, so PROBES grows by the share of BLOCK in the number of rows. Where vectors are dealt by a further axis
+(from some 6 million rows, and again from some 750 million) WIDER times as many probes keep nine tenths and more, while the share of
+rows measured falls to a hundredth, and to a thousandth; tests hold the layouts of 10 million and a billion rows to that.
 
 Groups are cut in tasks of at most BLOCK index rows and BLOCK queries (sizes are counted first), and each block
 of rows meets each block of queries. A task returns the k nearest for each of its
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import materialize, table
 from .vectors import NULL_ID, by_length, pack_exact, unit, unpack_exact, valid
 
-TABLES, PROBES, BLOCK, K, AXES = 10, 350, 4096, 10, 128
+TABLES, PROBES, BLOCK, K, AXES, WIDER = 10, 350, 4096, 10, 128, 8
 PAIRS, CHUNK = 1 << 20, 1 << 15  # pairs looked at, and measured, at a time
 
 
@@ -92,9 +94,10 @@ def depth(rows: int) -> int:
     return max(1, round(float(np.log(max(1.0, rows / BLOCK)) / np.log(AXES))))
 
 
-def probing(rows: int) -> int:
-    """Probes in each table: PROBES for long tables, more the shorter one is."""
-    return int(PROBES * (1 + BLOCK / max(1, rows)))
+def probing(rows: int, dealt: int = 1) -> int:
+    """Probes in each table: PROBES for long tables, more the shorter one is, and WIDER times as many for each further axis that
+    vectors are dealt by: its buckets are AXES times as many, of which the nearest WIDER times as many hold as many neighbours or more."""
+    return int(PROBES * WIDER ** (dealt - 1) * (1 + BLOCK / max(1, rows)))
 
 
 def bucketed(rows: DataFrame, tables: int, probes: int, dealt: int, inner: int) -> DataFrame:
@@ -106,8 +109,9 @@ def bucketed(rows: DataFrame, tables: int, probes: int, dealt: int, inner: int)
                 x = np.array([b["v"].iloc[i] for i in at], dtype=np.float64)
                 ids, packed, u = b["id"].to_numpy()[at], pack_exact(x), unit(x)
                 inside = (2 << max(0, (d - 1).bit_length())) ** inner
-                for lo in range(0, len(at), 512):
-                    part = u[lo : lo + 512]
+                step = max(1, 512 * PROBES // max(PROBES, probes))
+                for lo in range(0, len(at), step):
+                    part = u[lo : lo + step]
                     codes = np.stack([np.sort(nearest_axes(part, t, probes, dealt + inner), axis=1) for t in range(tables)], axis=1)
                     group, subs = codes // inside, (codes % inside).astype("<i4")
                     first = np.ones(codes.shape, dtype=bool)
@@ -118,7 +122,7 @@ def bucketed(rows: DataFrame, tables: int, probes: int, dealt: int, inner: int)
                     of = np.searchsorted(row, np.arange(len(part) + 1))
                     ts, ks = t.astype(np.int32), group[row, t, place]
                     cols = {n: [c[a:e] for a, e in zip(of[:-1], of[1:], strict=True)] for n, c in (("t", ts), ("k", ks), ("subs", cut))}
-                    yield pd.DataFrame({"id": ids[lo : lo + 512], "v": packed[lo : lo + 512], "d": d} | cols)
+                    yield pd.DataFrame({"id": ids[lo : lo + step], "v": packed[lo : lo + step], "d": d} | cols)
 
     found = rows.mapInPandas(run, "id long, v binary, d int, t array<int>, k array<long>, subs array<binary>")
     return found.select("id", "v", "d", F.arrays_zip("t", "k", "subs").alias("at"))
@@ -173,7 +177,8 @@ def search(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col
     rows = valid(vectors, id_col, vec_col)
     asked = valid(vectors.where(is_query & F.col(id_col).isNotNull()), id_col, vec_col)
     n = vectors.count()
-    dealt, probes = depth(n) if dealt is None else dealt, probing(n) if probes is None else probes
+    dealt = depth(n) if dealt is None else dealt
+    probes = probing(n, dealt) if probes is None else probes
     found = materialize(nearest(bucketed(rows, tables, 1, dealt, inner), bucketed(asked, tables, probes, dealt, inner), k), "nearest")
     few = materialize(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id")), "answered")
     short = materialize(asked.join(few, "id", "left_anti"), "short")

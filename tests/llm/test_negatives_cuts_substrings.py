@@ -208,3 +208,33 @@ def test_equal_lines_are_linear(spark):
     assert (got[0]["n_lines"], got[0]["n_removed"]) == (50_000, 49_999) and got[0]["text"] == rule
     assert got[2]["n_removed"] >= 7 * 300 - 14
     assert set(got[1]["text"].split("\n")) == set(log)  # the later texts may lose all that stands there
+
+
+# ---- nearest neighbours on the layouts of large tables
+
+
+def nearest_cosines(rows, d, k):
+    """Cosines of the k nearest of so many independent directions: quantiles of the exact distribution."""
+    c = np.linspace(-1, 1, 1_000_001)
+    above = np.cumsum(np.exp((d - 3) / 2 * np.log1p(-np.minimum(c * c, 1 - 1e-15)))[::-1])[::-1]
+    return np.array([c[np.searchsorted(-above / above[0], -(i - 0.5) / rows)] for i in range(1, k + 1)])
+
+
+@pytest.mark.parametrize("rows", [1_000_000, 5_950_000, 10_000_000, 770_000_000, 1_000_000_000])
+def test_nearest_on_large_layouts(rows):
+    """Whether the codes of true neighbours are among those that a query probes, with the parameters that a table of so many rows gets."""
+    from jobloom.llm import ann
+
+    rng, queries, d, k = np.random.default_rng(0), 12, 64, 10
+    x = ann.unit(rng.normal(size=(queries, d)))
+    away = rng.normal(size=(queries, k, d))
+    away -= (away * x[:, None]).sum(-1, keepdims=True) * x[:, None]
+    c = nearest_cosines(rows, d, k)[None, :, None]
+    near = (c * x[:, None] + np.sqrt(1 - c * c) * away / np.linalg.norm(away, axis=-1, keepdims=True)).reshape(-1, d)
+    dealt = ann.depth(rows)
+    found = np.zeros((queries, k), dtype=bool)
+    for t in range(ann.TABLES):
+        codes = ann.nearest_axes(near, t, 1, dealt + 1)[:, 0].reshape(queries, k)
+        probed = ann.nearest_axes(x, t, ann.probing(rows, dealt), dealt + 1)
+        found |= np.array([np.isin(codes[i], probed[i]) for i in range(queries)])
+    assert found.mean() >= 0.9
