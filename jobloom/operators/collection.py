@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import ids as I
@@ -24,6 +24,16 @@ def dedup_sources(rows: DataFrame, adapter: str, key: str, order: str) -> DataFr
     return over.select(key, F.col(f"f.{adapter}").alias(adapter), "f.r.*", F.col("f.duplicates").alias("duplicates"), "across")
 
 
+def union_sources(parts: dict[str, DataFrame]) -> DataFrame:
+    """The relations of several sources as one; columns that a source lacks are null."""
+    out = None
+    for part in parts.values():
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError("no source")
+    return out
+
+
 def category_filter(rows: DataFrame, sources: tuple[str, ...], queries: dict[str, tuple[str, ...]] = R.QUERIES) -> DataFrame:
     """Rows of the given sources stay only if their title matches a phrase of their own category; rows of others all stay."""
     matches = M.category_matches(F.col("title"), F.col("job_category"), F.col("search_query"), queries)
@@ -102,3 +112,21 @@ def copy_marks(rows: DataFrame, sheet: DataFrame, column: Column | str = "applie
     marks = sheet.select(F.col("job_id").alias("_s"), F.col(column).alias("_mark"))
     value = F.when(strip(F.col(column)) == "", F.coalesce("_mark", F.lit(""))).otherwise(F.col(column))
     return rows.join(marks, F.col("job_id") == F.col("_s"), "left").withColumn(column, value).drop("_s", "_mark")
+
+
+def observed_run(rows: DataFrame, keep: Column, path: str, sources: tuple[str, ...], source: str = "source", key: str = "key", order: str = "seq") -> DataFrame:
+    """Writes the rows of a run that keep holds for, the first of each key within its source, and returns source, found,
+    filtered_out, uniq, duplicates of each source, counted by observations of the one plan that writes: no second scan.
+
+    sources are the adapters of a run, a fixed few. A stage that is run again after a lost executor may count its rows twice; reports
+    that must not can be taken from the table (run_stats).
+    """
+    each = [F.count_if(F.col(source) == s).alias(f"n{i}") for i, s in enumerate(sources)]
+    seen = {step: Observation() for step in ("found", "kept", "uniq")}
+    kept = rows.observe(seen["found"], *each).where(keep).observe(seen["kept"], *each)
+    row = F.struct(order, *[c for c in kept.columns if c not in (source, key, order)])
+    first = kept.groupBy(source, key).agg(F.min_by(row, order).alias("r")).select(source, key, "r.*")
+    first.observe(seen["uniq"], *each).write.mode("overwrite").parquet(path)
+    n = {step: [o.get[f"n{i}"] for i in range(len(sources))] for step, o in seen.items()}
+    told = [(s, f, f - k, u, k - u) for s, f, k, u in zip(sources, n["found"], n["kept"], n["uniq"], strict=True)]
+    return rows.sparkSession.createDataFrame(told, "source string, found long, filtered_out long, uniq long, duplicates long")

@@ -14,9 +14,10 @@ cover members in part (places of several words that overlap here and there) are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dedup import first_per_key
 from .similar import _BLANK, _VAGUE, PROFILE, asked, distinct_profiles, profiles, shown
 from .store import cut
 
@@ -83,3 +84,25 @@ def duplicate_groups(postings: DataFrame) -> DataFrame:
 def group_stats(rows: DataFrame) -> DataFrame:
     """n_groups, n_rows of rows that have a duplicate_group."""
     return rows.where("duplicate_group <> ''").agg(F.countDistinct("duplicate_group").alias("n_groups"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def best_of_group(rows: DataFrame, rank: list[Column]) -> DataFrame:
+    """The row of each duplicate_group that comes first by rank; rows without a group are left out."""
+    return first_per_key(rows.where("duplicate_group <> ''"), [F.col("duplicate_group")], rank)
+
+
+def also_on(rows: DataFrame, source: str) -> DataFrame:
+    """Rows of groups with also_on: the sources of all other members, sorted, each once; blank where there is none. Members of each source are
+    counted, so that a row can be taken off its own source."""
+    grouped = rows.where("duplicate_group <> ''")
+    per = grouped.groupBy("duplicate_group", source).agg(F.count(F.lit(1)).alias("n"))
+    of = per.groupBy(F.col("duplicate_group").alias("_g")).agg(F.collect_list(F.struct(F.col(source).alias("source"), "n")).alias("_s"))  # a run has a few sources
+    others = F.filter("_s", lambda x: (x["source"] != F.col(source)) | (x["n"] > 1))
+    out = grouped.join(of, F.col("duplicate_group") == F.col("_g"))
+    return out.withColumn("also_on", F.array_join(F.array_sort(F.transform(others, lambda x: x["source"])), ", ")).drop("_g", "_s")
+
+
+def without_handled_groups(rows: DataFrame, handled: Column) -> DataFrame:
+    """Rows whose duplicate_group has no handled member; rows without a group stay."""
+    done = rows.where((F.col("duplicate_group") != "") & handled).select(F.col("duplicate_group").alias("_g")).distinct()
+    return rows.join(done, F.col("duplicate_group") == F.col("_g"), "left_anti")

@@ -235,3 +235,9 @@ def join_review_master(review: DataFrame, master: DataFrame) -> DataFrame:
     """Review rows with the master's columns; where both have one, the review's counts, blank or not."""
     extra = [c for c in master.columns if c not in review.columns]
     return review.join(master.select("job_id", *extra), "job_id", "left")
+
+
+def join_records(log: DataFrame, records: DataFrame) -> DataFrame:
+    """Rows of the log, or drafts, each with its posting's columns; a row whose posting is gone keeps its own."""
+    extra = [c for c in records.columns if c not in log.columns]
+    return log.join(records.select(F.col("job_id").alias("_r"), *extra), F.col("job_id") == F.col("_r"), "left").drop("_r")

@@ -10,6 +10,7 @@ from ..functions import rules as R
 from ..functions.html import without_upsell
 from ..operators import collection as C
 from ..operators import reports as P
+from ..operators.store import fresh_dir
 from ..sources import feeds as S
 from ..sources import tables as T
 from .more_queries import _drafted, flag
@@ -287,17 +288,27 @@ def scan_drafts(spark, d):
     return T.read_sheet(spark, book, ("drafts",)).select("job_id", "review_verdict", "pdf_ready")
 
 
-_CONFIG = "# phrases\nx:\n  - a b\n  - \"c: d\"\ny: [e]\n"
-
-
-@query("SELECT 0 AS ord, 'a b' AS query, 'x' AS category UNION ALL SELECT 1, 'c: d', 'x' UNION ALL SELECT 2, 'e', 'y'")
+@query(f"{WITH}, k AS (SELECT DISTINCT board, title FROM p) SELECT (row_number() OVER (ORDER BY board, title) - 1)::INT AS ord, title AS query, board AS category FROM k")
 def scan_yaml_config(spark, d):
-    """A file of phrases by category, read from the store."""
-    folder = _folder(spark, "config")
-    spark.createDataFrame([(_CONFIG,)], "value string").coalesce(1).write.text(folder)
+    """Phrases by category, taken from the postings, as a YAML file in the store: read back as the catalogue of queries, in file order."""
+    folder = fresh_dir(spark, "config")
+    known = postings(spark, d).select("board", "title").distinct().groupBy("board").agg(F.array_sort(F.collect_list("title")).alias("t"))  # a few of each
+    lines = known.orderBy("board").select(F.concat(F.lit('"'), "board", F.lit('":'), F.array_join(F.transform("t", lambda t: F.concat(F.lit('\n  - "'), t, F.lit('"'))), "")).alias("v"))
+    text = lines.agg(F.array_join(F.array_sort(F.collect_list("v")), "\n").alias("value"))
+    text.select(F.concat(F.lit("# phrases\n"), "value")).coalesce(1).write.text(folder)
     return T.query_catalogue(spark, T.yaml_config(spark, folder))
 
 
+@query(f"""{WITH}, k AS (SELECT board, company || '|' || title || '|' || city_region AS key, availability_status = 'closed' AS gone FROM p)
+SELECT board AS source, count(*)::BIGINT AS found, (count(*) FILTER (WHERE gone))::BIGINT AS filtered_out, (count(DISTINCT key) FILTER (WHERE NOT gone))::BIGINT AS uniq,
+((count(*) FILTER (WHERE NOT gone)) - count(DISTINCT key) FILTER (WHERE NOT gone))::BIGINT AS duplicates FROM k GROUP BY 1""")
+def observed_run(spark, d):
+    """Counts of each step of a run, observed while its rows are written."""
+    c = F.col
+    rows = postings(spark, d).select("seq", c("board").alias("source"), F.concat_ws("|", "company", "title", "city_region").alias("key"), "availability_status", "full_text")
+    return C.observed_run(rows, c("availability_status") != "closed", fresh_dir(spark, "run"), R.SOURCE_ORDER)
+
+
 flag("strip_boilerplate", lambda: without_upsell(F.concat(F.col("title"), F.lit("\nGet AI-powered advice on this job and more. Try Premium for free"))), "title")
 
 

@@ -9,7 +9,7 @@ from ..functions import metadata as M
 from ..functions import rules as R
 from ..functions.html import clean_text as html_text
 from ..functions.text import fold, joined, split_list, strip
-from ..operators import dedup as D
+from ..operators import groups as G
 from ..operators import reports as P
 from ..sources import feeds as S
 from ..sources import tables as T
@@ -67,18 +67,17 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"{WITH} SELECT seq, 'x' || job_id AS ref, decision FROM p WHERE seq % 2 = 0")
+@query(f"{WITH} SELECT 'x' || job_id AS ref, CASE WHEN seq % 3 <> 0 THEN seq END AS seq, CASE WHEN seq % 3 <> 0 THEN decision END AS decision FROM p")
 def join_apps_records(spark, d):
+    """A log row for each posting; a third of the postings are gone from the records."""
     p = postings(spark, d)
-    apps = p.where("seq % 2 = 0").select("job_id", F.concat(F.lit("x"), "job_id").alias("ref"))
-    return apps.join(p.select("job_id", "seq", "decision"), "job_id", "left").select("seq", "ref", "decision")
+    log = p.select("job_id", F.concat(F.lit("x"), "job_id").alias("ref"))
+    return P.join_records(log, p.where("seq % 3 <> 0").select("job_id", "seq", "decision")).select("ref", "seq", "decision")
 
 
 @query(_GROUPED + ", dg AS (SELECT DISTINCT duplicate_group FROM g WHERE duplicate_group <> '' AND applied <> '') SELECT seq FROM g WHERE duplicate_group NOT IN (SELECT duplicate_group FROM dg)")
 def handled_group_anti(spark, d):
-    g = _grouped(spark, d)
-    done = g.where("duplicate_group <> '' AND applied <> ''").select("duplicate_group").distinct()
-    return g.join(done, "duplicate_group", "left_anti").select("seq")
+    return G.without_handled_groups(_grouped(spark, d), F.col("applied") != "").select("seq")
 
 
 _RANK = f"decision <> {q(R.YES)}, list_position({sql_list(R.SOURCE_ORDER)}, board), job_id"
@@ -87,16 +86,14 @@ _RANK = f"decision <> {q(R.YES)}, list_position({sql_list(R.SOURCE_ORDER)}, boar
 @query(_GROUPED + f" SELECT seq, duplicate_group FROM g WHERE duplicate_group <> '' QUALIFY row_number() OVER (PARTITION BY duplicate_group ORDER BY {_RANK}) = 1")
 def best_of_group(spark, d):
     place = F.array_position(F.array(*[F.lit(s) for s in R.SOURCE_ORDER]), F.col("board"))
-    rows = _grouped(spark, d).where("duplicate_group <> ''").select("seq", "duplicate_group", "decision", "board", "job_id")
-    return D.first_per_key(rows, [F.col("duplicate_group")], [F.col("decision") != R.YES, place, F.col("job_id")]).select("seq", "duplicate_group")
+    rows = _grouped(spark, d).select("seq", "duplicate_group", "decision", "board", "job_id")
+    return G.best_of_group(rows, [F.col("decision") != R.YES, place, F.col("job_id")]).select("seq", "duplicate_group")
 
 
 @query(_GROUPED + " SELECT a.seq, string_agg(DISTINCT b.board, ', ' ORDER BY b.board) AS also_on FROM g a JOIN g b ON a.duplicate_group = b.duplicate_group AND a.seq <> b.seq WHERE a.duplicate_group <> '' GROUP BY 1")
 def also_on(spark, d):
-    rows = _grouped(spark, d).where("duplicate_group <> ''").select("seq", "duplicate_group", "board")
-    boards = rows.groupBy("duplicate_group", "board").agg(F.count(F.lit(1)).alias("n")).groupBy("duplicate_group").agg(F.collect_list(F.struct("board", "n")).alias("s"))
-    others = F.filter("s", lambda x: (x["board"] != F.col("board")) | (x["n"] > 1))
-    return rows.join(boards, "duplicate_group").select("seq", F.array_join(F.array_sort(F.transform(others, lambda x: x["board"])), ", ").alias("also_on")).where("also_on <> ''")
+    rows = _grouped(spark, d).select("seq", "duplicate_group", "board")
+    return G.also_on(rows, "board").select("seq", "also_on").where("also_on <> ''")
 
 
 @query(f"{WITH} SELECT seq, title, company FROM p WHERE seq % 2 = 0")

@@ -11,6 +11,7 @@ from ..functions import ids as I
 from ..functions import metadata as M
 from ..functions import rules as R
 from ..functions.text import fold, joined, normalize_text, strip, text
+from ..operators import collection as C
 from ..operators import dedup as D
 from ..operators import groups as G
 from ..operators import reports as P
@@ -351,10 +352,13 @@ def per_query_share(spark, d):
     return D.cap_per_key(postings(spark, d).select("seq", "title"), ["title"], [F.col("seq")], share).orderBy("seq").limit(40)
 
 
-@query(f"{WITH} SELECT seq, board FROM p WHERE board = 'Djinni' UNION ALL SELECT seq, board FROM p WHERE board = 'Jobicy'")
+@query(f"{WITH} SELECT seq, board, row_number() OVER (PARTITION BY board ORDER BY seq) <= 40 AS early FROM p")
 def union_collect(spark, d):
+    """What all sources of a run gave, each with its own columns, as one relation."""
     p = postings(spark, d).select("seq", "board")
-    return p.where("board = 'Djinni'").unionByName(p.where("board = 'Jobicy'"))
+    parts = {b: p.where(F.col("board") == b) for b in R.SOURCE_ORDER}
+    early = D.cap_per_key(p, ["board"], [F.col("seq")], 40).select(F.col("seq").alias("_s"))
+    return C.union_sources(parts).join(early, F.col("seq") == F.col("_s"), "left").select("seq", "board", F.col("_s").isNotNull().alias("early"))
 
 
 # --- dedup -----------------------------------------------------------------------------------------------------------

@@ -77,10 +77,15 @@ def src_bamboohr(spark, d):
     return S.bamboohr(lists, details, lambda t: fold(t).contains("data"), ("seq",)).select("seq", "title", "city_region", "work_format")
 
 
-@query("SELECT 'Acme' AS company, 'lever' AS ats, 'acme' AS slug, 'api.lever.co' AS host UNION ALL SELECT 'Bolt', 'greenhouse', 'bolt', 'h.example'")
+@query(f"""{WITH} SELECT DISTINCT company, ['lever', 'greenhouse', 'bamboohr'][(seq % 4 + 1)::INT] AS ats, 'b' || (seq % 45)::VARCHAR AS slug, CASE WHEN seq % 3 = 0 THEN 'h.example' ELSE 'api.lever.co' END AS host FROM p
+WHERE seq % 4 <> 3 AND seq % 7 <> 0 AND seq % 5 <> 0""")
 def ats_board_validate(spark, d):
-    rows = [(" Acme ", "Lever", "acme", ""), ("Bolt", "greenhouse", "bolt", "h.example"), ("", "lever", "x", ""), ("Cog", "workday", "cog", ""), ("Dent", "bamboohr", None, "")]
-    return S.boards(spark.createDataFrame(rows, "company string, ats string, slug string, host string"))
+    """Boards as typed in: blanks around, cases mixed; those without company or slug, or of another system, go."""
+    n = F.col("seq")
+    ats = F.element_at(F.array(*[F.lit(x) for x in (" Lever", "GreenHouse ", "bamboohr", "workday")]), (n % 4 + 1).cast("int"))
+    slug = F.when(n % 7 == 0, F.when(n % 2 == 0, "  ")).otherwise(F.concat(F.lit(" b"), (n % 45).cast("string")))
+    typed = postings(spark, d).select(F.when(n % 5 == 0, "").otherwise(F.concat(F.lit(" "), "company")).alias("company"), ats.alias("ats"), slug.alias("slug"), F.when(n % 3 == 0, "h.example").otherwise(" ").alias("host"))
+    return S.boards(typed.distinct()).distinct()
 
 
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN '1000-' || (2000 + seq) || ' USD' ELSE '' END AS salary, CASE WHEN city_region = 'Paris, Ile-de-France, France' THEN 'France' WHEN city_region = 'Berlin, Germany' THEN 'Germany' WHEN city_region = 'Europe' THEN 'Europe' WHEN city_region = 'Kyiv, Ukraine' THEN 'Ukraine' WHEN city_region = 'Remote - USA' THEN 'USA' ELSE '' END AS country FROM p")
