@@ -204,7 +204,7 @@ def repeated(docs: DataFrame, length: int, seed: int) -> DataFrame:
     if count:
         some = docs.join(F.broadcast(tests.select(*KEY)), KEY, "left_semi") if count <= BROADCAST_IDS else docs
         laid = materialize(windows(some.join(tests, KEY), length), "windows")
-        again = laid.groupBy("a", "b").agg(F.sum("w").alias("many")).where("many > 1").select("a", "b")
+        again = materialize(laid.groupBy("a", "b").agg(F.sum("w").alias("many")).where("many > 1").select("a", "b"), "again")
         single = laid.where("w = 1").join(again, ["a", "b"]).select(*KEY, "q", F.lit(1).alias("n"))
         whole = whole.unionByName(single)
     span = F.shiftleft(F.col("q").cast("long"), 32) + F.col("q") + F.col("n") + F.lit(length - 1)
