@@ -43,9 +43,23 @@ flag("onsite_in_disallowed_country", lambda: M.onsite_in_disallowed(F.col("work_
 flag("candidates_only_disallowed", lambda: M.candidates_only_disallowed(_places()), "seq % 3 = 0")
 flag("is_low_quality_listing", lambda: M.is_low_quality(F.col("title"), F.col("full_text")), any_sql("lower(title || chr(10) || full_text)", R.LOW_QUALITY))
 flag("matches_context", lambda: M.matches_context(F.col("full_text")), any_sql("lower(full_text)", R.CONTEXT_TERMS))
-flag("normalize_company", lambda: M.normalize_company(F.col("company")), f"{sql_list(('northwind labs', 'northwind labs', 'northwind labs', 'contoso gmb h', 'contoso', 'fabrikam', 'tailspin', 'fabrikam', 'wingtip toys'))}[((seq // 3) % 9 + 1)::INT]")
+#: Endings of company names by seq % 8: legal forms, brackets, camel case, and names that are nothing but a legal form.
+ENDINGS = (" Inc.", " LLC", "Corp", " (EU) Ltd", " Group, S.A.", " 24/7", " & Co", "")
+
+
+def _companies():
+    end = F.element_at(F.array(*[F.lit(x) for x in ENDINGS]), (_n() % len(ENDINGS) + 1).cast("int"))
+    return F.when(_n() % 31 == 0, "Limited GmbH").otherwise(F.concat("company", end))
+
+
+_COMPANY = f"CASE WHEN seq % 31 = 0 THEN 'Limited GmbH' ELSE company || {sql_list(ENDINGS)}[(seq % {len(ENDINGS)} + 1)::INT] END"
+_TOKENS = f"regexp_extract_all(lower(regexp_replace(regexp_replace({_COMPANY}, '\\([^)]*\\)', ' ', 'g'), '([a-z])([A-Z])', '\\1 \\2', 'g')), '[a-z0-9]+')"
+_REAL = f"list_filter({_TOKENS}, lambda x: NOT list_contains({sql_list(R.LEGAL_SUFFIXES)}, x))"
+flag("normalize_company", lambda: M.normalize_company(_companies()), f"array_to_string(CASE WHEN len({_REAL}) > 0 THEN {_REAL} ELSE {_TOKENS} END, ' ')")
 flag("normalize_title", lambda: M.normalize_title(F.col("title")), "CASE seq % 12 WHEN 3 THEN 'product analyst' WHEN 4 THEN 'bi and data analyst' ELSE lower(title) END")
-flag("location_tokens", lambda: joined(M.location_tokens(F.col("city_region"), F.col("country")), " "), f"{sql_list(('france ile paris', '', 'berlin germany', '', '', 'kyiv ukraine', 'usa'))}[(seq % 7 + 1)::INT]")
+_AREA = "city_region || CASE seq % 3 WHEN 0 THEN ' Área Metropolitana' WHEN 1 THEN ' and more: Worldwide, Łódź' ELSE ' (Zone-7)' END"
+flag("location_tokens", lambda: joined(F.array_sort(M.location_tokens(F.concat("city_region", F.when(_n() % 3 == 0, " Área Metropolitana").when(_n() % 3 == 1, " and more: Worldwide, Łódź").otherwise(" (Zone-7)")), F.col("country"))), " "),
+     f"array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower({_AREA} || ' ' || country), '\\p{{L}}{{3,}}'), lambda x: NOT list_contains({sql_list(R.REGION_WORDS)}, x)))), ' ')")
 flag("level_bucket", lambda: M.level_bucket(F.col("seniority")), "CASE seniority WHEN 'Junior' THEN 'junior' WHEN 'Mid-level' THEN 'middle' WHEN 'Unknown' THEN 'unknown' ELSE 'senior' END")
 flag("location_bucket", lambda: M.location_bucket(F.col("work_format"), F.col("country")), "CASE WHEN work_format = 'Remote' THEN 'remote' WHEN country IN ('France', 'Germany', 'Ukraine') THEN 'europe' ELSE 'other' END")
 flag("keep_known_closed", lambda: M.keep_known_closed(F.col("availability_status"), F.when(_n() % 2 == 0, "unknown").otherwise("active")), "CASE WHEN seq % 2 = 0 THEN CASE WHEN availability_status = 'closed' THEN 'closed' ELSE 'unknown' END ELSE 'active' END")

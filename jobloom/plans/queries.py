@@ -127,19 +127,32 @@ def required_preferred(spark, d):
     return s.select("seq", joined(F.col("s.required")).alias("required"), joined(F.col("s.preferred")).alias("preferred"))
 
 
-_SNIP_YEARS = "CASE seq % 10 WHEN 1 THEN '5' WHEN 3 THEN '2' ELSE '' END"
+#: Sentences of years by seq % 7, {n} being seq % 37 and {m} two more: demands, ages of companies, numbers beyond what is plausible.
+YEARS = ("{n}+ years of experience with SQL.", "{n}-{m} years of experience", "We have been on the market for over {n} years.", "over {n} years of experience", "A {n} years old codebase", "no numbers here", "{n} to {m} years of track record; {n} years ago we began")
 
 
-@query(f"{WITH} SELECT seq, {_SNIP_YEARS} AS low, CASE seq % 10 WHEN 1 THEN '5' WHEN 3 THEN '4' ELSE '' END AS high FROM p")
+def _years(spark, d):
+    n = F.col("seq")
+    said = F.element_at(F.array(*[F.lit(x) for x in YEARS]), (n % len(YEARS) + 1).cast("int"))
+    filled = F.replace(F.replace(said, F.lit("{n}"), (n % 37).cast("string")), F.lit("{m}"), (n % 37 + 2).cast("string"))
+    return postings(spark, d).select("seq", fold(F.concat("company", F.lit("\n"), filled, F.lit("\n"), "city_region")).alias("t"))
+
+
+_N = f"SELECT seq, seq % {len(YEARS)} AS k, seq % 37 AS n, seq % 37 + 2 AS m FROM p"
+
+
+@query(f"""{WITH}, y AS ({_N}) SELECT seq, CASE WHEN k IN (0, 3, 4) AND n <= 30 OR k IN (1, 6) AND m <= 30 THEN n::VARCHAR ELSE '' END AS low,
+CASE WHEN k IN (0, 3, 4) AND n <= 30 THEN n::VARCHAR WHEN k IN (1, 6) AND m <= 30 THEN m::VARCHAR ELSE '' END AS high FROM y""")
 def infer_experience_years(spark, d):
-    """The prose names no years, so that the snippets' are known."""
-    s = postings(spark, d).select("seq", M.experience_years(T()).alias("s"))
+    """The first demand that is plausible and no company's age, as a range."""
+    s = _years(spark, d).select("seq", M.experience_years(F.col("t")).alias("s"))
     return s.select("seq", "s.low", "s.high")
 
 
-@query(f"{WITH} SELECT seq, CASE seq % 10 WHEN 1 THEN 5 WHEN 3 THEN 2 ELSE 0 END::DOUBLE AS years FROM p")
+@query(f"{WITH}, y AS ({_N}) SELECT seq, CASE WHEN k IN (0, 1, 3, 6) AND n <= 30 THEN n ELSE 0 END::DOUBLE AS years FROM y")
 def max_years_mentioned(spark, d):
-    return postings(spark, d).select("seq", M.max_years(fold(F.col("full_text"))).alias("years"))
+    """The highest floor that stands near a word of experience."""
+    return _years(spark, d).select("seq", M.max_years(F.col("t")).alias("years"))
 
 
 _LEVEL = "CASE " + " ".join(f"WHEN {has('lower(title)', p)} THEN {q(n)}" for n, p in R.TITLE_LEVELS) + f" WHEN {has('b', R.TEXT_JUNIOR)} THEN 'Junior' WHEN {has('b', R.TEXT_SENIOR)} OR seq % 10 = 1 THEN 'Senior' WHEN {has('b', R.TEXT_MIDDLE)} THEN 'Mid-level' ELSE 'Unknown' END"
@@ -158,9 +171,22 @@ def extract_salary(spark, d):
     return postings(spark, d).select("seq", M.extract_salary(F.lit(""), F.col("full_text")).alias("salary"))
 
 
-@query(f"{WITH} SELECT seq, {sql_list(('', '≈48,600-59,400 USD', '', '≈32,400 USD', '≈1,200 USD', '≈51,400-57,500 USD'))}[(seq % 6 + 1)::INT] AS usd FROM p")
+#: Pay as texts: (pattern with {a} and {b}, rate to the dollar or 0).
+PAY = (("€{a} - €{b}", 1.08), ("{a}-{b} GBP per year", 1.27), ("{a} грн", 0.024), ("from ${a}", 0), ("{b} UAH", 0.024), ("competitive", 0), ("up to £{a}", 1.27), ("{a} PLN", 0))
+_AMOUNTS = "SELECT seq, (seq * 7919) % 90000 + 7 AS a, (seq * 7919) % 90000 + 7 + seq % 5 * 811 AS b, seq % 8 AS k FROM p"
+
+
+@query(f"""{WITH}, t AS ({_AMOUNTS}), r AS (SELECT *, {[r for _, r in PAY]}[(k + 1)::INT]::DOUBLE AS rate, CASE WHEN k = 4 THEN b ELSE a END AS lo, CASE WHEN k IN (0, 1, 4) THEN b ELSE a END AS hi FROM t),
+u AS (SELECT *, lo * rate AS l, hi * rate AS h, CASE WHEN lo * rate >= 1000 THEN 100.0 WHEN lo * rate >= 100 THEN 10.0 ELSE 1.0 END::DOUBLE AS step FROM r),
+v AS (SELECT *, (round_even(l / step, 0) * step)::BIGINT AS x, (round_even(h / step, 0) * step)::BIGINT AS y FROM u)
+SELECT seq, CASE WHEN rate = 0 THEN '' WHEN x = y THEN '≈' || format('{{:,}}', x) || ' USD' ELSE '≈' || format('{{:,}}', x) || '-' || format('{{:,}}', y) || ' USD' END AS usd FROM v""")
 def normalize_salary_usd(spark, d):
-    return postings(spark, d).select("seq", M.salary_usd(F.col("salary")).alias("usd"))
+    n = F.col("seq")
+    a = (n * 7919) % 90000 + 7
+    shown = F.element_at(F.array(*[F.lit(x) for x, _ in PAY]), (n % len(PAY) + 1).cast("int"))
+    amount = lambda c: F.when(n % 3 == 0, F.format_number(c, 0)).when(n % 3 == 1, F.replace(F.format_number(c, 0), F.lit(","), F.lit("\u00a0"))).otherwise(c.cast("string"))
+    pay = F.replace(F.replace(shown, F.lit("{a}"), amount(a)), F.lit("{b}"), amount(a + n % 5 * 811))
+    return postings(spark, d).select("seq", M.salary_usd(pay).alias("usd"))
 
 
 @query(f"{WITH} SELECT seq, CASE WHEN seq % 3 = 0 THEN (seq % 50)::VARCHAR || '-' || (seq % 50 + 5)::VARCHAR || ' USD/year' WHEN seq % 3 = 1 THEN (seq % 50)::VARCHAR || ' USD' ELSE '' END AS salary FROM p")
@@ -171,9 +197,14 @@ def salary_structured(spark, d):
     return postings(spark, d).select("seq", M.salary_structured(low, high, F.lit("USD"), F.when(s % 3 == 0, "YEAR").otherwise("")).alias("salary"))
 
 
-@query(f"{WITH} SELECT seq, {sql_list(('Paris', 'Remote', 'Berlin', '', 'Europe', 'Kyiv', 'Remote - USA'))}[(seq % 7 + 1)::INT] AS city, CASE WHEN seq % 7 = 0 THEN 'Ile-de-France' ELSE '' END AS region FROM p")
+@query(f"""{WITH}, t AS (SELECT seq, country, city_region || CASE seq % 4 WHEN 0 THEN ' ,  ' || upper(country) WHEN 1 THEN ', Zone ' || (seq % 13)::VARCHAR || ',' || country WHEN 2 THEN ', ,Zone ' || (seq % 11)::VARCHAR ELSE '' END AS place FROM p),
+k AS (SELECT seq, country, list_filter(list_transform(string_split(place, ','), lambda x: trim(x)), lambda x: x <> '') AS parts FROM t),
+c AS (SELECT seq, CASE WHEN country <> '' AND len(parts) > 0 AND lower(parts[-1]) = lower(country) THEN parts[1:len(parts) - 1] ELSE parts END AS kept FROM k)
+SELECT seq, coalesce(kept[1], '') AS city, coalesce(array_to_string(kept[2:], ', '), '') AS region FROM c""")
 def split_city_region(spark, d):
-    s = postings(spark, d).select("seq", M.split_city_region(F.col("city_region"), F.col("country")).alias("s"))
+    n, c = F.col("seq"), F.col
+    more = F.when(n % 4 == 0, F.concat(F.lit(" ,  "), F.upper("country"))).when(n % 4 == 1, F.concat(F.lit(", Zone "), (n % 13).cast("string"), F.lit(","), "country")).when(n % 4 == 2, F.concat(F.lit(", ,Zone "), (n % 11).cast("string"))).otherwise("")
+    s = postings(spark, d).select("seq", M.split_city_region(F.concat("city_region", more), c("country")).alias("s"))
     return s.select("seq", "s.city", "s.region")
 
 
