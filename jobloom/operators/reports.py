@@ -82,7 +82,7 @@ def _unpivot(counts: DataFrame, names: list[str], value: str, key: str) -> DataF
 def market_demand(postings: DataFrame, rules=R.SKILLS) -> DataFrame:
     """skill, market, certs, market_total: all patterns counted in one pass over the market."""
     t = fold(F.concat(text(F.col("title")), F.lit("\n"), text(F.col("full_text"))))
-    base = market(postings).select(t.alias("t"))
+    base = market(postings.select("seq", "company", "title", "full_text")).select(t.alias("t"))
     aggs = [F.count_if(holds(F.col("t"), p)).alias(f"m{i}") for i, (_, p) in enumerate(rules)]
     aggs += [F.count_if(holds(F.col("t"), M.cert_near(p))).alias(f"k{i}") for i, (_, p) in enumerate(rules)]
     one = base.agg(F.count(F.lit(1)).alias("total"), *aggs)

@@ -72,3 +72,23 @@ def term_hits(market: DataFrame, terms=TERMS) -> DataFrame:
     hits = [F.when(F.col("t").rlike(flagged(n, p)), F.struct(F.lit(n).alias("term"), F.lit(g).alias("grp"), first_match(F.col("t"), flagged(n, p)).alias("hit"))) for n, p, g in terms]
     found = base.select("seq", "level", "place", F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
     return found.select("seq", "h.term", "h.grp", "level", "place", "h.hit")
+
+
+#: Rows of a dictionary that are broadcast; a larger one is joined.
+BROADCAST_PHRASES = 200_000
+
+
+def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, t: str = "t") -> DataFrame:
+    """(key, term), each once: the terms that a folded text names, by a dictionary (term, phrase) of any size.
+
+    Texts are cut in words once, and runs of as many words as the longest phrase has are met with the dictionary: what a row costs follows from its words, not from the number of terms. A phrase is
+    words in a row, whatever stands between them. Blank phrases name nothing.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
+    known = phrases.select("term", words(F.col("phrase")).alias("w")).where(F.size("w") > 0).select("term", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).distinct()
+    size = known.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("n").alias("n")).first()  # a count, and the few lengths of phrases
+    lengths = F.array(*[F.lit(n) for n in sorted(size["n"])]) if size["n"] else F.array().cast("array<int>")
+    runs = lambda w: F.flatten(F.transform(lengths, lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
+    cut_up = texts.select(key, let(words(F.col(t)), lambda w: F.array_distinct(runs(w))).alias("runs")).select(key, F.explode("runs").alias("run"))
+    named = known.select("term", "run")
+    return cut_up.join(F.broadcast(named) if size["rows"] <= BROADCAST_PHRASES else named, "run").select(key, "term").distinct()

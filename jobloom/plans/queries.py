@@ -16,6 +16,7 @@ from ..operators import dedup as D
 from ..operators import groups as G
 from ..operators import reports as P
 from ..operators import similar as N
+from ..operators.terms import phrase_hits
 from .view import TODAY, VIEW, WITH, any_sql, fold_sql, has, postings, q, re2, sql_list
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,12 +418,14 @@ def grouping_keys(spark, d):
     return postings(spark, d).select("seq", M.normalize_company(c("company")).alias("company"), M.normalize_title(c("title")).alias("title"), joined(M.location_tokens(c("city_region"), c("country")), " ").alias("places"))
 
 
-@query(f"{WITH}, t AS (SELECT DISTINCT country, city_region FROM p), k AS (SELECT city_region, {sql_list(())[:0]}CASE city_region WHEN 'Paris, Ile-de-France, France' THEN 'france' WHEN 'Berlin, Germany' THEN 'germany' WHEN 'Kyiv, Ukraine' THEN 'ukraine' WHEN 'Remote - USA' THEN 'usa' ELSE '' END AS place, city_region = '' AND country = '' AS blank FROM t) SELECT a.city_region AS a, b.city_region AS b, NOT ((a.blank AND b.place <> '') OR (b.blank AND a.place <> '')) AND (a.place = '' OR b.place = '' OR a.place = b.place) AS compatible FROM k a JOIN k b ON a.city_region < b.city_region")
+@query(f"{WITH}, t AS (SELECT DISTINCT country, city_region FROM p), k AS (SELECT city_region, {sql_list(())[:0]}CASE city_region WHEN 'Paris, Ile-de-France, France' THEN 'france' WHEN 'Berlin, Germany' THEN 'germany' WHEN 'Kyiv, Ukraine' THEN 'ukraine' WHEN 'Remote - USA' THEN 'usa' ELSE '' END AS place, city_region = '' AND country = '' AS blank FROM t), c AS (SELECT a.city_region AS a, b.city_region AS b, NOT ((a.blank AND b.place <> '') OR (b.blank AND a.place <> '')) AND (a.place = '' OR b.place = '' OR a.place = b.place) AS compatible FROM k a JOIN k b ON a.city_region < b.city_region) SELECT a, b FROM c WHERE compatible")
 def locations_compatible(spark, d):
+    """Pairs of places that one posting may have: an equi-join on keys, as in the test of whole postings."""
     c = F.col
-    t = postings(spark, d).select("city_region", M.location_tokens(c("city_region"), c("country")).alias("t"), ((c("city_region") == "") & (c("country") == "")).alias("blank")).distinct()
-    a, b = t.select(c("city_region").alias("a"), c("t").alias("at"), c("blank").alias("ab")), t.select(c("city_region").alias("b"), c("t").alias("bt"), c("blank").alias("bb"))
-    return a.join(F.broadcast(b), c("a") < c("b")).select("a", "b", M.locations_compatible(c("at"), c("bt"), c("ab"), c("bb")).alias("compatible"))  # a row for each of few places
+    t = postings(spark, d).select("city_region", M.location_tokens(c("city_region"), c("country")).alias("places"), ((c("city_region") == "") & (c("country") == "")).alias("blank")).distinct()
+    shown = t.select(c("city_region").alias("b"), F.explode(N.place_keys(True)).alias("key"))
+    asked = t.select(c("city_region").alias("a"), F.explode(N.place_keys(False)).alias("key"))
+    return asked.join(shown, "key").where("a < b").select("a", "b").distinct()
 
 
 def _openings(spark, d):
@@ -531,6 +534,19 @@ def market_demand(spark, d):
     return P.market_demand(postings(spark, d))
 
 
+_PHRASES = [(c, p) for c, ps in R.QUERIES.items() for p in ps]
+
+
+@query(f"""{WITH}, t AS (SELECT seq, ' ' || array_to_string(regexp_extract_all({FT}, '[\\p{{L}}\\p{{N}}_]+'), ' ') || ' ' AS t FROM p),
+k AS (SELECT unnest([{', '.join(f"{{'category': {q(c)}, 'phrase': {q(p.lower().replace('-', ' '))}}}" for c, p in _PHRASES)}], recursive := true))
+SELECT category, count(DISTINCT seq)::BIGINT AS postings FROM t JOIN k ON contains(t, ' ' || phrase || ' ') GROUP BY 1""")
+def phrase_demand(spark, d):
+    """Postings that name a search phrase of each category: one join with the dictionary of phrases."""
+    known = spark.createDataFrame([(c, p.lower()) for c, p in _PHRASES], "term string, phrase string")
+    hits = phrase_hits(postings(spark, d).select("seq", T().alias("t")), "seq", known)
+    return hits.groupBy(F.col("term").alias("category")).agg(F.count(F.lit(1)).alias("postings"))
+
+
 @query(f"{_DEMAND} SELECT skill, certs FROM dm WHERE certs > 0")
 def cert_mentions(spark, d):
     return P.market_demand(postings(spark, d)).where("certs > 0").select("skill", "certs")

@@ -46,3 +46,16 @@ def test_term_patterns(spark):
     frame = spark.createDataFrame([(i, t, "", "Junior", "Remote", "") for i, (_, t, _) in enumerate(cases)], "seq int, full_text string, title string, seniority string, work_format string, country string")
     got = {(r["seq"], r["term"]) for r in T.term_hits(frame).collect()}
     assert [(i, n) in got for i, (n, _, _) in enumerate(cases)] == [w for _, _, w in cases]
+
+
+def test_phrase_hits(spark):
+    """Phrases of one to three words, however they are parted, each counted once for a text; any dictionary gives what a search of each phrase gives."""
+    rng = random.Random(4)
+    words = ["sql", "data", "analyst", "c", "ü", "бд", "x1"]
+    texts = [rng.choice([" ", ", ", "\n", " - "]).join(rng.choice(words) for _ in range(rng.randint(0, 12))) for _ in range(150)]
+    phrases = [(f"t{i % 9}", " ".join(rng.choice(words) for _ in range(rng.randint(1, 3)))) for i in range(25)] + [("blank", " - "), ("none", "nowhere at all")]
+    got = T.phrase_hits(spark.createDataFrame(list(enumerate(texts)), "k int, t string"), "k", spark.createDataFrame(phrases, "term string, phrase string")).collect()
+    runs = [f" {' '.join(re.findall(r'\w+', t))} " for t in texts]
+    assert len(got) == len(set(map(tuple, got)))
+    assert set(map(tuple, got)) == {(i, n) for i, r in enumerate(runs) for n, p in phrases if re.findall(r"\w", p) and f" {p} " in r}
+    assert T.phrase_hits(spark.createDataFrame([(1, "sql")], "k int, t string"), "k", spark.createDataFrame([], "term string, phrase string")).count() == 0
