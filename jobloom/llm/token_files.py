@@ -18,7 +18,7 @@ so a lost executor or a task run twice leaves no wrong reader. The list (one row
 shard) is all that meets on the driver; offsets of shards are its running sums.
 
 Defined results: null or empty text is a document with the end id only; a
-null id comes before all others; repeated ids stay, ordered by text; an empty
+null id comes before all others; repeated ids stay, ordered by a hash of their text; an empty
 table gives no shards and an empty result. Other columns are not used.
 """
 
@@ -171,8 +171,26 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + os.path.abspath(uri))
 
 
+#: The normaliser and the splitter that Encoder's short cuts rest on.
+SHORT_CUTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "model": {"type": "BPE", "dropout": None, "end_of_word_suffix": "</w>"},
+}
+
+
+def short_cuts_hold(told: dict) -> bool:
+    """Whether a tokenizer's description has just these parts, and no added token that could be found in a lowered word."""
+    model = {k: told["model"].get(k) for k in SHORT_CUTS["model"]}
+    marks = all(t["content"].startswith("<|") and t["special"] and not t["normalized"] for t in told["added_tokens"])
+    return marks and model == SHORT_CUTS["model"] and all(told[k] == SHORT_CUTS[k] for k in ("normalizer", "pre_tokenizer"))
+
+
 class Encoder:
-    """ids(texts) by the tokenizers library. Neither normaliser nor splitter of the vocabularies used here looks across
+    """ids(texts) by the tokenizers library. A tokenizer of other parts than SHORT_CUTS gets whole texts; otherwise: Neither normaliser nor splitter of the vocabularies used here looks across
     ASCII blanks, so each distinct piece between blanks is encoded once and its ids are kept (CACHE pieces at most).
     Pieces are lowered first where that is what the normaliser does (characters below U+0250), marks at the end of a
     word are pieces of their own, and words of letters alone go to the library in one line, to be told apart by
@@ -193,6 +211,7 @@ class Encoder:
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.high = re.compile("[^\\x00-\u024f]|\u0130")
         self.known: dict[str, bytes] = {}
+        self.split = short_cuts_hold(json.loads(self.tok.to_str()))
 
     def _encode(self, pieces: list[str]) -> Iterator[bytes]:
         got = self.tok.encode_batch_fast(pieces, add_special_tokens=False)
@@ -235,6 +254,8 @@ class Encoder:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, packed self.width bytes each."""
+        if not self.split:
+            return list(self._encode(texts))
         split = [(t if "<|" in t or self.high.search(t) else t.lower()).split(" ") for t in map(_spaced, texts)]
         if len(self.known) > self.CACHE:
             self.trim()
@@ -285,8 +306,10 @@ def write_shards(docs: DataFrame, path: str, folder: str, id_col: str = "doc_id"
             foot = writer.close()
             yield pd.DataFrame({"part": [part], "file": [os.path.basename(name)], "docs": [foot["docs"]], "tokens": [foot["tokens"]]})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # by the text's hash as well: rows of one id, or without any, are dealt over several tasks
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("doc_id", "text")
     shards, start = [], 0
     for r in sorted(dealt.mapInPandas(run, "part int, file string, docs long, tokens long").collect(), key=lambda r: r["part"]):
         shards.append({"folder": folder, "file": r["file"], "start": start, "docs": r["docs"], "tokens": r["tokens"]})

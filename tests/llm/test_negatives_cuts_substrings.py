@@ -238,3 +238,38 @@ def test_nearest_on_large_layouts(rows):
         probed = ann.nearest_axes(x, t, ann.probing(rows, dealt), dealt + 1)
         found |= np.array([np.isin(codes[i], probed[i]) for i in range(queries)])
     assert found.mean() >= 0.9
+
+
+# ---- token files: hot ids, other tokenizers
+
+
+def test_rows_without_id_are_dealt(spark, tmp_path):
+    import public_tokenizers
+
+    from jobloom.llm import token_files
+
+    rows = [(None, f"text number {i}") for i in range(400)] + [(3, f"row {i}") for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so little would be one task
+    try:
+        shards = token_files.write_shards(docs.repartition(4), public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "t"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(s["docs"] > 50 for s in shards) > 1  # the rows without an id are not one shard
+    got = token_files.read_shards(spark, shards).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == [None] * 400 + [3] * 50
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_any_tokenizer(name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from jobloom.llm import token_files
+
+    path, texts = public_tokenizers.path(name), ["Hello, World! it's 2024", "", "naïve  café\n\nx", "A" * 100, "<|endoftext|> end", "tabs\tand\r\nlines", "ÀÉ İ ǅ 漢字"]
+    enc = token_files.Encoder(path)
+    assert enc.split == (name == "word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.no_padding(), tok.no_truncation()
+    assert [np.frombuffer(x, dtype=f"<u{enc.width}").tolist() for x in enc.ids(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
