@@ -10,6 +10,7 @@ from ..functions.text import fold
 from ..operators.store import fresh_dir
 from ..sources import feeds as S
 from ..sources import tables as T
+from ..sources import workbooks as W
 from ..streaming.buckets import read_table
 from ..streaming.upsert import event_counts, landed_stream
 from .queries import Query
@@ -211,9 +212,17 @@ def scan_csv(spark, d):
     return T.read_csv(spark, folder, ["seq", "title", "company", "full_text"])
 
 
-@query(f"{WITH} SELECT seq, decision FROM p WHERE decision <> ''")
+@query(f"{WITH} SELECT seq::VARCHAR AS seq, title, full_text, decision FROM p")
 def scan_xlsx(spark, d):
-    """A book is a folder of tables; replacing one sheet keeps the others."""
+    """Whole postings as a folder of workbooks, read back as text."""
+    book = _folder(spark, "books")
+    W.write_workbooks(postings(spark, d).select("seq", "title", "full_text", "decision"), book, "Jobs", [F.col("seq")], 400)
+    return W.read_workbooks(spark, book, ["seq", "title", "full_text", "decision"])
+
+
+@query(f"{WITH} SELECT seq, decision FROM p WHERE decision <> ''")
+def replace_sheet(spark, d):
+    """A book is a folder of tables as well; replacing one sheet keeps the others."""
     book, p = _folder(spark, "book"), postings(spark, d).select("seq", "decision")
     T.write_sheet(p.limit(1), book, "Jobs")
     T.write_sheet(p, book, "raw_jobs")

@@ -67,6 +67,31 @@ def test_djinni_pages(spark):
     assert got == {"l0": ("A & B", "Ukraine or India"), "l1": ("Bold", ""), "l2": ("Bold", ""), "l3": ("Bold", "")}
 
 
+def test_workbooks(spark, tmp_path):
+    """Texts of all kinds survive; several books, the first sheet that there is, its last row by order; numbers, shared texts and truths of other writers."""
+    import io
+    import zipfile
+
+    from jobloom.sources import workbooks as W
+
+    rows = [("a", "1 < 2 & 3", "x\ny\r\nz"), ("b", "  blanks  ", ""), ("c", "über 漢 😀", "003"), ("a", "bad\x01char", "3.0"), (None, None, "last")]
+    W.write_workbooks(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "seq int, k string, v string, w string"), str(tmp_path / "out"), "Jobs", [F.col("seq")], 2)
+    back = W.read_workbooks(spark, str(tmp_path / "out"), ["k", "v", "w", "none"], order="o")
+    assert sorted(tuple(r)[:4] for r in back.collect()) == sorted((k or "", (v or "").replace("\x01", ""), w, "") for k, v, w in rows)
+    assert {r["k"]: r["w"] for r in T.manual_review(back.withColumnRenamed("k", "job_id"), "o").select(F.col("job_id").alias("k"), "w").collect()} == {"a": "3.0", "b": "", "c": "003"}
+
+    out = io.BytesIO(W.book_bytes("Other", ["k"], []))
+    with zipfile.ZipFile(out, "a") as z:
+        m = f'xmlns="{W.MAIN}"'
+        z.writestr("xl/sharedStrings.xml", f"<sst {m}><si><t>k</t></si><si><r><t>ri</t></r><r><t>ch</t></r></si><si><t>w</t></si></sst>")
+        z.writestr("xl/worksheets/s2.xml", f'<worksheet {m}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>2</v></c></row><row r="3"><c r="A3" t="s"><v>1</v></c><c r="C3"><f>1+1</f><v>2</v></c></row><row><c t="b"><v>1</v></c></row></sheetData></worksheet>')
+        z.writestr("xl/workbook.xml", f'<workbook {m} xmlns:r="{W.LINK}"><sheets><sheet name="Other" sheetId="1" r:id="rId1"/><sheet name="raw_jobs" sheetId="2" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{W.PACKAGE}/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/s2.xml"/></Relationships>')
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/x.xlsx").write_bytes(out.getvalue())
+    assert [tuple(r) for r in W.read_workbooks(spark, str(tmp_path / "in"), ["k", "w"]).collect()] == [("rich", "2"), ("True", "")]
+
+
 def test_scan_order(spark, tmp_path):
     """The last row wins over several files, however many tasks read them."""
     for n, rows in enumerate(([("a", "1"), ("b", "2"), ("a", "3")], [("b", 'multi\n"line"')], [("a", "4"), ("c", "5"), ("c", "6")])):
