@@ -25,7 +25,7 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINK = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 KINDS = "application/vnd.openxmlformats-officedocument.spreadsheetml"
-_NOT_XML = re.compile("[^\t\n\r\x20-퟿-�\U00010000-\U0010ffff]")
+_NOT_XML = re.compile("[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]")
 
 
 def sheet_files(book: zipfile.ZipFile) -> dict[str, str]:
