@@ -173,12 +173,43 @@ def _page(spark, d):
 
 @query(f"{WITH} SELECT seq, title, CASE WHEN seq % 2 = 0 THEN company ELSE 'Tag Co' END AS company, CASE WHEN seq % 2 = 0 THEN 'Paris, France' ELSE '' END AS city_region, CASE WHEN seq % 2 = 0 THEN '10-20 EUR/hour' ELSE '' END AS salary, CASE WHEN seq % 2 = 0 THEN 'Hybrid' ELSE 'Remote' END AS work_format FROM p")
 def src_linkedin(spark, d):
-    return S.jsonld_pages(_page(spark, d), "LinkedIn", ("seq",)).select("seq", "title", "company", "city_region", "salary", "work_format")
+    return S.linkedin_pages(_page(spark, d), ("seq",)).select("seq", "title", "company", "city_region", "salary", "work_format")
 
 
 @query(f"{WITH} SELECT seq, title, '2026-09-01' AS date_published FROM p WHERE seq % 2 = 0")
 def src_wttj(spark, d):
-    return S.jsonld_pages(_page(spark, d), "WTTJ", ("seq",)).where("date_published <> ''").select("seq", "title", "date_published")
+    return S.wttj_pages(_page(spark, d), ("seq",)).where("date_published <> ''").select("seq", "title", "date_published")
+
+
+@query(f"""{WITH} SELECT seq, title, company, CASE WHEN seq % 3 = 0 THEN city_region WHEN seq % 3 = 1 THEN 'Oslo, Norway' ELSE '' END AS city_region, CASE seq % 4 WHEN 0 THEN '2026-10-30' WHEN 1 THEN '2026-10-25' ELSE 'recently' END AS date_published,
+CASE WHEN seq % 2 = 0 THEN '80 000 - 95 000 EUR per year' ELSE '' END AS salary, 'About the job' || chr(10) || 'SQL' AS head FROM p""")
+def linkedin_elements(spark, d):
+    """Pages without structured data: headings, links, a place as an element or in the text, pay in the text, days ago; another job beside it stays out."""
+    n, c = F.col("seq"), F.col
+    esc = lambda x: F.replace(x, F.lit("&"), F.lit("&amp;"))
+    told = F.when(n % 3 == 1, "<p>Location: Oslo, Norway</p>").otherwise("")
+    ago = F.when(n % 4 == 0, "2 days ago").when(n % 4 == 1, "1 week ago").otherwise("recently")
+    page = F.concat(
+        F.lit("<html><head><title>Other | Nobody | LinkedIn</title></head><body><h1> </h1><h1>"), esc(c("title")), F.lit('</h1><a href="https://x.example/company/x/"><img></a><a href="/company/x/">'), esc(c("company")), F.lit("</a>"),
+        F.when(n % 3 == 0, F.concat(F.lit('<span class="a topcard__flavor--bullet">'), c("city_region"), F.lit("</span>"))).otherwise(""), F.lit('<div id="JobDetails_AboutTheJob_7">About the job<div><p>SQL</p>'), told,
+        F.when(n % 2 == 0, "<p>Salary: 80 000 - 95 000 EUR per year</p>").otherwise(""), F.lit('</div></div><div id="JobDetailsSimilarJobsSlot_1">German speaking, 10 EUR</div><time>'), ago, F.lit("</time></body></html>"),
+    )
+    found = S.linkedin_pages(postings(spark, d).select("seq", _n().alias("url"), page.alias("html")), ("seq",), F.lit("2026-11-01 12:00:00").cast("timestamp"))
+    return found.select("seq", "title", "company", "city_region", "date_published", "salary", F.substring_index("full_text", "\n", 2).alias("head"))
+
+
+@query(f"{WITH} SELECT seq, CASE WHEN seq % 2 = 0 THEN 'Data ' || title ELSE title END AS title, company, CASE WHEN seq % 2 = 0 THEN 'Lyon, France / Nice, France' ELSE 'Lille, France' END AS city_region, 'France' AS country, CASE WHEN seq % 3 = 0 THEN 'Remote' ELSE 'Hybrid' END AS work_format FROM p")
+def wttj_elements(spark, d):
+    """Structured data for what it tells, the page's elements for the rest; the format of work stands anywhere on the page."""
+    n, c = F.col("seq"), F.col
+    spot = lambda x: _struct(address=_struct(addressLocality=F.lit(x), addressCountry=F.lit("France")))
+    job = F.regexp_replace(F.to_json(_struct(title=F.concat(F.lit("Data "), c("title")), jobLocation=F.array(spot("Lyon"), spot("Nice"), spot("Lyon")))), r"^\{", '{"@type":"JobPosting",')
+    esc = lambda x: F.replace(x, F.lit("&"), F.lit("&amp;"))
+    page = F.concat(
+        F.lit("<html><body>"), F.when(n % 2 == 0, F.concat(F.lit('<script type="application/ld+json">'), job, F.lit("</script>"))).otherwise(""), F.lit("<h1>"), esc(c("title")), F.lit('</h1><p data-testid="job-company-name">'), esc(c("company")),
+        F.lit('</p><ul><li data-testid="job-location">Lille, France</li></ul><footer>'), F.when(n % 3 == 0, "Fully remote").otherwise("Hybrid"), F.lit("</footer></body></html>"),
+    )
+    return S.wttj_pages(postings(spark, d).select("seq", _n().alias("url"), page.alias("html")), ("seq",)).select("seq", "title", "company", "city_region", "country", "work_format")
 
 
 @query(f"{WITH} SELECT seq, title, 'Ukraine' AS country, title || chr(10) || 'Body ' || company AS full_text FROM p")

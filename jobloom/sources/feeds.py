@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import metadata as M
-from ..functions.html import clean_text, without_upsell
+from ..functions.html import chosen_texts, clean_text, without_upsell
 from ..functions.text import first_nonblank, fold, squeeze, strip, text
 
 CANONICAL = ("source", "title", "company", "city_region", "country", "work_format", "contract_type", "salary", "url", "date_published", "full_text", "note")
@@ -279,18 +279,51 @@ def json_ld(html: Column) -> Column:
     return F.get(F.filter(parsed, lambda p: p["@type"] == "JobPosting"), F.lit(0))
 
 
-def jsonld_pages(df: DataFrame, source: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Pages (url, html): structured data first, then headings and the page's title."""
-    p = df.select(*keep, "url", "html", json_ld(F.col("html")).alias("j")).withColumn("body", clean_text(F.coalesce("j.description", F.regexp_extract("html", r'(?is)<div[^>]*class="[^"]*description[^"]*"[^>]*>(.*?)</div>', 1))))
-    p = p.withColumn("body", without_upsell(F.col("body"))).withColumn("h1", clean_text(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))).withColumn("tag", M.title_tag(clean_text(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1))))
-    address = lambda x: F.array_join(F.filter(F.array(*[strip(x["address"][c]) for c in ("addressLocality", "addressRegion", "addressCountry")]), lambda v: v != ""), ", ")
-    places = F.array_distinct(F.filter(F.transform(F.coalesce("j.jobLocation", F.array().cast("array<struct<address: struct<addressLocality: string, addressRegion: string, addressCountry: string>>>")), address), lambda v: v != ""))
-    place = F.when(F.size(places) > 0, F.array_join(places, " / ")).otherwise(M.location_from_text(F.col("body")))
+#: Where pages without structured data show their fields, first choice first.
+LINKEDIN_FIELDS = {
+    "title": ("h1", "[class=top-card-layout__title]", "[class=jobs-unified-top-card__job-title]"), "company": ("a[href*=/company/]", "[class=topcard__org-name-link]"),
+    "place": ("[class=topcard__flavor--bullet]", "[class=job-details-jobs-unified-top-card__tertiary-description-container]"), "posted": ("time", "[class=posted-time-ago__text]"),
+    "body": ("[id^=JobDetails_AboutTheJob_]", "[class=jobs-description-content__text]", "[class=show-more-less-html__markup]", "div[class*=description]"), "tag": ("title",),
+}
+WTTJ_FIELDS = {
+    "title": ("h1", "[data-testid=job-title]"), "company": ("[data-testid=job-company-name]", "a[href*=/companies/]"), "place": ("[data-testid=job-location]",), "body": ("body",), "tag": ("title",),
+}
+
+
+def _structured(df: DataFrame, fields: dict, keep: tuple[str, ...]) -> DataFrame:
+    """keep.., url, j (structured data, or null), e (texts of the page's elements), told (pay), places (of structured data), lands."""
+    p = df.select(*keep, "url", json_ld(F.col("html")).alias("j"), chosen_texts(F.col("html"), fields).alias("e"))
+    none = "array<struct<address: struct<addressLocality: string, addressRegion: string, addressCountry: string>>>"
+    address = lambda x: F.array_join(F.array_distinct(F.filter(F.array(*[strip(x["address"][c]) for c in ("addressLocality", "addressRegion", "addressCountry")]), lambda v: v != "")), ", ")
+    spots = F.coalesce("j.jobLocation", F.array().cast(none))
+    some = lambda f: F.array_join(F.array_distinct(F.filter(F.transform(spots, f), lambda v: v != "")), " / ")
     pay = "j.baseSalary.value."
+    told = M.salary_structured(F.col(pay + "minValue"), F.col(pay + "maxValue"), F.col("j.baseSalary.currency"), F.col(pay + "unitText"))
+    return p.select("*", told.alias("told"), some(address).alias("places"), some(lambda x: strip(x["address"]["addressCountry"])).alias("lands"))
+
+
+def linkedin_pages(df: DataFrame, keep: tuple[str, ...] = (), now: Column | None = None) -> DataFrame:
+    """Pages (url, html): structured data alone where there is any, else the page's elements, and its title for what these lack. A place that
+    neither tells may stand in the text; "2 days ago" becomes a day, counted from now."""
+    c, has = F.col, F.col("j").isNotNull()
+    p = _structured(df, LINKEDIN_FIELDS, keep).withColumn("body", without_upsell(F.when(has, clean_text(c("j.description"))).otherwise(c("e.body"))))
+    p = p.withColumn("t", M.title_tag(c("e.tag"))).withColumn("place", first_nonblank(F.when(has, c("places")).otherwise(squeeze(c("e.place"))), M.location_from_text(c("body"))))
+    form = F.when(c("j.jobLocationType") == "TELECOMMUTE", "Remote").otherwise(M.infer_work_format(F.when(has, F.concat("place", F.lit("\n"), "body")).otherwise(c("body"))))
+    own = lambda data, *shown: F.when(has, strip(c(data))).otherwise(first_nonblank(*shown))
+    return canonical(
+        p, "LinkedIn", keep, title=own("j.title", squeeze(c("e.title")), c("t.title")), company=own("j.hiringOrganization.name", squeeze(c("e.company")), c("t.company")), city_region=c("place"), country=_country(c("place")), work_format=form,
+        contract_type=c("j.employmentType"), salary=M.extract_salary(F.when(has, c("told")).otherwise(""), c("body")), url=c("url"), date_published=F.when(has, c("j.datePosted")).otherwise(M.relative_date(squeeze(c("e.posted")), F.current_timestamp() if now is None else now)), full_text=c("body"),
+    )
+
+
+def wttj_pages(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Pages (url, html): each field from structured data, else from the page's elements; the format of work is read from the whole page."""
+    c = F.col
+    p = _structured(df, WTTJ_FIELDS, keep).withColumn("place", first_nonblank(c("places"), squeeze(c("e.place"))))
+    land = first_nonblank(c("lands"), F.when(c("place").contains(","), strip(F.substring_index("place", ",", -1))))
     return canonical(
-        p, source, keep, title=first_nonblank(F.col("j.title"), F.col("h1"), F.col("tag.title")), company=first_nonblank(F.col("j.hiringOrganization.name"), F.col("tag.company")), city_region=place, country=_country(place),
-        work_format=F.when(F.col("j.jobLocationType") == "TELECOMMUTE", "Remote").otherwise(M.infer_work_format(F.concat(place, F.lit("\n"), F.col("body")))), contract_type=F.col("j.employmentType"),
-        salary=M.extract_salary(M.salary_structured(F.col(pay + "minValue"), F.col(pay + "maxValue"), F.col("j.baseSalary.currency"), F.col(pay + "unitText")), F.col("body")), url=F.col("url"), date_published=F.col("j.datePosted"), full_text=F.col("body"),
+        p, "Welcome to the Jungle", keep, title=first_nonblank(strip(c("j.title")), squeeze(c("e.title"))), company=first_nonblank(strip(c("j.hiringOrganization.name")), squeeze(c("e.company"))), city_region=c("place"), country=land,
+        work_format=M.infer_work_format(c("e.body")), contract_type=c("j.employmentType"), salary=M.extract_salary(c("told"), c("e.body")), url=c("url"), date_published=c("j.datePosted"), full_text=first_nonblank(clean_text(c("j.description")), c("e.body")),
     )
 
 
@@ -309,7 +342,7 @@ def table_rows(df: DataFrame) -> DataFrame:
 #: name -> function over landed payloads.
 REGISTRY: dict[str, Callable[..., DataFrame]] = {
     "greenhouse": greenhouse, "lever": lever, "bamboohr": bamboohr, "remoteok": remoteok, "jobicy": jobicy, "himalayas": himalayas, "djinni": djinni, "dou": dou, "weworkremotely": weworkremotely,
-    "linkedin": lambda df, **k: jsonld_pages(df, "LinkedIn", **k), "wttj": lambda df, **k: jsonld_pages(df, "WTTJ", **k), "work_ua": lambda df, **k: detail_pages(df, "Work.ua", **k), "robota_ua": lambda df, **k: detail_pages(df, "Robota.ua", **k),
+    "linkedin": linkedin_pages, "wttj": wttj_pages, "work_ua": lambda df, **k: detail_pages(df, "Work.ua", **k), "robota_ua": lambda df, **k: detail_pages(df, "Robota.ua", **k),
 }
 
 

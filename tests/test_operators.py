@@ -207,3 +207,16 @@ def test_dedup_sources(spark):
     rows = [(1, "a", "k"), (2, "a", "k"), (3, "b", "k"), (4, "b", "m"), (0, "c", "k")]
     got = {r["key"]: (r["seq"], r["board"], r["duplicates"], r["across"]) for r in C.dedup_sources(spark.createDataFrame(rows, "seq int, board string, key string"), "board", "key", "seq").collect()}
     assert got == {"k": (0, "c", 0, 2), "m": (4, "b", 0, 0)}
+
+
+def test_chosen_texts(spark):
+    """The first selector with a text wins, then the first element, the outer one of two that begin together; broken markup and nothing at all."""
+    from jobloom.functions.html import chosen_texts
+
+    fields = {"a": ("h1", "[class=big]"), "b": ("a[href*=/company/]",), "c": ("[id^=About_]",), "d": ("body",)}
+    pages = [
+        ('<h1> </h1><p class="x big y">two</p><h1>one</h1>', ("one", "", "", "")), ('<p class="bigger">no</p><p class="big">yes</p>', ("yes", "", "", "")), ('<a href="/company/q/"><img src=x></a><a href="z/company/w">A &amp; <b>B</b></a>', ("", "A &\nB", "", "")),
+        ('<div id="About_1">x<div>y<br>z</div>w</div><div id="About_2">n</div>', ("", "", "x\ny\nz\nw", "")), ('<body><div id="About_1"><div id="About_2">in</div>out<script>no()</script>', ("", "", "in\nout", "in\nout")), ("</p></div>", ("",) * 4), (None, ("",) * 4), ("<h1>open <b>ended", ("open\nended", "", "", "")),
+    ]
+    got = spark.createDataFrame([(i, p) for i, (p, _) in enumerate(pages)], "i int, h string").select("i", chosen_texts(F.col("h"), fields).alias("e")).select("i", "e.*").collect()
+    assert {r["i"]: tuple(r)[1:] for r in got} == {i: w for i, (_, w) in enumerate(pages)}
