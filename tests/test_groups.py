@@ -102,3 +102,13 @@ def test_same_postings_all_pairs(spark):
     found = [(r["first"], (r["company"], r["title"], tuple(r["places"]), r["blank"])) for r in N.distinct_profiles(N.profiles(frame)).collect()]
     want = {(i, j) for i, p in found for j, q in found if j < i and alike(p, q)}
     assert {tuple(r) for r in N.same_postings(frame).collect()} == want and want
+
+
+def test_places_all_pairs(spark):
+    """Every pair of distinct places has a row, those that no posting may have in common as well."""
+    import __spark_entry__ as e
+    from jobloom.plans.view import LANDS, PLACES
+
+    got = {(r["a"], r["b"]): r["compatible"] for r in e.queries()["locations_compatible"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(got) == {(a, b) for a in PLACES for b in PLACES if a < b} and len(PLACES) == len(LANDS) == 7
+    assert not got["Berlin, Germany", "Kyiv, Ukraine"] and not got["", "Berlin, Germany"] and got["", "Europe"] and got["Berlin, Germany", "Europe"]
