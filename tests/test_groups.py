@@ -112,3 +112,23 @@ def test_places_all_pairs(spark):
     got = {(r["a"], r["b"]): r["compatible"] for r in e.queries()["locations_compatible"](spark, "/root/testdata/sf0.001").collect()}
     assert set(got) == {(a, b) for a in PLACES for b in PLACES if a < b} and len(PLACES) == len(LANDS) == 7
     assert not got["Berlin, Germany", "Kyiv, Ukraine"] and not got["", "Berlin, Germany"] and got["", "Europe"] and got["Berlin, Germany", "Europe"]
+
+
+def test_similar_names_of_common_pieces(spark):
+    """Names of one small set of syllables, which share most of their short parts: few of their pairs may reach the edit distance, and none that is similar is lost, within groups as well."""
+    rng = random.Random(6)
+    parts = ["the", "of", "tion", "and", "ing", "er", "on", "😀", "ß"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(1, 3)))
+    names = [" ".join(word() for _ in range(rng.randint(6, 10))) for _ in range(150)]
+    for n in names[:60]:  # and edits of them, up to what is still similar and beyond
+        for i in sorted(rng.sample(range(len(n)), rng.randint(1, 5)), reverse=True):
+            n = n[:i] + rng.choice(["", n[i] + rng.choice("xt😀"), rng.choice("eo")]) + n[i + 1 :]
+        names.append(n)
+    rows = [(n, rng.choice("pqr")) for n in dict.fromkeys(names)]
+    want = {(a, b) for a, _ in rows for b, _ in rows if a != b and SequenceMatcher(None, a, b).ratio() >= 0.93}
+    frame = spark.createDataFrame(rows, "n string, g string")
+    assert {tuple(r) for r in N.similar_names(frame, "n", 0.93).collect()} == want and len(want) > 20
+    together = spark.createDataFrame([("p", "p"), ("q", "q"), ("r", "r"), ("p", "q"), ("q", "p")], "of string, other string")
+    of, near = dict(rows), {("p", "p"), ("q", "q"), ("r", "r"), ("p", "q"), ("q", "p")}
+    assert {tuple(r) for r in N.similar_names(frame, "n", 0.93, "g", together).collect()} == {(a, b) for a, b in want if (of[a], of[b]) in near}
+    assert N.close_names(frame, "n", 0.93).count() < 0.02 * len(rows) ** 2  # before the edit distance
