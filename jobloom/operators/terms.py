@@ -78,17 +78,33 @@ def term_hits(market: DataFrame, terms=TERMS) -> DataFrame:
 BROADCAST_PHRASES = 200_000
 
 
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
+
+
+def begun_runs(texts: DataFrame, key: str, begun: DataFrame, longest: int | None = None, t: str = "t") -> DataFrame:
+    """(key, run): the n words of a text from each place where a word of begun (word, n) stands. begun is broadcast; with longest, the largest n, it is joined,
+    and each word goes with the words after it that a run may take, not with its whole text."""
+    cut_up = texts.select(key, _words(F.col(t)).alias("w")).select(key, "w", F.posexplode("w").alias("at", "word"))
+    if longest is None:
+        starts = cut_up.join(F.broadcast(begun), "word")
+    else:
+        starts = cut_up.select(key, "word", F.slice("w", F.col("at") + 1, longest).alias("w"), F.lit(0).alias("at")).join(begun, "word")
+    run = F.when(F.col("n") == 1, F.col("word")).otherwise(F.array_join(F.slice("w", F.col("at") + 1, F.col("n")), " "))
+    return starts.where(F.col("at") + F.col("n") <= F.size("w")).select(key, run.alias("run"))
+
+
 def phrase_hits(texts: DataFrame, key: str, phrases: DataFrame, t: str = "t") -> DataFrame:
     """(key, term), each once: the terms that a folded text names, by a dictionary (term, phrase) of any size.
 
-    Texts are cut in words once, and runs of as many words as the longest phrase has are met with the dictionary: what a row costs follows from its words, not from the number of terms. A phrase is
-    words in a row, whatever stands between them. Blank phrases name nothing.
+    Texts are cut in words once. Only words that begin a phrase are followed, by as many words as such a phrase has, and these runs are met with the dictionary: what a row costs
+    follows from its words, not from the number of terms. A phrase is words in a row, whatever stands between them. Blank phrases name nothing.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)(\w+)"), F.lit(1))
-    known = phrases.select("term", words(F.col("phrase")).alias("w")).where(F.size("w") > 0).select("term", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).distinct()
-    size = known.agg(F.count(F.lit(1)).alias("rows"), F.collect_set("n").alias("n")).first()  # a count, and the few lengths of phrases
-    lengths = F.array(*[F.lit(n) for n in sorted(size["n"])]) if size["n"] else F.array().cast("array<int>")
-    runs = lambda w: F.flatten(F.transform(lengths, lambda n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))))
-    cut_up = texts.select(key, let(words(F.col(t)), lambda w: F.array_distinct(runs(w))).alias("runs")).select(key, F.explode("runs").alias("run"))
-    named = known.select("term", "run")
-    return cut_up.join(F.broadcast(named) if size["rows"] <= BROADCAST_PHRASES else named, "run").select(key, "term").distinct()
+    known = phrases.select("term", _words(F.col("phrase")).alias("w")).where(F.size("w") > 0).select("term", F.array_join("w", " ").alias("run"), F.size("w").alias("n")).distinct()
+    named, begun = known.select("term", "run"), known.select(F.substring_index("run", " ", 1).alias("word"), "n").distinct()
+    size = known.agg(F.count(F.lit(1)).alias("rows"), F.max("n").alias("longest")).first()
+    if size["rows"] <= BROADCAST_PHRASES:
+        named, longest = F.broadcast(named), None
+    else:
+        longest = size["longest"]
+    return begun_runs(texts, key, begun, longest, t).join(named, "run").select(key, "term").distinct()

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from jobloom.functions import rules as R
@@ -59,3 +60,19 @@ def test_phrase_hits(spark):
     assert len(got) == len(set(map(tuple, got)))
     assert set(map(tuple, got)) == {(i, n) for i, r in enumerate(runs) for n, p in phrases if re.findall(r"\w", p) and f" {p} " in r}
     assert T.phrase_hits(spark.createDataFrame([(1, "sql")], "k int, t string"), "k", spark.createDataFrame([], "term string, phrase string")).count() == 0
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 3])
+def test_phrase_runs(spark, monkeypatch, broadcast):
+    """Runs of words are formed only where a phrase may begin, and a dictionary that is joined gives what one that is broadcast gives."""
+    monkeypatch.setattr(T, "BROADCAST_PHRASES", broadcast)
+    rng = random.Random(9)
+    words = ["data", "analyst", "risk", "market", "ü", "бд", *[f"w{i}" for i in range(60)]]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 200))) for _ in range(80)] + ["", "data", "market data"]
+    phrases = [("a", "data analyst"), ("b", "market"), ("a", "risk - data analyst"), ("c", "ü"), ("d", "ü бд"), ("e", "market data analyst w1")]
+    frame, known = spark.createDataFrame(list(enumerate(texts)), "k int, t string"), spark.createDataFrame(phrases, "term string, phrase string")
+    assert {tuple(r) for r in T.phrase_hits(frame, "k", known).collect()} == {(i, n) for i, t in enumerate(texts) for n, p in phrases if f" {p.replace('- ', '')} " in f" {t} "}
+    begun = spark.createDataFrame([("data", 2), ("market", 1), ("risk", 3)], "word string, n int")
+    runs = [" ".join(w[i : i + n]) for t in texts for w in [t.split()] for i in range(len(w)) for n in [{"data": 2, "market": 1, "risk": 3}.get(w[i], len(w) + 1)] if i + n <= len(w)]
+    for longest in (None, 3):
+        assert sorted(r["run"] for r in T.begun_runs(frame, "k", begun, longest).collect()) == sorted(runs)
