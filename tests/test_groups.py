@@ -4,9 +4,11 @@ import random
 from difflib import SequenceMatcher
 
 import pytest
+from pyspark.sql import functions as F
 
 from jobloom.operators import groups as G
 from jobloom.operators import similar as N
+from jobloom.operators.store import cut
 
 POSTINGS = "job_id string, source string, company string, title string, city_region string, country string"
 
@@ -132,3 +134,37 @@ def test_similar_names_of_common_pieces(spark):
     of, near = dict(rows), {("p", "p"), ("q", "q"), ("r", "r"), ("p", "q"), ("q", "p")}
     assert {tuple(r) for r in N.similar_names(frame, "n", 0.93, "g", together).collect()} == {(a, b) for a, b in want if (of[a], of[b]) in near}
     assert N.close_names(frame, "n", 0.93).count() < 0.02 * len(rows) ** 2  # before the edit distance
+
+
+def test_similar_names_by_slices(spark):
+    """Slices of lengths, and of one length by hash, lose no pair and find none twice; rows for each name are fewer than its characters and their places."""
+    rng = random.Random(9)
+    names = {" ".join("".join(rng.choice("abcdeo") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(6, 10))) for _ in range(30)}
+    for n in sorted(names):
+        i = rng.randrange(len(n))
+        names |= {n[:i] + n[i + 1 :], n[:i] + "x" + n[i + 1 :], n[:i] + "xy" + n[i:]}
+    names = sorted(n.strip() for n in names)
+    frame = spark.createDataFrame([(0, n, i) for i, n in enumerate(names)], "g int, a string, id long")
+    want = {frozenset((a, b)) for a in names for b in names if a < b and max(SequenceMatcher(None, a, b).ratio(), SequenceMatcher(None, b, a).ratio()) >= 0.93}
+    for size in (8, 1000):
+        got = [(r["a"], r["b"]) for r in N._met(frame, 0.93, size=size).collect()]
+        assert len(got) == len({frozenset(p) for p in got}) and want <= {frozenset(p) for p in got} and len(got) < 3 * len(want)
+    rows = frame.select(F.size(N._parts(F.col("a"), F.length("a"), F.floor(2 * F.length("a") * 0.07 / 0.93).cast("int"), 0.93)).alias("r"), F.length("a").alias("n"))
+    assert rows.agg((F.sum("r") / F.sum("n")).alias("x")).first()["x"] < 1.3  # three for each character before
+
+
+def test_cut_frees_shuffle_files(spark):
+    """The rows that a write dealt out don't stay on disk after it."""
+    import time
+
+    def files():
+        return {f for f in map(str, spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f and f.endswith(".data")}
+
+    option, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", files()
+    was = spark.conf.get(option, None)
+    assert cut(spark.range(1000).repartition(3, "id"), "freed", free=True).count() == 1000
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.2)
+    assert files() <= before and spark.conf.get(option, None) == was
